@@ -67,8 +67,8 @@ add(
     lambda s, d: rounded(brand_bars(s, d, numbered=False).select("symbol", "ts", *OHLCV.split())),
     "SELECT symbol, ts, round(open,6) AS open, round(high,6) AS high, round(low,6) AS low, round(close,6) AS close, "
     "round(volume,6) AS volume FROM (SELECT p_brand AS symbol, date_trunc('week', l_shipdate)::TIMESTAMP AS ts, "
-    "arg_min(l_extendedprice, (l_orderkey, l_linenumber, l_extendedprice)) AS open, max(l_extendedprice) AS high, "
-    "min(l_extendedprice) AS low, arg_max(l_extendedprice, (l_orderkey, l_linenumber, l_extendedprice)) AS close, "
+    "arg_min(l_extendedprice + 1000000.0, (l_orderkey, l_linenumber, l_extendedprice)) AS open, max(l_extendedprice + 1000000.0) AS high, "
+    "min(l_extendedprice + 1000000.0) AS low, arg_max(l_extendedprice + 1000000.0, (l_orderkey, l_linenumber, l_extendedprice)) AS close, "
     "sum(l_quantity) AS volume FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)",
 )
 
@@ -252,15 +252,15 @@ add("liquidity", on_events(ind.liquidity, "dollar_volume hl_range"),
     sql(SQL_EVENT_BARS + derive("q", "close * volume AS dollar_volume, (high - low) / nullif(close,0) AS hl_range"), "q", "dollar_volume hl_range"))
 add(
     "support_resistance",
-    lambda s, d: rounded(cond.support_resistance(event_bars(s, d), tolerance=0.01)),
+    lambda s, d: rounded(cond.support_resistance(event_bars(s, d), tolerance=0.003)),
     f"""WITH RECURSIVE {SQL_EVENT_BARS} {PIV},
     pts AS (SELECT *, row_number() OVER (PARTITION BY symbol, kind ORDER BY level) AS i FROM (
       SELECT symbol, 'support' AS kind, low AS level FROM p WHERE pivot_low
       UNION ALL SELECT symbol, 'resistance', high FROM p WHERE pivot_high)),
     f AS (SELECT symbol, kind, i, level AS m, 1 AS g FROM pts WHERE i = 1
       UNION ALL SELECT f.symbol, f.kind, q.i,
-        CASE WHEN abs(q.level - m) / greatest(1e-9, m) <= 0.01 THEN (m + q.level) / 2 ELSE q.level END,
-        CASE WHEN abs(q.level - m) / greatest(1e-9, m) <= 0.01 THEN g ELSE g + 1 END
+        CASE WHEN abs(q.level - m) / greatest(1e-9, m) <= 0.003 THEN (m + q.level) / 2 ELSE q.level END,
+        CASE WHEN abs(q.level - m) / greatest(1e-9, m) <= 0.003 THEN g ELSE g + 1 END
       FROM f JOIN pts q ON q.symbol = f.symbol AND q.kind = f.kind AND q.i = f.i + 1),
     lv AS (SELECT symbol, kind, g, arg_max(m, i) AS level FROM f GROUP BY 1, 2, 3),
     rk AS (SELECT *, row_number() OVER (PARTITION BY symbol, kind ORDER BY CASE WHEN kind = 'support' THEN -level ELSE level END) AS level_no FROM lv)

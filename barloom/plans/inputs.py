@@ -22,22 +22,23 @@ def line_order() -> Column:
 
 
 def event_bars(spark: SparkSession, sf_dir: str, *, numbered: bool = True) -> DataFrame:
-    """Hourly bars per event type; the value plus one is the price."""
+    """Hourly bars per event type; the value plus 100 is the price."""
     e = table(spark, sf_dir, "events")
     # time in microseconds and id side by side in one decimal
     order = micros("ts").cast("decimal(38,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)") + F.col("event_id")
     return build_bars(
-        e, symbol="event_type", ts="ts", price=F.col("value") + 1.0, order_key=order.cast("decimal(38,0)"),
+        e, symbol="event_type", ts="ts", price=F.col("value") + 100.0, order_key=order.cast("decimal(38,0)"),
         unit="hour", step_seconds=HOUR, numbered=numbered,
     )
 
 
 def ship_bars(spark: SparkSession, sf_dir: str, *, numbered: bool = True) -> DataFrame:
-    """Daily line-value bars per return flag and line status."""
+    """Daily bars per return flag and line status; the line value plus a million is the price,
+    which keeps returns to a few percent."""
     li = table(spark, sf_dir, "lineitem")
     return build_bars(
         li, symbol=F.concat("l_returnflag", "l_linestatus"), ts="l_shipdate",
-        price="l_extendedprice",
+        price=F.col("l_extendedprice") + 1_000_000.0,
         order_key=line_order(),
         unit="day", volume=F.col("l_quantity"), step_seconds=DAY, numbered=numbered,
     )
@@ -50,7 +51,7 @@ def brand_bars(spark: SparkSession, sf_dir: str, *, numbered: bool = True) -> Da
     )
     return build_bars(
         li, symbol="p_brand", ts="l_shipdate",
-        price="l_extendedprice",
+        price=F.col("l_extendedprice") + 1_000_000.0,
         order_key=line_order(),
         unit="week", volume=F.col("l_quantity"), step_seconds=WEEK, numbered=numbered,
     )
@@ -68,8 +69,8 @@ SQL_EVENT_BARS = """
 bars AS (
   SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS bar_no FROM (
     SELECT event_type AS symbol, date_trunc('hour', ts)::TIMESTAMP AS ts,
-           arg_min(value + 1.0, (ts, event_id)) AS open, max(value + 1.0) AS high,
-           min(value + 1.0) AS low, arg_max(value + 1.0, (ts, event_id)) AS close,
+           arg_min(value + 100.0, (ts, event_id)) AS open, max(value + 100.0) AS high,
+           min(value + 100.0) AS low, arg_max(value + 100.0, (ts, event_id)) AS close,
            count(*)::DOUBLE AS volume
     FROM events GROUP BY 1, 2))"""
 
@@ -77,9 +78,9 @@ SQL_SHIP_BARS = """
 bars AS (
   SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS bar_no FROM (
     SELECT l_returnflag || l_linestatus AS symbol, date_trunc('day', l_shipdate)::TIMESTAMP AS ts,
-           arg_min(l_extendedprice, (l_orderkey, l_linenumber, l_extendedprice)) AS open,
-           max(l_extendedprice) AS high, min(l_extendedprice) AS low,
-           arg_max(l_extendedprice, (l_orderkey, l_linenumber, l_extendedprice)) AS close,
+           arg_min(l_extendedprice + 1000000.0, (l_orderkey, l_linenumber, l_extendedprice)) AS open,
+           max(l_extendedprice + 1000000.0) AS high, min(l_extendedprice + 1000000.0) AS low,
+           arg_max(l_extendedprice + 1000000.0, (l_orderkey, l_linenumber, l_extendedprice)) AS close,
            sum(l_quantity)::DOUBLE AS volume
     FROM lineitem GROUP BY 1, 2))"""
 
@@ -87,9 +88,9 @@ SQL_BRAND_BARS = """
 bars AS (
   SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS bar_no FROM (
     SELECT p_brand AS symbol, date_trunc('week', l_shipdate)::TIMESTAMP AS ts,
-           arg_min(l_extendedprice, (l_orderkey, l_linenumber, l_extendedprice)) AS open,
-           max(l_extendedprice) AS high, min(l_extendedprice) AS low,
-           arg_max(l_extendedprice, (l_orderkey, l_linenumber, l_extendedprice)) AS close,
+           arg_min(l_extendedprice + 1000000.0, (l_orderkey, l_linenumber, l_extendedprice)) AS open,
+           max(l_extendedprice + 1000000.0) AS high, min(l_extendedprice + 1000000.0) AS low,
+           arg_max(l_extendedprice + 1000000.0, (l_orderkey, l_linenumber, l_extendedprice)) AS close,
            sum(l_quantity)::DOUBLE AS volume
     FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2))"""
 
