@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.expr import ratio
 from barloom.operators.indicators import atr_simple_prior, pct_change
+from barloom.operators.joins import calendar
 from barloom.operators.layout import BLOCK, Frame, carried, number_rows, over_blocks
 from barloom.operators.metrics import annualisation
 from barloom.session import durable
@@ -325,11 +326,6 @@ def barrier_trades(rows: DataFrame, *, block: int = BLOCK) -> DataFrame:
 # ---- portfolio -----------------------------------------------------------------------------
 
 
-def calendar(rows: DataFrame, *, step_seconds: int = 86_400) -> DataFrame:
-    """Numbered distinct timestamps (ts, t_no)."""
-    return number_rows(rows.select("ts").distinct(), key=(), step_seconds=step_seconds, name="t_no")
-
-
 def portfolio_weights(
     returns: DataFrame, *, weighting: str = "equal", lookback: int = 20, vol_lag: int = 0, step_seconds: int = 86_400,
     block: int = BLOCK,
