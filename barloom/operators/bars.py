@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.expr import finite, number
 from barloom.operators.layout import number_rows
+from barloom.session import durable
 
 OHLC = ("open", "high", "low", "close")
 
@@ -44,7 +45,10 @@ def build_bars(
         F.max_by("_p", "_o").alias("close"),
         F.sum("_v").alias("volume"),
     )
-    return number_rows(bars, step_seconds=step_seconds) if numbered else bars
+    if not numbered:
+        return bars
+    # numbering reads its input twice; the bars are written once instead of scanning the ticks again
+    return number_rows(durable(bars), step_seconds=step_seconds)
 
 
 def clean_ohlc(bars: DataFrame, *, min_rows: int = 3, step_seconds: int = 86_400) -> DataFrame:

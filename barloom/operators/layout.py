@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barloom.functions.expr import seconds
+from barloom.session import durable
 
 KEY = ("symbol",)
 ROWS_PER_BUCKET = 4096
@@ -160,7 +161,7 @@ def carried(
     """
     blk = F.floor(F.col(pos) / F.lit(block))
     inputs = {f"_in_{name}": x for name, (_, x) in specs.items()}
-    rows = df.withColumns({**inputs, "_blk": blk})
+    rows = durable(df.withColumns({**inputs, "_blk": blk}))
 
     def whole(name: str, kind: str) -> Column:
         x = F.col(f"_in_{name}")
@@ -243,7 +244,7 @@ def ewm(
         b = F.coalesce(alpha * x / (d + alpha), F.lit(0.0))
         third[f"_y_{n}"] = F.exp(-big) * F.sum(b * F.exp(big)).over(upto)
     third["_end"] = F.lead(pos).over(w).isNull()
-    out = out.withColumns(third)
+    out = durable(out.withColumns(third))
 
     parts = [
         F.struct(*[F.col(f"_{p}_{n}").alias(p) for p in ("n", "f", "lst", "dec", "y")]).alias(f"_s_{n}") for n in specs

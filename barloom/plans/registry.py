@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bar_queries", "backtest_queries", "panel_queries", "model_queries", "spectral_queries")
+MODULES = (
+    "bar_queries", "backtest_queries", "panel_queries", "model_queries", "spectral_queries", "text_queries", "report_queries",
+)
 
 QUERIES, ORACLES = {}, {}
 for _name in MODULES:
