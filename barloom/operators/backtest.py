@@ -12,7 +12,7 @@ from barloom.operators.indicators import atr_simple_prior, pct_change
 from barloom.operators.joins import calendar
 from barloom.operators.layout import BLOCK, Frame, carried, number_rows, over_blocks
 from barloom.operators.metrics import annualisation
-from barloom.session import durable
+from barloom.session import attach, durable
 
 LONG_ONLY = {"long", "long_only", "long-only"}
 
@@ -54,7 +54,7 @@ def with_ann(bars: DataFrame) -> DataFrame:
     a = bars.groupBy("symbol").agg(
         annualisation(F.count(F.lit(1)), F.min("ts"), F.max("ts")).alias("_ann")
     )
-    return bars.join(a, "symbol")
+    return attach(bars, a)
 
 
 def positions(bars: DataFrame, rules: Rules = Rules(), *, price: str = "close", block: int = BLOCK) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.expr import finite, number
@@ -26,9 +26,9 @@ def build_bars(
 ) -> DataFrame:
     """Open/high/low/close/volume per symbol and time unit.
 
-    ``order_key`` is one number that orders the ticks of a bar (a long, or a decimal
-    that packs time and id). A number keeps the aggregate hashed and map-side; a
-    struct key would make Spark sort every input partition first.
+    ``order_key`` orders the ticks of a bar: one long where one suffices (the aggregate
+    is then hashed), or a struct such as (time, id), for which Spark sorts within each
+    input partition. Both combine map-side. A packed decimal measured slower than either.
     """
     c = lambda x: F.col(x) if isinstance(x, str) else x
     t = ticks.select(
@@ -159,8 +159,3 @@ def enough_overlap(panel: DataFrame, *, min_rows: int = 80, min_symbols: int = 3
         F.count_distinct("symbol").alias("_s"),
     ).where((F.col("_t") >= min_rows) & (F.col("_s") >= min_symbols))
     return panel.join(F.broadcast(size.select(F.lit(True).alias("_ok"))), F.lit(True), "left_semi")
-
-
-def first_n_per_key(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions.expr import ratio
 from barloom.operators import indicators as ind
 from barloom.operators.layout import BLOCK
+from barloom.session import attach
 
 # fixed values: retracement ratios
 FIB_RATIOS = (0.236, 0.382, 0.5, 0.618, 0.786)
@@ -18,7 +19,7 @@ FIB_RATIOS = (0.236, 0.382, 0.5, 0.618, 0.786)
 def trailing_bars(bars: DataFrame, n: int) -> DataFrame:
     """The last n bars of each symbol with ``n_bars``; a filter, so that windows above it stay small."""
     size = bars.groupBy("symbol").agg((F.max("bar_no") + 1).alias("n_bars"))
-    return bars.join(size, "symbol").where(F.col("bar_no") >= F.col("n_bars") - n)
+    return attach(bars, size).where(F.col("bar_no") >= F.col("n_bars") - n)
 
 
 def latest(df: DataFrame, cols: Sequence[str], *, only: Column | None = None) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from barloom.functions.expr import finite
 from barloom.operators.conditions import trailing_bars
 from barloom.operators.layout import BLOCK, over_blocks, with_halo
+from barloom.session import attach
 
 KERNEL_BLOCK = 1024
 
@@ -37,7 +38,7 @@ def detrended(rows: DataFrame, value: str, *, pos: str, method: str = "linear",
     )
     line = F.col("_a") * F.col(pos) + F.col("_b")
     trend = F.col("_m") if method in ("mean", "constant") else F.when(F.col("_c") >= 3, line).otherwise(F.col("_m"))
-    return rows.join(fit, list(key)).withColumn("detrended", v - trend).drop("_m", "_a", "_b", "_c")
+    return attach(rows, fit, key).withColumn("detrended", v - trend).drop("_m", "_a", "_b", "_c")
 
 
 def dominant_cycles(
@@ -154,7 +155,7 @@ def centred_returns(bars: DataFrame, *, block: int = BLOCK) -> DataFrame:
     r = over_blocks(bars, lambda f: {"_r": F.ln(floored) - F.ln(f.lag(floored))}, back=1, block=block)
     r = r.withColumn("_r", F.coalesce(finite("_r"), F.lit(0.0)))
     mean = r.groupBy("symbol").agg(F.avg("_r").alias("_m"))
-    return r.join(mean, "symbol").select("symbol", "ts", "bar_no", (F.col("_r") - F.col("_m")).alias("x"))
+    return attach(r, mean).select("symbol", "ts", "bar_no", (F.col("_r") - F.col("_m")).alias("x"))
 
 
 # fixed values: Daubechies scaling filters, by number of vanishing moments
@@ -239,7 +240,7 @@ def cwt_gate(
     w = max(16, window)
     bank = [wavelet(kind, p) for p in np.linspace(min_period, max_period, max(8, n_periods))]
     reach = max(b.size for b in bank) // 2 + 1
-    sized = series.join(series.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n")), "symbol")
+    sized = attach(series, series.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n")))
     x = with_halo(sized.select("symbol", "ts", "bar_no", F.col(value).alias("_x"), "_n"), reach, reach, block=block)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -331,7 +332,7 @@ def ar_coefficients(rows: DataFrame, *, value: str = "ret", p: int = 5, ridge: f
 
 def ar_residuals(rows: DataFrame, betas: DataFrame, *, value: str = "ret", p: int = 5, block: int = BLOCK) -> DataFrame:
     """Adds resid: 0 for the first p rows; the value itself where a symbol has no coefficients."""
-    x = _with_lags(rows, value, p, block).join(betas, "symbol", "left")
+    x = attach(_with_lags(rows, value, p, block), betas, how="left")
     fitted = sum((F.get("beta", F.lit(k - 1)) * F.col(f"_l{k}") for k in range(1, p + 1)), F.lit(0.0))
     resid = F.when(F.col("beta").isNull(), F.col("_l0")).when(F.col("bar_no") < p, F.lit(0.0)).otherwise(F.col("_l0") - fitted)
     return x.withColumn("resid", resid).drop("beta", *[f"_l{k}" for k in range(p + 1)])

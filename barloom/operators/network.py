@@ -18,6 +18,7 @@ from barloom.operators.indicators import log_return
 from barloom.operators.joins import calendar
 from barloom.operators.layout import BLOCK, over_blocks
 from barloom.operators.order_stats import average_ranks, medians
+from barloom.session import attach, durable
 
 TILE, STRETCH = 128, 512
 MAX_NODES = 5_000
@@ -35,8 +36,8 @@ def symbol_index(rows: DataFrame) -> DataFrame:
 
 
 def _indexed(rows: DataFrame, step_seconds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    symbols, cal = symbol_index(rows), calendar(rows, step_seconds=step_seconds)
-    return rows.join(symbols, "symbol").join(cal, "ts"), symbols, cal
+    symbols, cal = durable(symbol_index(rows)), calendar(rows, step_seconds=step_seconds)
+    return attach(rows, symbols).join(cal, "ts"), symbols, cal
 
 
 def _tile_pairs(rows: DataFrame, n_symbols: int, back: int = 0, stretch: int = STRETCH) -> DataFrame:
@@ -115,7 +116,7 @@ def correlation_pairs(
         r = average_ranks(r, ["symbol"], "_x", "_r").select("symbol", "ts", F.col("_r").alias("_x"))
     mean = r.groupBy("symbol").agg(F.avg("_x").alias("_m"))
     # a shift per asset leaves the correlation alone and keeps the sums well conditioned
-    r = r.join(mean, "symbol").withColumn("_x", F.col("_x") - F.col("_m")).drop("_m")
+    r = attach(r, mean).withColumn("_x", F.col("_x") - F.col("_m")).drop("_m")
     rows, symbols, _ = _indexed(r, step_seconds)
     n_symbols = symbols.count()
     pairs = pair_sums(rows, "_x", "_x", n_symbols).withColumn("corr", F.coalesce(_pearson(), F.lit(0.0)))
@@ -283,7 +284,7 @@ def rolling_networks(
     """
     r = returns.where(F.col("ret").isNotNull())
     mean = r.groupBy("symbol").agg(F.avg("ret").alias("_m"))
-    r = r.join(mean, "symbol").select("symbol", "ts", (F.col("ret") - F.col("_m")).alias("x"))
+    r = attach(r, mean).select("symbol", "ts", (F.col("ret") - F.col("_m")).alias("x"))
     rows, symbols, cal = _indexed(r, step_seconds)
     n_symbols = symbols.count()
     size = max(stretch, window)

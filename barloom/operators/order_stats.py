@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.session import attach
+
 
 def medians(df: DataFrame, key: Sequence[str], x: str, out: str = "median") -> DataFrame:
     """Exact median per key.
@@ -22,7 +24,7 @@ def medians(df: DataFrame, key: Sequence[str], x: str, out: str = "median") -> D
         F.count(F.lit(1)).alias("_n"),
     )
     counted = (
-        v.join(bounds, [*key])
+        attach(v, bounds, key)
         .withColumn("_side", F.when(F.col("_x") < F.col("_b")[0], -1).when(F.col("_x") > F.col("_b")[1], 1).otherwise(0))
         .where(F.col("_side") <= 0)
         .groupBy(*key, "_n", F.when(F.col("_side") == 0, F.col("_x")).alias("_x"))
@@ -47,7 +49,7 @@ def average_ranks(df: DataFrame, key: Sequence[str], x: str, out: str = "rank",
     cuts = counted.groupBy(*key).agg(
         F.percentile_approx(x, [i / slices for i in range(1, slices)], 1000).alias("_cuts")
     )
-    sliced = counted.join(cuts, [*key]).withColumn(
+    sliced = attach(counted, cuts, key).withColumn(
         "_slice", F.size(F.filter("_cuts", lambda c: c < F.col(x)))
     ).drop("_cuts")
     sizes = sliced.groupBy(*key, "_slice").agg(F.sum("_c").alias("_s"))

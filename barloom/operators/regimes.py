@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.session import durable
+from barloom.session import attach, durable
 
 
 def mixture_states(rows: DataFrame, *, value: str = "ret", train: Column, k: int = 3, steps: int = 15) -> DataFrame:
@@ -35,7 +35,7 @@ def mixture_states(rows: DataFrame, *, value: str = "ret", train: Column, k: int
         )
 
     for step in range(steps):
-        d = x.where("_train").join(params, "symbol").withColumn("_d", densities())
+        d = attach(x.where("_train"), params).withColumn("_d", densities())
         e = F.transform("_d", lambda v: F.exp(v - F.array_max("_d")))
         d = d.withColumn("_e", e)
         total = F.aggregate("_e", F.lit(0.0), lambda a, v: a + v)
@@ -51,8 +51,7 @@ def mixture_states(rows: DataFrame, *, value: str = "ret", train: Column, k: int
             "symbol", F.array(*mu).alias("mu"), F.array(*[F.sqrt(v) for v in var]).alias("sd"),
             F.array(*[c / F.col("_n") for c in n]).alias("w"), "s0",
         )
-        params = durable(params)
-    out = x.join(params, "symbol").withColumn("_d", densities())
+    out = attach(x, params).withColumn("_d", densities())
     state = (F.array_position("_d", F.array_max("_d")) - 1).cast("int")
     return out.withColumn("state", state).drop("_x", "_train", "_d", "mu", "sd", "w", "s0")
 
@@ -65,5 +64,5 @@ def risk_off(rows: DataFrame, *, value: str = "ret", state: str = "state", train
     ).where(F.col("_n") >= min_count)
     w = Window.partitionBy("symbol").orderBy(F.desc("_std"), F.asc("_mean"))
     worst = stats.withColumn("_k", F.row_number().over(w)).where("_k = 1").select("symbol", "_state")
-    out = rows.join(worst, "symbol", "left")
+    out = attach(rows, worst, how="left")
     return out.withColumn("risk_off", F.coalesce(F.col(state) == F.col("_state"), F.lit(False))).drop("_state")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators.layout import number_rows
 from barloom.operators.order_stats import medians
+from barloom.session import attach, durable
 
 
 def number_labelled(rows: DataFrame, label: str, features: Sequence[str] = (), *, step_seconds: int = 86_400) -> DataFrame:
@@ -16,9 +17,10 @@ def number_labelled(rows: DataFrame, label: str, features: Sequence[str] = (), *
     kept = rows.where(F.col(label).isNotNull())
     if features:
         kept = kept.dropna(how="all", subset=list(features))
-    kept = number_rows(kept, step_seconds=step_seconds, name="row_no")
+    kept = durable(kept)
     n = kept.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_rows"))
-    return kept.join(n, "symbol")
+    kept = number_rows(kept, step_seconds=step_seconds, name="row_no")
+    return attach(kept, n)
 
 
 def holdout(rows: DataFrame, test_size: float = 0.2, *, min_rows: int = 80) -> DataFrame:
@@ -61,7 +63,7 @@ def walk_forward(rows: DataFrame, *, aligned: bool = True, min_rows: int = 120,
         folds = folds.join(F.broadcast(per.agg(F.min("_m").alias("_m")))).where("fold <= _m").drop("_m")
     # one row per symbol to join, folds inside it
     packed = folds.groupBy("symbol").agg(F.collect_list(F.struct("fold", "train_end", "test_start", "test_end")).alias("_f"))
-    x = rows.join(packed, "symbol").withColumn("_e", F.explode("_f"))
+    x = attach(rows, packed).withColumn("_e", F.explode("_f"))
     no = F.col("row_no")
     role = F.when(no < F.col("_e.train_end"), "train").when(
         (no >= F.col("_e.test_start")) & (no < F.col("_e.test_end")), "test"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.session import attach
+
 
 def squeeze(text: str | Column) -> Column:
     """Whitespace runs to one blank, none at the ends."""
@@ -32,11 +34,11 @@ def first_headlines(cleaned: DataFrame, *, key: str = "ticker", pos: str = "pos"
 def score_headlines(headlines: DataFrame, lexicon: DataFrame, *, ids: tuple[str, ...] = ("ticker", "pos"), text: str = "headline") -> DataFrame:
     """Adds sentiment in [-1, 1]: the sum s of the tokens' valences as s / sqrt(s² + 15).
 
-    The lexicon (token, valence) is small next to the text; the optimiser broadcasts it by its
-    measured size. A headline's tokens sit in one partition, so sums are formed before the shuffle.
+    The lexicon (token, valence) is broadcast if its counted rows allow it. A headline's tokens
+    sit in one partition, so sums are formed before the shuffle.
     """
     tokens = headlines.select(*ids, F.explode(F.split(F.lower(text), r"[^\p{L}\p{N}']+")).alias("token"))
-    sums = tokens.join(lexicon, "token").groupBy(*ids).agg(F.sum("valence").alias("_s"))
+    sums = attach(tokens, lexicon, "token").groupBy(*ids).agg(F.sum("valence").alias("_s"))
     s = F.coalesce("_s", F.lit(0.0))
     return headlines.join(sums, list(ids), "left").withColumn("sentiment", s / F.sqrt(s * s + 15.0)).drop("_s")
 

@@ -383,3 +383,13 @@ add("chart_select", chart_select,
     f"WITH RECURSIVE {SQL_EVENT_BARS} {SCORE}, po AS (SELECT symbol, row_number() OVER (ORDER BY min(ts), symbol) AS pos FROM bars GROUP BY symbol) "
     "SELECT symbol, conditions_met, conditions_met / 4.0::DOUBLE AS score, pos FROM sc JOIN po USING (symbol) WHERE conditions_met >= 1 "
     "ORDER BY conditions_met DESC, score DESC, pos LIMIT 3")
+
+
+def left_out(s, d):
+    scored = cond.condition_scores(durable(event_bars(s, d))).withColumn("pos", F.col("symbol"))
+    return cond.not_selected(scored, cond.select_charts(scored, min_conditions=1, max_selected=3))
+
+
+add("charts_left_out", left_out,
+    f"WITH RECURSIVE {SQL_EVENT_BARS} {SCORE} SELECT symbol FROM sc WHERE symbol NOT IN (SELECT symbol FROM sc WHERE conditions_met >= 1 "
+    "ORDER BY conditions_met DESC, symbol LIMIT 3)")

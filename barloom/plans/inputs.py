@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.expr import micros
 from barloom.operators.bars import build_bars
 
 HOUR, DAY, WEEK = 3600, 86_400, 604_800
@@ -16,18 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def line_order() -> Column:
-    """Order, line and price in one decimal: the given lines repeat some (order, line) pairs."""
-    line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("decimal(24,0)")
-    return (line * F.lit(10**9).cast("decimal(10,0)") + F.round(F.col("l_extendedprice") * 100).cast("long")).cast("decimal(38,0)")
+    """The given lines repeat some (order, line) pairs; the price settles those."""
+    return F.struct("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
 def event_bars(spark: SparkSession, sf_dir: str, *, numbered: bool = True) -> DataFrame:
     """Hourly bars per event type; the value plus 100 is the price."""
     e = table(spark, sf_dir, "events")
-    # time in microseconds and id side by side in one decimal
-    order = micros("ts").cast("decimal(38,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)") + F.col("event_id")
     return build_bars(
-        e, symbol="event_type", ts="ts", price=F.col("value") + 100.0, order_key=order.cast("decimal(38,0)"),
+        e, symbol="event_type", ts="ts", price=F.col("value") + 100.0, order_key=F.struct("ts", "event_id"),
         unit="hour", step_seconds=HOUR, numbered=numbered,
     )
 

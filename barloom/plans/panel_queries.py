@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import joins as jn
 from barloom.operators import network as nw
+from barloom.operators.bars import enough_overlap
 from barloom.operators.layout import number_rows
 from barloom.operators.metrics import top_mean
 from barloom.operators.order_stats import average_ranks
@@ -93,6 +94,10 @@ def panel_returns(s, d):
     return durable(nw.log_returns(panel))
 
 
+add("enough_overlap", lambda s, d: rounded(enough_overlap(panel_returns(s, d))),
+    f"WITH {SQL_BRAND_BARS} {SQL_PANEL} SELECT symbol, ts, round(ret, 6) AS ret FROM rets WHERE (SELECT count(DISTINCT ts) >= 80 AND count(DISTINCT symbol) >= 3 FROM rets)")
+add("too_little_overlap", lambda s, d: rounded(enough_overlap(panel_returns(s, d), min_symbols=1000)),
+    f"WITH {SQL_BRAND_BARS} {SQL_PANEL} SELECT symbol, ts, round(ret, 6) AS ret FROM rets WHERE (SELECT count(DISTINCT symbol) >= 1000 FROM rets)")
 add("panel_log_returns", lambda s, d: rounded(panel_returns(s, d)), f"WITH {SQL_BRAND_BARS} {SQL_PANEL} SELECT symbol, ts, round(ret, 6) AS ret FROM rets")
 
 

@@ -9,6 +9,7 @@ from barloom.operators import conditions as cond
 from barloom.operators import text as tx
 from barloom.operators.bars import first_source_with_rows
 from barloom.plans.inputs import SQL_EVENT_BARS, SQL_ORDER_MACRO, SQL_SHIP_BARS, event_bars, order_macro, rounded, ship_bars, sql_select, table
+from barloom.session import durable
 from barloom.sources import feeds, landed
 
 QUERIES, ORACLES = {}, {}
@@ -25,7 +26,7 @@ def add(name, fn, sql=None):
 
 def csv_lines(s, d):
     """The daily bars as CSV lines of one file per symbol, two header layouts, some bad dates."""
-    b = ship_bars(s, d, numbered=False).where("ts IS NOT NULL")
+    b = durable(ship_bars(s, d, numbered=False))
     path = F.concat(F.lit("/hub/assets/"), F.col("symbol"), F.lit("_5y_1d.csv"))
     swapped = F.col("symbol").startswith("A")
     day = F.when(F.dayofmonth("ts") == 31, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd"))

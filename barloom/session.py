@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: str | int = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -42,3 +44,18 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, which survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only when the table was counted and is small; else let Spark shuffle."""
+    df = durable(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def attach(rows: DataFrame, stats: DataFrame, on: str | Sequence[str] = "symbol", how: str = "inner") -> DataFrame:
+    """Join a per-symbol summary back to its rows. While the summary is small the rows stay where
+    they are, so a symbol with a third of the rows is not sent to one task."""
+    return rows.join(small(stats), [on] if isinstance(on, str) else list(on), how)

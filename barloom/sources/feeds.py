@@ -32,7 +32,9 @@ def feed_items(feeds: DataFrame, xml: str = "xml") -> DataFrame:
     pos, title, ts). Feeds without readable items give no rows."""
     items, entries = _all(xml, r"(?s)<item(?:\s[^>]*)?>(.*?)</item>"), _all(xml, r"(?s)<entry(?:\s[^>]*)?>(.*?)</entry>")
     keep = [c for c in feeds.columns if c != xml]
-    f = feeds.select(*keep, (F.size(items) > 0).alias("_rss"), F.when(F.size(items) > 0, items).otherwise(entries).alias("_i"))
+    f = feeds.select(*keep, xml, items.alias("_items"))
+    rss = F.size("_items") > 0
+    f = f.select(*keep, rss.alias("_rss"), F.when(rss, F.col("_items")).otherwise(entries).alias("_i"))
     f = f.select(*keep, "_rss", F.posexplode("_i").alias("pos", "_x"))
     x = F.col("_x")
     stamp = F.when(F.col("_rss"), _first(x, "pubDate")).otherwise(_first(x, "updated"))
