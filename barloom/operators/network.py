@@ -40,10 +40,10 @@ def _indexed(rows: DataFrame, step_seconds: int) -> tuple[DataFrame, DataFrame,
     return attach(rows, symbols).join(cal, "ts"), symbols, cal
 
 
-def _tile_pairs(rows: DataFrame, n_symbols: int, back: int = 0, stretch: int = STRETCH) -> DataFrame:
+def _tile_pairs(rows: DataFrame, n_symbols: int, tile: int, back: int = 0, stretch: int = STRETCH) -> DataFrame:
     """Copy each row to the tile pairs and time stretches that need it."""
-    n_tiles = -(-n_symbols // TILE)
-    mine = F.floor(F.col("s_no") / TILE).cast("int")
+    n_tiles = -(-n_symbols // tile)
+    mine = F.floor(F.col("s_no") / tile).cast("int")
     others = F.transform(
         F.sequence(F.lit(0), F.lit(n_tiles - 1)),
         lambda j: F.struct(F.least(mine, j).alias("ti"), F.greatest(mine, j).alias("tj")),
@@ -55,10 +55,10 @@ def _tile_pairs(rows: DataFrame, n_symbols: int, back: int = 0, stretch: int = S
     return rows.select("*", F.inline(others)).withColumn("tb", F.explode(spots))
 
 
-def _matrix(pdf: pd.DataFrame, col: str, tile: int, n_symbols: int, t0: int, rows: int) -> np.ndarray:
-    width = min(TILE, n_symbols - tile * TILE)
+def _matrix(pdf: pd.DataFrame, col: str, no: int, tile: int, n_symbols: int, t0: int, rows: int) -> np.ndarray:
+    width = min(tile, n_symbols - no * tile)
     m = np.full((rows, width), np.nan)
-    s = pdf["s_no"].to_numpy() - tile * TILE
+    s = pdf["s_no"].to_numpy() - no * tile
     inside = (s >= 0) & (s < width)
     m[pdf["t_no"].to_numpy()[inside] - t0, s[inside]] = pdf[col].to_numpy(dtype=float)[inside]
     return m
@@ -67,7 +67,9 @@ def _matrix(pdf: pd.DataFrame, col: str, tile: int, n_symbols: int, t0: int, row
 _SUMS = "a int, b int, n double, sx double, sy double, sxx double, syy double, sxy double"
 
 
-def pair_sums(rows: DataFrame, left: str, right: str, n_symbols: int, *, ordered: bool = False) -> DataFrame:
+def pair_sums(
+    rows: DataFrame, left: str, right: str, n_symbols: int, *, ordered: bool = False, tile: int = TILE
+) -> DataFrame:
     """Sums over the timestamps where both assets have a value: n, x, y, x², y², xy.
 
     ``rows`` holds s_no, t_no and the columns; NULL is missing. ``ordered`` also gives
@@ -80,17 +82,17 @@ def pair_sums(rows: DataFrame, left: str, right: str, n_symbols: int, *, ordered
         size = int(pdf["t_no"].max()) - t0 + 1
         parts = []
         for p, q in ((ti, tj), (tj, ti)) if ordered and ti != tj else ((ti, tj),):
-            x, y = _matrix(pdf, left, p, n_symbols, t0, size), _matrix(pdf, right, q, n_symbols, t0, size)
+            x, y = _matrix(pdf, left, p, tile, n_symbols, t0, size), _matrix(pdf, right, q, tile, n_symbols, t0, size)
             mx, my = np.isfinite(x).astype(float), np.isfinite(y).astype(float)
             x, y = np.nan_to_num(x), np.nan_to_num(y)
             n = mx.T @ my
             cells = {"n": n, "sx": x.T @ my, "sy": mx.T @ y, "sxx": (x * x).T @ my, "syy": mx.T @ (y * y), "sxy": x.T @ y}
-            a, b = np.meshgrid(np.arange(n.shape[0]) + p * TILE, np.arange(n.shape[1]) + q * TILE, indexing="ij")
+            a, b = np.meshgrid(np.arange(n.shape[0]) + p * tile, np.arange(n.shape[1]) + q * tile, indexing="ij")
             keep = (n > 0) & ((a < b) | ordered)
             parts.append(pd.DataFrame({"a": a[keep], "b": b[keep], **{k: v[keep] for k, v in cells.items()}}))
         return pd.concat(parts)
 
-    tiles = _tile_pairs(rows.select("s_no", "t_no", *dict.fromkeys((left, right))), n_symbols)
+    tiles = _tile_pairs(rows.select("s_no", "t_no", *dict.fromkeys((left, right))), n_symbols, tile)
     partial = tiles.groupBy("ti", "tj", "tb").applyInPandas(sums, _SUMS)
     return partial.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
 
@@ -104,7 +106,7 @@ def _pearson():
 
 
 def correlation_pairs(
-    returns: DataFrame, *, value: str = "ret", method: str = "pearson", use_abs: bool = False, step_seconds: int = 86_400
+    returns: DataFrame, *, value: str = "ret", method: str = "pearson", use_abs: bool = False, step_seconds: int = 86_400, tile: int = TILE
 ) -> DataFrame:
     """(src, dst, n, corr, sim) for unordered pairs over their common timestamps.
 
@@ -119,7 +121,7 @@ def correlation_pairs(
     r = attach(r, mean).withColumn("_x", F.col("_x") - F.col("_m")).drop("_m")
     rows, symbols, _ = _indexed(r, step_seconds)
     n_symbols = symbols.count()
-    pairs = pair_sums(rows, "_x", "_x", n_symbols).withColumn("corr", F.coalesce(_pearson(), F.lit(0.0)))
+    pairs = pair_sums(rows, "_x", "_x", n_symbols, tile=tile).withColumn("corr", F.coalesce(_pearson(), F.lit(0.0)))
     c = F.abs("corr") if use_abs else F.col("corr")
     names = symbols.select(F.col("s_no").alias("a"), F.col("symbol").alias("src"))
     names2 = symbols.select(F.col("s_no").alias("b"), F.col("symbol").alias("dst"))
@@ -274,7 +276,8 @@ def centrality(edges: DataFrame, kind: str = "pagerank", *, by: str = "t_no") ->
 
 
 def rolling_networks(
-    returns: DataFrame, *, window: int = 60, k: int = 8, use_abs: bool = True, step_seconds: int = 86_400, stretch: int = STRETCH
+    returns: DataFrame, *, window: int = 60, k: int = 8, use_abs: bool = True, step_seconds: int = 86_400, stretch: int = STRETCH,
+    tile: int = TILE,
 ) -> DataFrame:
     """Nearest-neighbour correlation network at every timestamp with a full window.
 
@@ -292,8 +295,8 @@ def rolling_networks(
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         ti, tj, tb = (int(pdf[c].iloc[0]) for c in ("ti", "tj", "tb"))
         t0, last = tb * size - (window - 1), int(pdf["t_no"].max())
-        x = _matrix(pdf, "x", ti, n_symbols, t0, last - t0 + 1)
-        y = x if ti == tj else _matrix(pdf, "x", tj, n_symbols, t0, last - t0 + 1)
+        x = _matrix(pdf, "x", ti, tile, n_symbols, t0, last - t0 + 1)
+        y = x if ti == tj else _matrix(pdf, "x", tj, tile, n_symbols, t0, last - t0 + 1)
         mx, my = np.isfinite(x).astype(float), np.isfinite(y).astype(float)
         x, y = np.nan_to_num(x), np.nan_to_num(y)
         out = []
@@ -309,7 +312,7 @@ def rolling_networks(
             ok = (n >= 2) & (vx > floor_x) & (vy > floor_y)
             corr = np.where(ok, (n * (a.T @ b) - sx * sy) / np.sqrt(np.where(ok, vx * vy, 1.0)), 0.0)
             sim = (np.abs(corr) + 1.0) / 2.0 if use_abs else (corr + 1.0) / 2.0
-            ids_a, ids_b = np.arange(sim.shape[0]) + ti * TILE, np.arange(sim.shape[1]) + tj * TILE
+            ids_a, ids_b = np.arange(sim.shape[0]) + ti * tile, np.arange(sim.shape[1]) + tj * tile
             for src, dst, m in ((ids_a, ids_b, sim),) if ti == tj else ((ids_a, ids_b, sim), (ids_b, ids_a, sim.T)):
                 m = np.where(src[:, None] == dst[None, :], -1.0, m)
                 # stable sort of the reversed columns: equal similarities take the later node
@@ -321,7 +324,7 @@ def rolling_networks(
                 }))
         return pd.concat(out) if out else pd.DataFrame({"t_no": [], "a": [], "b": [], "sim": []})
 
-    tiles = _tile_pairs(rows.select("s_no", "t_no", "x"), n_symbols, back=window - 1, stretch=size)
+    tiles = _tile_pairs(rows.select("s_no", "t_no", "x"), n_symbols, tile, back=window - 1, stretch=size)
     near = tiles.groupBy("ti", "tj", "tb").applyInPandas(best, "t_no long, a int, b int, sim double")
     names = symbols.select(F.col("s_no").alias("a"), F.col("symbol").alias("src"))
     names2 = symbols.select(F.col("s_no").alias("b"), F.col("symbol").alias("dst"))

@@ -86,9 +86,11 @@ def metrics_of(curve):
     return rounded(mx.curve_metrics(curve))
 
 
-add("flagship", lambda s, d: metrics_of(curve_of(s, d)), sql_out(SQL_EVENT_BARS + SQL_SIGNAL + sql_curve() + SQL_METRICS, "met", METRICS, MPLAIN))
-add("curve_metrics", lambda s, d: metrics_of(curve_of(s, d, bars=ship_bars)),
+add("flagship", lambda s, d: metrics_of(curve_of(s, d, bars=ship_bars)),
     sql_out(SQL_SHIP_BARS + SQL_SIGNAL + sql_curve() + SQL_METRICS, "met", METRICS, MPLAIN))
+# a month of hourly bars has no meaningful yearly growth; the flagship covers it on years of bars
+add("curve_metrics", lambda s, d: metrics_of(curve_of(s, d)).drop("cagr"),
+    sql_out(SQL_EVENT_BARS + SQL_SIGNAL + sql_curve() + SQL_METRICS, "met", METRICS.replace("cagr ", ""), MPLAIN))
 add("drawdowns", lambda s, d: rounded(mx.drawdowns(curve_of(s, d)).select("symbol", "ts", "equity", "drawdown")),
     sql_out(SQL_EVENT_BARS + SQL_SIGNAL + sql_curve() + SQL_METRICS, "dd", "equity drawdown"))
 
@@ -134,8 +136,8 @@ add("asset_metrics", per_asset,
             "total_return sharpe win_rate profit_factor", "symbol n_bars n_trades"))
 
 # ---- barriers: one state machine per symbol in SQL ------------------------------------------
-BAR = bt.Barriers(stop_loss=0.06, take_profit=0.2)
-TRAIL = bt.Barriers(stop_loss=0.2, trailing_stop=0.25, trailing_atr_mult=0.8)
+BAR = bt.Barriers(stop_loss=0.02, take_profit=0.08)
+TRAIL = bt.Barriers(stop_loss=0.06, trailing_stop=0.08, trailing_atr_mult=0.8)
 DAILY = bt.Barriers(stop_loss=0.03, take_profit=0.05, take_profit_first=True)
 
 
@@ -218,8 +220,8 @@ add("barrier_exits", first_exit,
     h1 AS (SELECT *, CASE WHEN lag(want) {W} IS NULL OR lag(want) {W} <> want THEN 1 ELSE 0 END AS chg FROM h0),
     h2 AS (SELECT *, sum(chg) {W} AS seg FROM h1 WHERE p1 IS NOT NULL),
     h3 AS (SELECT *, first_value(open) OVER (PARTITION BY symbol, seg ORDER BY bar_no) AS ep FROM h2 WHERE want <> 0),
-    h4 AS (SELECT *, CASE WHEN want > 0 AND low <= ep * (1 - 0.06) THEN ep * (1 - 0.06) WHEN want < 0 AND high >= ep * (1 + 0.06) THEN ep * (1 + 0.06) END AS st,
-      CASE WHEN want > 0 AND high >= ep * 1.2 THEN ep * 1.2 WHEN want < 0 AND low <= ep * (1 - 0.2) THEN ep * (1 - 0.2) END AS tp FROM h3)
+    h4 AS (SELECT *, CASE WHEN want > 0 AND low <= ep * (1 - 0.02) THEN ep * (1 - 0.02) WHEN want < 0 AND high >= ep * (1 + 0.02) THEN ep * (1 + 0.02) END AS st,
+      CASE WHEN want > 0 AND high >= ep * (1 + 0.08) THEN ep * (1 + 0.08) WHEN want < 0 AND low <= ep * (1 - 0.08) THEN ep * (1 - 0.08) END AS tp FROM h3)
     SELECT symbol, ts, round(ep, 6) AS entry_price, round(coalesce(st, tp), 6) AS barrier_price,
       CASE WHEN st IS NOT NULL THEN 'stop_loss' ELSE 'take_profit' END AS exit_reason
     FROM h4 WHERE st IS NOT NULL OR tp IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, seg ORDER BY bar_no) = 1""")

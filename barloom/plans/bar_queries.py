@@ -158,7 +158,6 @@ def live_columns(s, d):
     return counts.unpivot([], list(ind.FEATURES), "feature", "n_values").where(F.col("n_values") > 0)
 
 
-add("live_feature_columns", live_columns)
 
 # ---- window indicators ---------------------------------------------------------------------
 RET = derive("r", "close - lag(close) OVER w AS diff_1, close / nullif(lag(close) OVER w,0) - 1 AS ret_1, "
@@ -393,3 +392,7 @@ def left_out(s, d):
 add("charts_left_out", left_out,
     f"WITH RECURSIVE {SQL_EVENT_BARS} {SCORE} SELECT symbol FROM sc WHERE symbol NOT IN (SELECT symbol FROM sc WHERE conditions_met >= 1 "
     "ORDER BY conditions_met DESC, symbol LIMIT 3)")
+
+add("live_feature_columns", live_columns,
+    f"WITH RECURSIVE {SQL_EVENT_BARS} {FM}, c AS (SELECT " + ", ".join(f"count({c}) AS {c}" for c in ind.FEATURES)
+    + " FROM fm WHERE bar_no < 150) SELECT * FROM (UNPIVOT c ON COLUMNS(*) INTO NAME feature VALUE n_values) WHERE n_values > 0")

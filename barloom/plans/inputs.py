@@ -20,10 +20,10 @@ def line_order() -> Column:
 
 
 def event_bars(spark: SparkSession, sf_dir: str, *, numbered: bool = True) -> DataFrame:
-    """Hourly bars per event type; the value plus 100 is the price."""
+    """Hourly bars per event type; the value plus 1000 is the price."""
     e = table(spark, sf_dir, "events")
     return build_bars(
-        e, symbol="event_type", ts="ts", price=F.col("value") + 100.0, order_key=F.struct("ts", "event_id"),
+        e, symbol="event_type", ts="ts", price=F.col("value") + 1000.0, order_key=F.struct("ts", "event_id"),
         unit="hour", step_seconds=HOUR, numbered=numbered,
     )
 
@@ -65,8 +65,8 @@ SQL_EVENT_BARS = """
 bars AS (
   SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS bar_no FROM (
     SELECT event_type AS symbol, date_trunc('hour', ts)::TIMESTAMP AS ts,
-           arg_min(value + 100.0, (ts, event_id)) AS open, max(value + 100.0) AS high,
-           min(value + 100.0) AS low, arg_max(value + 100.0, (ts, event_id)) AS close,
+           arg_min(value + 1000.0, (ts, event_id)) AS open, max(value + 1000.0) AS high,
+           min(value + 1000.0) AS low, arg_max(value + 1000.0, (ts, event_id)) AS close,
            count(*)::DOUBLE AS volume
     FROM events GROUP BY 1, 2))"""
 

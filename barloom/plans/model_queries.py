@@ -25,7 +25,7 @@ def add(name, fn, sql=None):
 
 
 W = "OVER (PARTITION BY symbol ORDER BY bar_no)"
-THR = 0.2
+THR = 0.02
 
 
 def labelled(s, d):
@@ -142,32 +142,32 @@ add("regression_metrics",
 add("class_signals", lambda s, d: rounded(md.predicted_signal(ruled(s, d).withColumn("prediction", F.col("prediction") + 1)).select("symbol", "ts", "signal")),
     f"WITH {SQL_EVENT_BARS} {SQL_RULE} SELECT symbol, ts, prediction::DOUBLE AS signal FROM ru")
 add("regression_signals",
-    lambda s, d: md.predicted_signal(ruled(s, d).withColumn("p", F.col("future_ret") / 2), task="regression", threshold=0.05, prediction="p").select("symbol", "ts", "signal"),
-    f"WITH {SQL_EVENT_BARS} {SQL_LAB} SELECT symbol, ts, CASE WHEN future_ret / 2 > 0.05 THEN 1.0::DOUBLE WHEN future_ret / 2 < -0.05 THEN -1.0 ELSE 0.0 END AS signal FROM lb")
+    lambda s, d: md.predicted_signal(ruled(s, d).withColumn("p", F.col("future_ret") / 2), task="regression", threshold=0.01, prediction="p").select("symbol", "ts", "signal"),
+    f"WITH {SQL_EVENT_BARS} {SQL_LAB} SELECT symbol, ts, CASE WHEN future_ret / 2 > 0.01 THEN 1.0::DOUBLE WHEN future_ret / 2 < -0.01 THEN -1.0 ELSE 0.0 END AS signal FROM lb")
 
 
 def proba(s, d):
     x = labelled(s, d)
-    up, down = 1 / (1 + F.exp(-10 * F.col("future_ret"))), 1 / (1 + F.exp(8 * F.col("future_ret")))
+    up, down = 1 / (1 + F.exp(-30 * F.col("future_ret"))), 1 / (1 + F.exp(24 * F.col("future_ret")))
     return x.select("symbol", "ts", md.probability_signal(up, down, enter=0.55).alias("signal"),
                     md.probability_signal(up, down, enter=0.55, allow_short=False).alias("long_only"))
 
 
 add("probability_signals", proba,
-    f"WITH {SQL_EVENT_BARS} {SQL_LAB} SELECT symbol, ts, CASE WHEN 1 / (1 + exp(8 * future_ret)) >= 0.55 THEN -1.0::DOUBLE WHEN 1 / (1 + exp(-10 * future_ret)) >= 0.55 "
-    "THEN 1.0 ELSE 0.0 END AS signal, CASE WHEN 1 / (1 + exp(-10 * future_ret)) >= 0.55 THEN 1.0::DOUBLE ELSE 0.0 END AS long_only FROM lb")
+    f"WITH {SQL_EVENT_BARS} {SQL_LAB} SELECT symbol, ts, CASE WHEN 1 / (1 + exp(24 * future_ret)) >= 0.55 THEN -1.0::DOUBLE WHEN 1 / (1 + exp(-30 * future_ret)) >= 0.55 "
+    "THEN 1.0 ELSE 0.0 END AS signal, CASE WHEN 1 / (1 + exp(-30 * future_ret)) >= 0.55 THEN 1.0::DOUBLE ELSE 0.0 END AS long_only FROM lb")
 
 
 def states(s, d):
     """Three states by the last return's size."""
     b = ind.returns(event_bars(s, d)).select("symbol", "ts", "bar_no", F.col("ret_1").alias("ret"))
     r = F.coalesce(F.abs("ret"), F.lit(0.0))
-    return b.withColumn("state", F.when(r < 0.1, 0).when(r < 0.3, 1).otherwise(2))
+    return b.withColumn("state", F.when(r < 0.02, 0).when(r < 0.05, 1).otherwise(2))
 
 
 add("risk_off_gate", lambda s, d: risk_off(states(s, d), train=F.col("bar_no") < 400).select("symbol", "ts", "state", "risk_off"),
     f"""WITH {SQL_EVENT_BARS}, r AS (SELECT *, close / lag(close) {W} - 1 AS ret FROM bars),
-    q AS (SELECT *, CASE WHEN coalesce(abs(ret), 0) < 0.1 THEN 0 WHEN coalesce(abs(ret), 0) < 0.3 THEN 1 ELSE 2 END AS state FROM r),
+    q AS (SELECT *, CASE WHEN coalesce(abs(ret), 0) < 0.02 THEN 0 WHEN coalesce(abs(ret), 0) < 0.05 THEN 1 ELSE 2 END AS state FROM r),
     w AS (SELECT symbol, state FROM (SELECT symbol, state, avg(coalesce(ret, 0)) AS m, stddev_samp(coalesce(ret, 0)) AS sd, count(*) AS n FROM q WHERE bar_no < 400 GROUP BY 1, 2)
       WHERE n >= 10 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY sd DESC, m) = 1)
     SELECT q.symbol, q.ts, q.state, coalesce(q.state = w.state, false) AS risk_off FROM q LEFT JOIN w ON w.symbol = q.symbol""")

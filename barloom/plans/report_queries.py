@@ -10,9 +10,11 @@ from barloom.operators import metrics as mx
 from barloom.operators import report as rp
 from barloom.operators import sweep as sw
 from barloom.plans import market
-from barloom.plans.bar_queries import ATR, full
+from barloom.plans.backtest_queries import SQL_METRICS, curve_of, sql_curve
+from barloom.plans.bar_queries import ATR, ICHI, RSI, full
 from barloom.plans.inputs import SQL_EVENT_BARS, event_bars, rounded, sql_select, table
 from barloom.sources import runs as rn
+from barloom.plans.strategy import SQL_SIGNAL
 from barloom.session import durable
 
 QUERIES, ORACLES = {}, {}
@@ -138,15 +140,15 @@ def core_signals(s, d):
     """Signals of three cores and simple gates, all from the last returns."""
     b = ind.returns(event_bars(s, d))
     r, r5 = F.coalesce("ret_1", F.lit(0.0)), F.coalesce("ret_5", F.lit(0.0))
-    sign = lambda x: F.when(x > 0.02, 1.0).when(x < -0.02, -1.0).otherwise(0.0)
+    sign = lambda x: F.when(x > 0.01, 1.0).when(x < -0.01, -1.0).otherwise(0.0)
     cores = F.array(
         F.struct(F.lit("hgb").alias("core"), sign(r).alias("signal")), F.struct(F.lit("rf").alias("core"), sign(r5).alias("signal")),
         F.struct(F.lit("mlp").alias("core"), sign(r + r5).alias("signal")),
     )
     kernels = F.create_map(F.lit("dwt_db2"), r > 0, F.lit("dwt_db8"), r5 > 0, F.lit("dwt_db8_ar5"), r5 < 0, F.lit("cwt_morlet"), r < 0)
     return b.select(
-        "symbol", "ts", F.inline(cores), sign(2 * r).alias("proba_signal"), (F.abs(r) < 0.3).alias("fft_ok"), (r5 > -0.1).alias("dmd_ok"),
-        (F.abs(r) > 0.5).alias("risk_off"), kernels.alias("wavelet_by_kernel"),
+        "symbol", "ts", F.inline(cores), sign(2 * r).alias("proba_signal"), (F.abs(r) < 0.05).alias("fft_ok"), (r5 > -0.03).alias("dmd_ok"),
+        (F.abs(r) > 0.08).alias("risk_off"), kernels.alias("wavelet_by_kernel"),
     )
 
 
@@ -167,10 +169,10 @@ def sql_variants():
 add("gated_signals", gated,
     f"""WITH {SQL_EVENT_BARS}, {sql_variants()},
     rt AS (SELECT symbol, ts, coalesce(close / lag(close) {W} - 1, 0) AS r, coalesce(close / lag(close, 5) {W} - 1, 0) AS r5 FROM bars),
-    vs AS (SELECT symbol, name, CASE WHEN use_proba THEN sign(CASE WHEN abs(2*r) > 0.02 THEN r ELSE 0 END)
-        ELSE CASE core WHEN 'hgb' THEN CASE WHEN abs(r) > 0.02 THEN sign(r) ELSE 0 END WHEN 'rf' THEN CASE WHEN abs(r5) > 0.02 THEN sign(r5) ELSE 0 END
-             ELSE CASE WHEN abs(r + r5) > 0.02 THEN sign(r + r5) ELSE 0 END END END AS raw,
-      (NOT fft OR abs(r) < 0.3) AND (NOT dmd OR r5 > -0.1) AND (NOT hmm OR NOT abs(r) > 0.5) AND (NOT wav OR
+    vs AS (SELECT symbol, name, CASE WHEN use_proba THEN sign(CASE WHEN abs(2*r) > 0.01 THEN r ELSE 0 END)
+        ELSE CASE core WHEN 'hgb' THEN CASE WHEN abs(r) > 0.01 THEN sign(r) ELSE 0 END WHEN 'rf' THEN CASE WHEN abs(r5) > 0.01 THEN sign(r5) ELSE 0 END
+             ELSE CASE WHEN abs(r + r5) > 0.01 THEN sign(r + r5) ELSE 0 END END END AS raw,
+      (NOT fft OR abs(r) < 0.05) AND (NOT dmd OR r5 > -0.03) AND (NOT hmm OR NOT abs(r) > 0.08) AND (NOT wav OR
         coalesce(CASE coalesce(kernel, 'dwt_db8') || CASE WHEN arp IS NULL THEN '' ELSE '_ar5' END WHEN 'dwt_db2' THEN r > 0 WHEN 'dwt_db8' THEN r5 > 0
           WHEN 'dwt_db8_ar5' THEN r5 < 0 WHEN 'cwt_morlet' THEN r < 0 END, false)) AS pass FROM rt CROSS JOIN vr)
     SELECT symbol, name, sum(CASE WHEN pass THEN raw ELSE 0 END)::DOUBLE AS net, count(*) FILTER (pass AND raw <> 0) AS n_open, count(*) AS n FROM vs GROUP BY 1, 2""")
@@ -182,15 +184,15 @@ add("market_summary", lambda s, d: rounded(market.summary(durable(event_bars(s,
     f"WITH RECURSIVE {SQL_EVENT_BARS} {ATR}, m AS (SELECT *, {full('avg', 50)('close')} AS s50, {full('avg', 200)('close')} AS s200 FROM bars) "
     "SELECT symbol, ts, round(close, 6) AS last_close, CASE WHEN s50 IS NULL OR s200 IS NULL THEN 'neutral' WHEN s50 > s200 THEN 'bull' WHEN s50 < s200 THEN 'bear' END AS regime, "
     "CASE WHEN atr_14 / close >= 0.015 THEN 'day' ELSE 'scalp' END AS style FROM m JOIN atr_14 USING (symbol, bar_no) QUALIFY bar_no = max(bar_no) OVER (PARTITION BY symbol)")
-add("market_enriched", lambda s, d: rounded(market.enriched(event_bars(s, d)).select("symbol", "ts", "rsi_14", "tenkan", "kijun", "senkou_a", "senkou_b")))
+add("market_enriched", lambda s, d: rounded(market.enriched(event_bars(s, d)).select("symbol", "ts", "rsi_14", "tenkan", "kijun", "senkou_a", "senkou_b")),
+    f"WITH RECURSIVE {SQL_EVENT_BARS} {RSI} {ICHI} SELECT {sql_select('rsi_14 tenkan kijun senkou_a senkou_b', plain='symbol k.ts')} FROM k LEFT JOIN rs USING (symbol, bar_no)")
 
 
 def recomputed(s, d):
     """Curve metrics of runs whose curves are at hand."""
-    from barloom.plans.backtest_queries import curve_of
-
     c = curve_of(s, d).withColumnRenamed("symbol", "run")
     return rounded(mx.curve_metrics(c.withColumn("symbol", F.col("run")), key=("run",)).select("run", "n_bars", "sharpe"))
 
 
-add("recomputed_metrics", recomputed)
+add("recomputed_metrics", recomputed,
+    f"WITH RECURSIVE {SQL_EVENT_BARS} {SQL_SIGNAL} {sql_curve()} {SQL_METRICS} SELECT symbol AS run, n_bars, round(sharpe, 6) AS sharpe FROM met")

@@ -43,7 +43,7 @@ def parse_summaries(texts: DataFrame, *, value: str = "value") -> DataFrame:
 
 
 def read_summaries(spark: SparkSession, root: str, pattern: str = "bt_*") -> DataFrame:
-    texts = spark.read.option("wholetext", "true").text(f"{root}/{pattern}/backtest_summary.json")
+    texts = spark.read.text(f"{root}/{pattern}/backtest_summary.json", wholetext=True)
     return parse_summaries(texts.select(run_of("_metadata.file_path").alias("run"), "value"))
 
 
