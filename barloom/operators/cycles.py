@@ -149,11 +149,15 @@ def fft_gate(bars: DataFrame, *, window: int = 128, min_period: float = 10.0, ma
     return p.select("symbol", "ts", "bar_no", F.col("period").isNotNull().alias("ok"))
 
 
-def centred_returns(bars: DataFrame, *, block: int = BLOCK) -> DataFrame:
-    """Log returns of the floored close, missing ones 0, minus the symbol's mean (column x)."""
+def centred_returns(bars: DataFrame, *, trailing: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Log returns of the floored close, missing ones 0, minus the symbol's mean (column x).
+    ``trailing`` takes the mean of the last so many bars instead, which looks at no later bar."""
     floored = F.greatest(F.col("close"), F.lit(1e-12))
     r = over_blocks(bars, lambda f: {"_r": F.ln(floored) - F.ln(f.lag(floored))}, back=1, block=block)
     r = r.withColumn("_r", F.coalesce(finite("_r"), F.lit(0.0)))
+    if trailing:
+        r = over_blocks(r, lambda f: {"_m": F.avg("_r").over(f.last(trailing))}, back=trailing, block=block)
+        return r.select("symbol", "ts", "bar_no", (F.col("_r") - F.col("_m")).alias("x"))
     mean = r.groupBy("symbol").agg(F.avg("_r").alias("_m"))
     return attach(r, mean).select("symbol", "ts", "bar_no", (F.col("_r") - F.col("_m")).alias("x"))
 

@@ -8,6 +8,7 @@ from barloom.operators import cycles as cy
 from barloom.operators import indicators as ind
 from barloom.operators import tensor as tn
 from barloom.operators.layout import number_rows
+from barloom.plans import market
 from barloom.plans.inputs import HOUR, SQL_EVENT_BARS, WEEK, brand_bars, event_bars, rounded, table
 from barloom.plans.panel_queries import panel_returns
 from barloom.session import durable
@@ -36,6 +37,8 @@ add("dominant_cycles", lambda s, d: rounded(cy.dominant_cycles(event_bars(s, d))
     p AS (SELECT *, re * re + im * im AS power, row_number() OVER (PARTITION BY symbol ORDER BY re * re + im * im DESC) AS k FROM q)
     SELECT symbol, k, round(n / f, 5) AS period, round(f / n, 5) AS frequency, round(power, 5) AS power, round(2 * sqrt(power) / n, 5) AS amplitude,
       round(atan2(im, re), 5) AS phase FROM p WHERE k <= 3""")
+CYCLE_COLS = "fft_period1 fft_power1 fft_amp1 fft_period2 fft_period3".split()
+add("cycle_columns", lambda s, d: rounded(market.with_cycle_columns(event_bars(s, d)).select("symbol", "ts", "fft_period", *CYCLE_COLS), 5))
 add("centred_returns", lambda s, d: rounded(cy.centred_returns(event_bars(s, d)).select("symbol", "ts", "x")),
     f"WITH {SQL_EVENT_BARS}, r AS (SELECT *, coalesce(ln(close) - ln(lag(close) {W}), 0) AS r FROM bars) "
     "SELECT symbol, ts, round(r - avg(r) OVER (PARTITION BY symbol), 6) AS x FROM r")
