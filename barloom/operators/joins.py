@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.expr import MICROS_PER_DAY, micros
 from barloom.operators.layout import BLOCK, carried, number_rows, over_blocks
+from barloom.session import durable
 
 
 def pivot_series(macro: DataFrame, series: Sequence[str] | None = None) -> DataFrame:
@@ -77,8 +78,8 @@ def panel_outer(bars: DataFrame, *, value: str = "close", step_seconds: int = 86
     timestamp x symbol grid is never joined together.
     """
     v = bars.where(F.col(value).isNotNull()).select("symbol", "ts", "bar_no", value)
-    v = number_rows(v.drop("bar_no"), step_seconds=step_seconds)
-    cal = calendar(v, step_seconds=step_seconds)
+    v = durable(number_rows(durable(v.drop("bar_no")), step_seconds=step_seconds))
+    cal = durable(calendar(v, step_seconds=step_seconds))
     v = v.join(cal, "ts")
     v = over_blocks(v, lambda f: {"_next": f.lead("t_no")}, back=0, ahead=1, block=block)
     size = cal.agg(F.max("t_no").alias("_t"))

@@ -36,7 +36,7 @@ def symbol_index(rows: DataFrame) -> DataFrame:
 
 
 def _indexed(rows: DataFrame, step_seconds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    symbols, cal = durable(symbol_index(rows)), calendar(rows, step_seconds=step_seconds)
+    symbols, cal = durable(symbol_index(rows)), durable(calendar(rows, step_seconds=step_seconds))
     return attach(rows, symbols).join(cal, "ts"), symbols, cal
 
 
@@ -115,7 +115,8 @@ def correlation_pairs(
     """
     r = returns.where(F.col(value).isNotNull()).select("symbol", "ts", F.col(value).alias("_x"))
     if method.strip().lower().startswith("spear"):
-        r = average_ranks(r, ["symbol"], "_x", "_r").select("symbol", "ts", F.col("_r").alias("_x"))
+        r = average_ranks(durable(r), ["symbol"], "_x", "_r").select("symbol", "ts", F.col("_r").alias("_x"))
+    r = durable(r)
     mean = r.groupBy("symbol").agg(F.avg("_x").alias("_m"))
     # a shift per asset leaves the correlation alone and keeps the sums well conditioned
     r = attach(r, mean).withColumn("_x", F.col("_x") - F.col("_m")).drop("_m")
@@ -285,7 +286,7 @@ def rolling_networks(
     keeps the k best neighbours of each node and timestamp, so that the T x A² similarities
     exist only inside tasks. The best of the kept ones over all tiles are the network.
     """
-    r = returns.where(F.col("ret").isNotNull())
+    r = durable(returns.where(F.col("ret").isNotNull()).select("symbol", "ts", "ret"))
     mean = r.groupBy("symbol").agg(F.avg("ret").alias("_m"))
     r = attach(r, mean).select("symbol", "ts", (F.col("ret") - F.col("_m")).alias("x"))
     rows, symbols, cal = _indexed(r, step_seconds)
@@ -358,21 +359,23 @@ def allocate(
     """Budget over clusters, then within each cluster; clipped and normalised once more.
     Adds the volatility and the diagonal risk contribution."""
     equal = {"equal", "ew"}
+    clusters = durable(clusters.select("symbol", "cluster"))
     assets = returns.select("symbol").distinct().join(clusters.select("symbol", "cluster"), "symbol", "left").fillna(0, ["cluster"])
     vol = trailing_volatility(returns, "symbol", lookback=lookback)
     cvol = trailing_volatility(cluster_returns(returns, clusters), "cluster", lookback=lookback)
     inverse = lambda v: 1.0 / (F.when(F.col(v) != 0, F.col(v)) + eps)
     c = cvol.withColumn("_cw", F.lit(1.0) if cluster_budget in equal else inverse("vol")).select("cluster", F.coalesce("_cw", F.lit(0.0)).alias("_cw"))
+    c = durable(c)
     c = c.join(F.broadcast(c.agg(F.sum("_cw").alias("_cs"))))
     a = assets.join(vol, "symbol", "left").withColumn("_w", F.lit(1.0) if within_cluster in equal else inverse("vol"))
-    a = a.withColumn("_w", F.coalesce("_w", F.lit(0.0)))
+    a = durable(a.withColumn("_w", F.coalesce("_w", F.lit(0.0))))
     inside = a.groupBy("cluster").agg(F.sum("_w").alias("_ws"))
     a = a.join(inside, "cluster").join(c, "cluster")
     w = F.coalesce(ratio("_w", "_ws"), F.lit(0.0)) * F.coalesce(ratio("_cw", "_cs"), F.lit(0.0))
     w = F.greatest(w, F.lit(float(min_weight)))
     if max_weight is not None:
         w = F.least(w, F.lit(float(max_weight)))
-    a = a.withColumn("_raw", w)
+    a = durable(a.withColumn("_raw", w))
     risk = F.col("weight") * F.col("weight") * F.coalesce(F.col("vol") * F.col("vol"), F.lit(0.0))
     a = a.join(F.broadcast(a.agg(F.sum("_raw").alias("_rs")))).withColumn("weight", F.coalesce(ratio("_raw", "_rs"), F.lit(0.0)))
     a = a.withColumn("_risk", risk)

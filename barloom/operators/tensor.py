@@ -18,7 +18,7 @@ from barloom.operators.indicators import liquidity, realized_vol
 from barloom.operators.joins import calendar
 from barloom.operators.layout import BLOCK, over_blocks
 from barloom.operators.network import MAX_NODES, pair_sums, symbol_index
-from barloom.session import durable
+from barloom.session import durable, small
 
 FEATURES = ("returns", "rv", "depth", "dollar_volume", "hl_range")
 
@@ -36,12 +36,13 @@ def tensor_long(
     long = x.select("ts", "symbol", *[F.col(names[f]).alias(f) for f in wanted]).unpivot(
         ["ts", "symbol"], wanted, "feature", "value"
     )
+    long = durable(long)
     filled = long.groupBy("symbol", "feature").agg(F.count("value").alias("_c")).where("_c > 0")
     usable = filled.groupBy("feature").agg(F.count(F.lit(1)).alias("_a")).where("_a >= 2").select("feature")
     filled = filled.join(F.broadcast(usable), "feature", "left_semi")
     whole = filled.groupBy("symbol").agg(F.count(F.lit(1)).alias("_f")).join(F.broadcast(usable.agg(F.count(F.lit(1)).alias("_nf"))))
     assets = whole.where("_f = _nf").select("symbol")
-    t = long.join(F.broadcast(usable), "feature", "left_semi").join(assets, "symbol", "left_semi")
+    t = long.join(F.broadcast(usable), "feature", "left_semi").join(small(assets), "symbol", "left_semi")
     if strict:
         n = assets.agg(F.count(F.lit(1)).alias("_n")).join(F.broadcast(usable.agg(F.count(F.lit(1)).alias("_nf"))))
         full = t.groupBy("ts").agg(F.count("value").alias("_c")).join(F.broadcast(n)).where("_c = _n * _nf")

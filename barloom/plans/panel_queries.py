@@ -80,7 +80,7 @@ SQL_PANEL = """,
  pn AS (SELECT *, count(*) OVER (PARTITION BY ts) AS c, (SELECT count(DISTINCT symbol) FROM bars) AS n FROM bars),
  panel AS (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS bar_no FROM pn WHERE c = n),
  rets AS (SELECT * FROM (SELECT symbol, ts, ln(close) - ln(lag(close) OVER (PARTITION BY symbol ORDER BY bar_no)) AS ret FROM panel) WHERE ret IS NOT NULL)"""
-add("panel_inner", lambda s, d: rounded(jn.panel_inner(brand_bars(s, d, numbered=False))),
+add("panel_inner", lambda s, d: rounded(jn.panel_inner(durable(brand_bars(s, d, numbered=False)))),
     f"WITH {SQL_BRAND_BARS} {SQL_PANEL} SELECT symbol, ts, round(close, 6) AS close FROM panel")
 add("panel_outer", lambda s, d: rounded(jn.panel_outer(ship_bars(s, d, numbered=False).withColumn("bar_no", F.lit(0)))),
     f"""WITH {SQL_SHIP_BARS}, cal AS (SELECT DISTINCT ts FROM bars), sy AS (SELECT DISTINCT symbol FROM bars),
@@ -102,7 +102,7 @@ add("panel_log_returns", lambda s, d: rounded(panel_returns(s, d)), f"WITH {SQL_
 
 
 def grouped_flags(s, d):
-    return ship_bars(s, d, numbered=False).select("symbol", "ts")
+    return durable(ship_bars(s, d, numbered=False).select("symbol", "ts"))
 
 
 def split(s, d, letter):

@@ -174,7 +174,7 @@ def lexicon(s):
 
 
 def scored(s, d):
-    return tx.score_headlines(cleaned(s, d), lexicon(s))
+    return tx.score_headlines(durable(cleaned(s, d)), lexicon(s))
 
 
 SQL_SCORE = SQL_HEAD + ", lex(token, valence) AS (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in LEXICON.items()) + r"""),
