@@ -14,6 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Share out a table that was read in fewer pieces than there are cores (one small file is one
+    piece, whatever runs on it). Tables with enough pieces stay where they are. Hashing a key,
+    unlike dealing rows out in turn, gives the same pieces when a task is repeated."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def line_order() -> Column:
     """The given lines repeat some (order, line) pairs; the price settles those."""
     return F.struct("l_orderkey", "l_linenumber", "l_extendedprice")
@@ -31,7 +39,7 @@ def event_bars(spark: SparkSession, sf_dir: str, *, numbered: bool = True) -> Da
 def ship_bars(spark: SparkSession, sf_dir: str, *, numbered: bool = True) -> DataFrame:
     """Daily bars per return flag and line status; the line value plus a million is the price,
     which keeps returns to a few percent."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     return build_bars(
         li, symbol=F.concat("l_returnflag", "l_linestatus"), ts="l_shipdate",
         price=F.col("l_extendedprice") + 1_000_000.0,
@@ -42,7 +50,7 @@ def ship_bars(spark: SparkSession, sf_dir: str, *, numbered: bool = True) -> Dat
 
 def brand_bars(spark: SparkSession, sf_dir: str, *, numbered: bool = True) -> DataFrame:
     """Weekly line-value bars per part brand."""
-    li = table(spark, sf_dir, "lineitem").join(
+    li = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").join(
         table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")
     )
     return build_bars(

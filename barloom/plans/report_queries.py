@@ -12,7 +12,7 @@ from barloom.operators import sweep as sw
 from barloom.plans import market
 from barloom.plans.backtest_queries import SQL_METRICS, curve_of, sql_curve
 from barloom.plans.bar_queries import ATR, ICHI, RSI, full
-from barloom.plans.inputs import SQL_EVENT_BARS, event_bars, rounded, sql_select, table
+from barloom.plans.inputs import SQL_EVENT_BARS, event_bars, rounded, spread, sql_select, table
 from barloom.sources import runs as rn
 from barloom.plans.strategy import SQL_SIGNAL
 from barloom.session import durable
@@ -37,7 +37,7 @@ def pick(values, n):
 
 def run_texts(s, d):
     """One run summary per order as JSON text; the order's numbers choose the configuration."""
-    o = table(s, d, "orders")
+    o = spread(table(s, d, "orders"), "o_orderkey")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     single = k % 4 != 0
     price = F.col("o_totalprice") / 1e5

@@ -8,7 +8,7 @@ from barloom.functions import symbols as sy
 from barloom.operators import conditions as cond
 from barloom.operators import text as tx
 from barloom.operators.bars import first_source_with_rows
-from barloom.plans.inputs import SQL_EVENT_BARS, SQL_ORDER_MACRO, SQL_SHIP_BARS, event_bars, order_macro, rounded, ship_bars, sql_select, table
+from barloom.plans.inputs import SQL_EVENT_BARS, SQL_ORDER_MACRO, SQL_SHIP_BARS, event_bars, order_macro, rounded, ship_bars, spread, sql_select, table
 from barloom.session import durable
 from barloom.sources import feeds, landed
 
@@ -124,7 +124,7 @@ add("symbol_names", lambda s, d: made_symbols(s, d).select("o_orderkey", sy.stoo
 
 def rss(s, d):
     """One feed per document; every line is an item, dated by document and line."""
-    doc = table(s, d, "documents").select("doc_id", F.col("source").alias("ticker"), F.split("text", "\n").alias("_l"))
+    doc = spread(table(s, d, "documents"), "doc_id").select("doc_id", F.col("source").alias("ticker"), F.split("text", "\n").alias("_l"))
     safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     when = lambda i: F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") * 60 + i), "EEE, dd MMM yyyy HH:mm:ss")
     item = F.transform("_l", lambda t, i: F.concat(
@@ -152,7 +152,7 @@ add("recent_news", lambda s, d: cond.recent_news(
 
 def headline_rows(s, d):
     """Every line of every document is a headline of its source."""
-    x = table(s, d, "documents").select(F.col("source").alias("ticker"), "doc_id", F.posexplode(F.split("text", "\n")).alias("_i", "headline"))
+    x = spread(table(s, d, "documents"), "doc_id").select(F.col("source").alias("ticker"), "doc_id", F.posexplode(F.split("text", "\n")).alias("_i", "headline"))
     return x.select("ticker", "headline", (F.col("doc_id") * 1_000_000 + F.col("_i")).alias("pos"))
 
 
