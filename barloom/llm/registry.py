@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import exact_dedup, language_id, mixing, near_dedup, sentencepiece_codec, token_counts
+from barloom.llm import exact_dedup, html_extract, language_id, media, mixing, near_dedup, pii, sentencepiece_codec, substring_dedup, token_counts
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -26,6 +26,18 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_documents(spark, sf_dir))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_documents(spark, sf_dir))
+
+
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(_documents(spark, sf_dir))
+
+
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(_documents(spark, sf_dir)).drop("digest")
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encoded(_documents(spark, sf_dir), PIECES)
 
@@ -39,7 +51,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.languages(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_token_counts, op3_mixing, op7_sentencepiece, op8_exact_duplicates, op9_language_id)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_near_duplicates, op2_token_counts, op3_mixing, op4_personal_data, op5_repeated_passages, op6_media_columns, op7_sentencepiece, op8_exact_duplicates, op9_language_id, op10_html_extraction)}
 ORACLES = {
     "op8_exact_duplicates": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
