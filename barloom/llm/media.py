@@ -44,7 +44,7 @@ def to_png(payload: bytes) -> bytes:
     lines = np.zeros((len(rows), WIDTH + 1), np.uint8)
     lines[:, 1:] = rows
     head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 5)) + _chunk(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
 def header(first: bytes) -> tuple[int, int, int]:
@@ -78,8 +78,8 @@ class _Shard:
     """A tar file written front to back; add() tells where a member's bytes begin."""
 
     def __init__(self, fs, folder: str) -> None:
-        self.path = f"{folder}/{uuid.uuid4().hex}.tar"
-        self.out, self.size = fs.open_output_stream(self.path), 0
+        self.name = f"{uuid.uuid4().hex}.tar"
+        self.out, self.size = fs.open_output_stream(f"{folder}/{self.name}"), 0
 
     def add(self, name: str, data: bytes) -> int:
         info = tarfile.TarInfo(name)
@@ -115,7 +115,7 @@ def _writer(uri: str):
                         if shard is None:
                             shard = _Shard(fs, folder)
                         media = to_png(payload)
-                        places[digest] = (shard.path, shard.add(digest.hex() + ".png", media), len(media))
+                        places[digest] = (shard.name, shard.add(digest.hex() + ".png", media), len(media))
                         if shard.size >= SHARD_BYTES:
                             shard.close()
                             shard, places_done = None, places[digest]
@@ -147,7 +147,7 @@ def _reader(uri: str, samples: bool):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs as pafs
 
-        fs, _ = pafs.FileSystem.from_uri(uri)
+        fs, folder = pafs.FileSystem.from_uri(uri)
         opened, name = None, None
         for batch in batches:
             for begin in range(0, batch.num_rows, BATCH):
@@ -156,13 +156,13 @@ def _reader(uri: str, samples: bool):
                     if shard != name:
                         if opened:
                             opened.close()
-                        opened, name = fs.open_input_file(shard), shard
+                        opened, name = fs.open_input_file(f"{folder}/{shard}"), shard
                     width, height, depth = header(opened.read_at(HEADER_BYTES, offset))
                     row = [digest, width, height, depth]
                     if samples:
                         media = opened.read_at(length, offset)
                         payload = from_png(media)
-                        row += [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(payload)]
+                        row += [len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).digest(), features(payload)]
                     rows.append(row)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows, strict=True)], names=(HEAD + SAMPLES)[: len(rows[0])])
         if opened:
@@ -174,7 +174,7 @@ def _reader(uri: str, samples: bool):
 HEAD = ["digest", "width", "height", "depth"]
 SAMPLES = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 HEAD_TYPES = "digest binary, width long, height long, depth long"
-SAMPLE_TYPES = HEAD_TYPES + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+SAMPLE_TYPES = HEAD_TYPES + ", payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
 
 
 def read_back(rows: DataFrame, uri: str, samples: bool = True) -> DataFrame:
@@ -187,4 +187,5 @@ def read_back(rows: DataFrame, uri: str, samples: bool = True) -> DataFrame:
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_bytes, digest, width, height, depth, payload and media columns, feature."""
-    return read_back(*stored_payloads(docs))
+    rows = read_back(*stored_payloads(docs))
+    return rows.withColumns({c: F.lower(F.hex(c)) for c in ("payload_sha256", "media_sha256")})

@@ -261,7 +261,7 @@ def test_media_shards_are_tar_files(docs, tmp_path):
 
     rows, uri = media.stored_payloads(docs)
     row = rows.filter("n_bytes > 0").first()
-    with tarfile.open(row.shard.removeprefix("file://")) as tar:
+    with tarfile.open(f"{uri}/{row.shard}".removeprefix("file://")) as tar:
         member = tar.getmember(row.digest.hex() + ".png")
         assert (member.offset_data, member.size) == (row.offset, row.length)
         assert hashlib.sha256(media.from_png(tar.extractfile(member).read())).digest() == bytes(row.digest)
