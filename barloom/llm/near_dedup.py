@@ -7,11 +7,12 @@ filled, so a set of any size fills every coordinate, and two sets agree in a coo
 Jaccard similarity, with the concentration of independent samples.
 
 1. Equal sets become one class (128-bit set fingerprint and size).
-2. BANDS x ROWS coordinates form bucket keys. In each bucket every class is paired with the smallest one; the distinct
-   pairs are confirmed on full sets and joined into components.
+2. BANDS x ROWS coordinates form bucket keys. In each bucket every class is paired with one hub (one of HUBS orders);
+   the distinct pairs are confirmed on full sets and joined into components.
 3. Buckets that still hold several components are compared block by block inside tasks: the agreement of two sketches
-   must reach CUT; only pairs across components leave the task and are confirmed on full sets. Members of a bucket that
-   are already in one component need no comparison, so no group is expanded into all its pairs.
+   must reach CUT; only pairs across components leave the task and are confirmed on full sets: first each class's closest
+   ones, again with the components that these make until they make no more, then all that are left. Members of a bucket that are already in one
+   component need no comparison, so no group is expanded into all its pairs.
 
 A pair at similarity 0.75 shares no bucket with probability 8e-5 and falls below CUT with 1e-4; both vanish quickly above.
 
@@ -25,7 +26,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +36,7 @@ COORDINATES = 512
 BANDS, ROWS = 48, 6
 CUT = 0.675
 PIECE = 128
+HUBS = 4
 
 
 def distinct_sets(stream: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,49 +114,99 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(near).filter(100 * shared >= 75 * (F.size("ea") + F.size("eb") - shared)).select("a", "b")
 
 
-def _cross_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one block (pieces low and high of a bucket): pairs across components whose sketches agree often enough."""
-    low, high = pdf["low"].iat[0], pdf["high"].iat[0]
-    a, b = pdf[pdf["piece"] == low], pdf[pdf["piece"] == high]
-    sa, sb = (np.frombuffer(b"".join(x["sketch"]), np.uint8).reshape(len(x), -1) for x in (a, b))
-    ca, cb, na, nb = a["component"].to_numpy(), b["component"].to_numpy(), a["node"].to_numpy(), b["node"].to_numpy()
-    out = []
-    for i in range(len(a)):
-        wanted = np.flatnonzero((cb != ca[i]) & ((nb > na[i]) | (low != high)))
-        if len(wanted):
-            agree = (sb[wanted] == sa[i]).mean(axis=1)
-            hit = wanted[agree >= CUT]
-            out.append(np.stack((np.minimum(nb[hit], na[i]), np.maximum(nb[hit], na[i])), axis=1))
-    found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-    return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
-
-
-def _clusters(docs: DataFrame, members: DataFrame, sketched: DataFrame) -> DataFrame | None:
+def _cross_pairs(best: bool):
+    """Of sorted blocks (pieces low and high of a bucket): pairs across components whose sketches agree often enough; with
+    best, only each class's closest one."""
+
+    def of_block(t: dict[str, np.ndarray]) -> np.ndarray:
+        low, high = t["low"][0], t["high"][0]
+        a, b = np.flatnonzero(t["piece"] == low), np.flatnonzero(t["piece"] == high)
+        node, comp, sketch = t["node"], t["component"], t["sketch"]
+        wanted = comp[a][:, None] != comp[b]
+        if low == high:
+            wanted &= node[a][:, None] < node[b]
+        i, j = np.nonzero(wanted)
+        i, j = a[i], b[j]
+        agree = np.concatenate([(sketch[i[k : k + 4096]] == sketch[j[k : k + 4096]]).mean(axis=1) for k in range(0, len(i), 4096)] or [np.zeros(0)])
+        hit = agree >= CUT
+        i, j, agree = i[hit], j[hit], agree[hit]
+        if best and len(i):
+            order = np.lexsort((-agree, i))
+            i, j = i[order], j[order]
+            first = np.append(True, i[1:] != i[:-1])
+            i, j = i[first], j[first]
+        return np.stack((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])), axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: dict[str, np.ndarray] | None = None
+        for batch in _and_end(batches):
+            if batch is not None:
+                new = {n: batch.column(k).to_numpy() for k, n in enumerate(batch.schema.names[:-1])}
+                new["sketch"] = np.frombuffer(b"".join(batch.column(batch.num_columns - 1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                rest = new if rest is None else {n: np.concatenate((rest[n], new[n])) for n in new}
+            if rest is None or not len(rest["node"]):
+                continue
+            keys = [rest[n] for n in ("bucket", "low", "high")]
+            cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            cuts = [0, *cuts.tolist(), len(keys[0])]
+            done = len(cuts) - 1 if batch is None else len(cuts) - 2
+            found = [of_block({n: v[cuts[k] : cuts[k + 1]] for n, v in rest.items()}) for k in range(done)]
+            rest = {n: v[cuts[done] :].copy() for n, v in rest.items()}
+            if found and len(pairs := np.unique(np.concatenate(found), axis=0)):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return run
+
+
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _across(shared: DataFrame, labels: DataFrame, sketched: DataFrame, best: bool) -> DataFrame:
+    """Distinct pairs to confirm from buckets that hold several components."""
+    if labels.count() <= common.BROADCAST_ROWS:
+        labels = F.broadcast(labels)
+    labelled = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
+    pieces = F.ceil(F.col("size") / PIECE).cast("int")
+    rest = labelled.select("bucket", "node", "component").join(mixed.select("bucket", "size"), "bucket")
+    rest = rest.withColumn("piece", F.pmod(F.xxhash64("node"), pieces).cast("int"))
+    rest = common.fetch(rest, "node", sketched, ["bucket"], salts=4)
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    blocks = rest.select("bucket", F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"), "piece", "node", "component", "sketch")
+    blocks = blocks.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    return common.stored(blocks.mapInArrow(_cross_pairs(best), "a long, b long").distinct())
+
+
+def _clusters(docs: DataFrame, members: DataFrame, sketched: DataFrame) -> DataFrame:
     """(node, component) of classes that have a link."""
     reps = sketched.join(members.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     reps = common.stored(reps.select(F.col("doc_id").alias("node"), "bands", "sketch"))
     rows = reps.select("node", F.explode("bands").alias("bucket"))
-    heads = common.stored(rows.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1"))
-    shared = common.stored(rows.join(heads, "bucket").select("bucket", "node", "hub", "n"))
+    turn = F.xxhash64("node", F.pmod("bucket", F.lit(HUBS)))
+    heads = common.stored(rows.groupBy("bucket").agg(F.min_by("node", turn).alias("hub"), F.count("*").alias("n")).filter("n > 1"))
+    shared = common.stored(rows.join(heads, "bucket").select("bucket", "node", "hub"))
     needed = common.checked_broadcast(common.stored(shared.select(F.col("node").alias("doc_id")).distinct()))
     sets = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi")
     sets = common.stored(sets.mapInArrow(_set_batches, "doc_id long, elements array<long>").dropDuplicates(["doc_id"]))
-    pairs = shared.filter("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = shared.filter("node != hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    tested = pairs = common.stored(pairs)
     edges = common.stored(_confirmed(pairs, sets))
-    first = common.components(edges)
-    labelled = shared.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
-    rest = labelled.select("bucket", "node", "component").join(mixed.select("bucket", "size"), "bucket")
-    pieces = F.ceil(F.col("size") / PIECE).cast("int")
-    rest = rest.withColumn("piece", F.pmod(F.xxhash64("node"), pieces).cast("int"))
-    rest = common.fetch(rest, "node", reps.select("node", "sketch"), ["bucket"], salts=4)
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
-    blocks = rest.select("bucket", F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"), "piece", "node", "component", "sketch")
-    across = blocks.groupBy("bucket", "low", "high").applyInPandas(_cross_pairs, "a long, b long").distinct()
-    more = common.stored(_confirmed(common.stored(across), sets))
-    if not more.take(1):
-        return first
-    return common.components(edges.union(more))
+    labels = common.components(edges)
+    best = True
+    while True:
+        across = common.stored(_across(shared, labels, reps.select("node", "sketch"), best).join(tested, ["a", "b"], "left_anti"))
+        tested = tested.union(across)
+        more = common.stored(_confirmed(across, sets))
+        grown = bool(more.take(1))
+        if grown:
+            edges = edges.union(more)
+            labels = common.components(edges)
+        if not best:
+            break
+        best = grown
+    return labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
