@@ -16,7 +16,7 @@ SALTS = 64
 #: A side of at most so many narrow rows is broadcast after it was counted.
 BROADCAST_ROWS = 200_000
 #: Bytes of text that a task hashes at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 M = np.uint64(0xFF51AFD7ED558CCD)
 M2 = np.uint64(0xC4CEB9FE1A85EC53)
 S33, S32 = np.uint64(33), np.uint64(32)
@@ -69,20 +69,27 @@ def with_group(rows: DataFrame, keys: Sequence[str], spread: Sequence[str], **fa
 
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (node, component), component the smallest node reachable. Smallest labels spread along edges
-    and labels are followed to their own label, until nothing changes; each step is stored."""
+    and labels are followed to their own label, until nothing changes; each step is stored. Labels are broadcast only
+    while they were counted to be few."""
     both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("component")).withColumnRenamed("a", "node"))
+    labels = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("component")))
+    few = labels.count() <= BROADCAST_ROWS
+
+    def look_up(rows: DataFrame, key: str, table: DataFrame, spread: str) -> DataFrame:
+        return rows.join(F.broadcast(table), key) if few else fetch(rows, key, table, [spread])
+
     before = None
     while True:
         total = labels.agg(F.sum(F.col("component").cast("decimal(38,0)")), F.count("*")).first()
         if total == before:
             return labels
         before = total
-        near = fetch(both, "b", labels.withColumnRenamed("node", "b"), ["a"]).groupBy("a").agg(F.min("component").alias("near"))
-        step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("component", "near").alias("component"))
+        near = look_up(both, "b", labels.withColumnRenamed("node", "b"), "a").groupBy("a").agg(F.min("component").alias("near"))
+        near = near.withColumnRenamed("a", "node")
+        step = near.join(F.broadcast(labels) if few else labels, "node").select("node", F.least("component", "near").alias("component"))
         step = stored(step)
         own = step.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        labels = stored(fetch(step, "component", own, ["node"]).select("node", F.col("root").alias("component")))
+        labels = stored(look_up(step, "component", own, "node").select("node", F.col("root").alias("component")))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from barloom.llm import words
 
 SAMPLE_DOCS = 64
-SAMPLE_CHARS = 32_000
+SAMPLE_CHARS = 24_000
 
 
 def letters(text: str) -> list[str]:
@@ -117,6 +117,17 @@ def _parser(texts: dict[str, str]) -> words.Cache:
     return _PARSERS[key]
 
 
+def predicted(texts: pa.Array, parse: words.Cache, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text."""
+    distinct, codes, begins = words.coded(pc.ascii_split_whitespace(texts))
+    if not len(distinct) or not len(langs):
+        return np.full(len(texts), "und", object), np.zeros(len(texts))
+    cost = words.sums(np.array(parse(distinct), np.float64)[codes], begins)
+    known, ranked = cost[:, -1] > 0, np.sort(cost[:, :-1], axis=1)
+    second = ranked[:, 1] if len(langs) > 1 else np.full(len(texts), np.inf)
+    return np.where(known, langs[cost[:, :-1].argmin(axis=1)], "und"), np.where(known, 1 - ranked[:, 0] / np.where(known, second, 1), 0.0)
+
+
 def _predictor(texts: dict[str, str]) -> Callable:
     langs = np.array([*texts], object)
 
@@ -124,19 +135,10 @@ def _predictor(texts: dict[str, str]) -> Callable:
         parse = _parser(texts)
         for batch in batches:
             for first, last, part in words.row_slices(batch):
-                distinct, codes, begins = words.coded(pc.ascii_split_whitespace(part))
-                table = np.array(parse(distinct), np.float64).reshape(len(distinct), -1)
-                cost = words.sums(table[codes], begins) if len(distinct) else np.zeros((len(part), len(langs) + 1))
-                known = cost[:, -1] > 0 if len(langs) else np.zeros(len(part), bool)
-                if len(langs):
-                    ranked = np.sort(cost[:, :-1], axis=1)
-                    second = ranked[:, 1] if len(langs) > 1 else np.full(len(part), np.inf)
-                    score = np.where(known, 1 - ranked[:, 0] / np.where(known, second, 1), 0.0)
-                    best = np.where(known, langs[cost[:, :-1].argmin(axis=1)], "und")
-                else:
-                    score, best = np.zeros(len(part)), np.full(len(part), "und", object)
+                best, score = predicted(part, parse, langs)
                 row = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([row.column(0), row.column(2), pa.array(best, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+        parse.clear()
 
     return predict
 
@@ -152,15 +154,13 @@ def languages(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """docs without those whose language can't be told (`und`); all columns stay as they are."""
     texts = samples(docs)
-    predict = _predictor(texts)
-    names = docs.columns
+    langs, names = np.array([*texts], object), docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parse = _parser(texts)
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            ids = pa.array(np.arange(batch.num_rows))
-            rows = pa.RecordBatch.from_arrays([ids, batch.column(at), pa.array(np.zeros(batch.num_rows, bool))], names=["doc_id", "text", "held_out"])
-            known = [i for part in predict(iter([rows])) for i, lang in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True) if lang != "und"]
-            yield batch.take(pa.array(known, pa.int64()))
+            flags = [predicted(part, parse, langs)[0] != "und" for _, _, part in words.row_slices(batch)]
+            yield batch.filter(pa.array(np.concatenate(flags) if flags else np.zeros(0, bool)))
+        parse.clear()
 
     return docs.mapInArrow(keep, docs.schema).select(*names)

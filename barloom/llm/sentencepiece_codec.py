@@ -94,8 +94,8 @@ class Codec:
         """Ids (int32 as bytes) of segments, each a run of spaces with the word behind it."""
         out = [b""] * len(texts)
         short = [i for i, t in enumerate(texts) if len(t) <= LONG]
-        for a in range(0, len(short), 50_000):
-            some = short[a : a + 50_000]
+        for a in range(0, len(short), 20_000):
+            some = short[a : a + 20_000]
             for i, ids in zip(some, self._many([texts[i] for i in some], variant), strict=True):
                 out[i] = ids
         for i, t in enumerate(texts):
@@ -239,7 +239,7 @@ def _segments(texts: pa.Array) -> pa.Array:
 
 def segment_cache(codec: Codec) -> words.Cache:
     """Ids by (variant, segment without its first space); a call has one variant."""
-    return words.Cache(lambda new: codec.segments([" " + s for _, s in new], new[0][0]) if new else [], 150_000)
+    return words.Cache(lambda new: codec.segments([" " + s for _, s in new], new[0][0]) if new else [])
 
 
 def encode_part(codec: Codec, cache: words.Cache, texts: pa.Array, variant: int) -> tuple[np.ndarray, np.ndarray]:
@@ -276,6 +276,7 @@ def encoded(docs: DataFrame, model_file: str, rate: float = 0.1, seed: int = 1)
                     same = _lossless(codec, ids, begins, part)
                     lists = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(ids, pa.int32()))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(own), pa.array(np.diff(begins)), lists, pa.array(same)], names=["doc_id", "n_tokens", "ids", "lossless"])
+        cache.clear()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     variant = F.coalesce(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(VARIANTS)), F.lit(0)).cast("int").alias("variant")

@@ -105,6 +105,7 @@ def token_counts(docs: DataFrame, model_file: str) -> DataFrame:
                 real = np.array([bool(w) for w in distinct], np.int64)
                 tokens, n_words = (words.sums(x[codes], begins) if len(distinct) else np.zeros(len(part), np.int64) for x in (each, real))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(n_words), pa.array(tokens)], names=["doc_id", "n_words", "n_tokens"])
+        counter.clear()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(count, f"doc_id {kind}, n_words long, n_tokens long")

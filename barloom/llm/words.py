@@ -41,7 +41,7 @@ def sums(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
 class Cache:
     """Results by word, in two generations of about `size` words; words in use stay. `work` takes a list of new words."""
 
-    def __init__(self, work: Callable[[list], list], size: int = 150_000) -> None:
+    def __init__(self, work: Callable[[list], list], size: int = 100_000) -> None:
         self.work, self.size, self.young, self.old = work, size, {}, {}
 
     def __call__(self, keys: list) -> list:
@@ -57,3 +57,8 @@ class Cache:
         if len(self.young) > self.size:
             self.old, self.young = self.young, {}
         return out
+
+    def clear(self) -> None:
+        """At a task's end: a worker process goes on to other stages, which need the memory."""
+        self.young, self.old = {}, {}
+        pa.default_memory_pool().release_unused()
