@@ -69,7 +69,7 @@ def pipeline(spec: Learner, features: Sequence[str], *, many_assets: bool = Fals
         ]
         inputs.append("_asset")
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error"))
-    if spec.model in {"mlp", "nn"}:
+    if spec.model.strip().lower() in {"mlp", "nn"}:
         stages.append(StandardScaler(inputCol="features", outputCol="scaled", withMean=True))
     return Pipeline(stages=[*stages, estimator(spec, width)])
 
