@@ -172,7 +172,7 @@ def _across(shared: DataFrame, labels: DataFrame, sketched: DataFrame, best: boo
     pieces = F.ceil(F.col("size") / PIECE).cast("int")
     rest = labelled.select("bucket", "node", "component").join(mixed.select("bucket", "size"), "bucket")
     rest = rest.withColumn("piece", F.pmod(F.xxhash64("node"), pieces).cast("int"))
-    rest = common.fetch(rest, "node", sketched, ["bucket"], salts=4)
+    rest = rest.join(sketched, "node")  # a node has at most BANDS rows
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
     blocks = rest.select("bucket", F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"), "piece", "node", "component", "sketch")
     blocks = blocks.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
