@@ -40,8 +40,10 @@ def number_rows(
 
     ``step_seconds`` is the usual distance of two rows; it sets the width of the
     time buckets that are sorted independently. Only one row per bucket goes
-    through the per-series window that adds up the bucket sizes.
+    through the per-series window that adds up the bucket sizes. A row without a time or a key
+    has no place in a series and is left out.
     """
+    df = df.dropna(subset=[*key, order])
     width = step_seconds * ROWS_PER_BUCKET
     bucketed = df.withColumn("_bucket", F.floor(seconds(order) / F.lit(width)))
     sizes = bucketed.groupBy(*key, "_bucket").agg(F.count(F.lit(1)).alias("_n"))

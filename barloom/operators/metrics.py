@@ -110,14 +110,11 @@ CLASSES = (-1, 0, 1)
 
 def confusion(pred: DataFrame, y: str = "label", p: str = "prediction", *, key: Sequence[str] = ()) -> DataFrame:
     """All nine cells per key, zero where a pair does not occur."""
-    groups = pred.select(*key).distinct() if key else None
-    cells = pred.groupBy(*key, F.col(y).cast("int").alias("actual"), F.col(p).cast("int").alias("predicted")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    pairs = F.array(*[F.struct(F.lit(a).alias("actual"), F.lit(b).alias("predicted")) for a in CLASSES for b in CLASSES])
-    base = groups if groups is not None else pred.sparkSession.range(1).select()
-    grid = base.select(*key, F.inline(pairs))
-    return grid.join(cells, [*key, "actual", "predicted"], "left").fillna(0, ["n"])
+    pairs = [(a, b) for a in CLASSES for b in CLASSES]
+    hit = lambda a, b: (F.col(y).cast("int") == a) & (F.col(p).cast("int") == b)
+    counts = pred.groupBy(*key).agg(*[F.count_if(hit(a, b)).alias(f"_n{i}") for i, (a, b) in enumerate(pairs)])
+    cells = [F.struct(F.lit(a).alias("actual"), F.lit(b).alias("predicted"), F.col(f"_n{i}").alias("n")) for i, (a, b) in enumerate(pairs)]
+    return counts.select(*key, F.inline(F.array(*cells)))
 
 
 def class_report(cells: DataFrame, *, key: Sequence[str] = ()) -> DataFrame:

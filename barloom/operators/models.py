@@ -12,10 +12,10 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.metrics import classification_metrics, regression_metrics
@@ -23,6 +23,8 @@ from barloom.operators.splits import impute
 from barloom.session import durable
 
 REGRESSION = {"regression", "reg", "return"}
+#: Rows are numbered within this many bits' ranges of hashes; the numbers do not depend on it.
+HASH_BITS = 12
 
 
 @dataclass(frozen=True)
@@ -60,9 +62,11 @@ def estimator(spec: Learner, width: int):
     )
 
 
-def pipeline(spec: Learner, features: Sequence[str], *, many_assets: bool = False) -> Pipeline:
+def pipeline(spec: Learner, features: Sequence[str], *, symbols: int | None = None) -> Pipeline:
+    """symbols: number of training symbols if each gets a column (and one more for all others)."""
     stages, inputs, width = [], list(features), len(features)
-    if many_assets:
+    if symbols is not None:
+        width += symbols + 1
         stages += [
             StringIndexer(inputCol="symbol", outputCol="_sym", handleInvalid="keep"),
             OneHotEncoder(inputCol="_sym", outputCol="_asset", dropLast=False),
@@ -91,7 +95,9 @@ def fit_predict(
     """Fit on role train, predict role test. Missing features take the training median."""
     ready = impute(rows, features, F.col("role") == "train").fillna(0.0, list(features))
     ready = durable(with_target(ready, spec, label))
-    model = pipeline(spec, features, many_assets=many_assets).fit(ready.where("role = 'train'"))
+    train = ready.where("role = 'train'")
+    symbols = train.agg(F.count_distinct("symbol")).first()[0] if many_assets else None
+    model = pipeline(spec, features, symbols=symbols).fit(train)
     out = model.transform(ready.where("role = 'test'"))
     return model, out if spec.is_regression else out.withColumn("prediction", F.col("prediction") - 1.0)
 
@@ -117,12 +123,18 @@ def cross_validate(assigned: DataFrame, spec: Learner, features: Sequence[str],
     return metrics, mean_importance(importances) if importances is not None else None
 
 
+def input_names(model: PipelineModel, features: Sequence[str]) -> list[str]:
+    """Names of a fitted model's inputs in order: the features, then the columns of the training symbols."""
+    symbols = [label for stage in model.stages if isinstance(stage, StringIndexerModel) for label in stage.labels]
+    return [*features, *[f"asset_{s}" for s in symbols], *(["asset_other"] if symbols else [])]
+
+
 def model_importance(model: PipelineModel, features: Sequence[str], like: DataFrame) -> DataFrame | None:
     last = model.stages[-1]
     if not hasattr(last, "featureImportances"):
         return None
-    values = last.featureImportances.toArray()[: len(features)]
-    return like.sparkSession.createDataFrame([(f, float(v)) for f, v in zip(features, values)], "feature string, importance double")
+    rows = zip(input_names(model, features), last.featureImportances.toArray(), strict=True)
+    return like.sparkSession.createDataFrame([(f, float(v)) for f, v in rows], "feature string, importance double")
 
 
 def mean_importance(importances: DataFrame, top: int | None = None) -> DataFrame:
@@ -131,33 +143,37 @@ def mean_importance(importances: DataFrame, top: int | None = None) -> DataFrame
 
 
 def permutation_importance(
-    model: PipelineModel, test: DataFrame, spec: Learner, features: Sequence[str], *, label: str = "label", repeats: int = 8,
-    rows_per_bucket: int = 10_000,
+    model: PipelineModel, test: DataFrame, spec: Learner, features: Sequence[str], *, label: str = "label", repeats: int = 8
 ) -> DataFrame:
-    """Drop of the score (macro F1 or R²) when one feature is taken from another row.
+    """Drop of the score (macro F1 or R²) when one input (also an asset column) is taken from another row.
 
-    Each repeat pairs the rows of a hash bucket at random; a row is then scored once per
-    feature with that feature from its partner. Hashes instead of rand() keep a recomputed
-    partition identical when an executor is lost.
+    Each repeat numbers all rows twice, in the order of two hashes; the rows with equal numbers are
+    partners, and a row is scored once per input with that input from its partner. The number is the
+    place among the rows of one range of hashes plus the sizes of the ranges before it. Hashes instead
+    of rand() keep a recomputed partition identical when an executor is lost.
     """
     last = model.stages[-1]
     vec = "scaled" if "scaled" in [getattr(s, "getOutputCol", lambda: "")() for s in model.stages[:-1]] else "features"
     base = test.select(label, "symbol", "row_no", vector_to_array(vec).alias("_x"))
-    buckets = max(1, base.count() // rows_per_bucket)
     r = base.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
 
     def mix(salt: int) -> Column:
         return F.xxhash64(F.lit(spec.seed + salt), "_r", "symbol", "row_no")
 
-    from pyspark.sql import Window
-
-    r = r.withColumn("_b", F.pmod(mix(0), F.lit(buckets)))
-    rank = lambda salt: F.row_number().over(Window.partitionBy("_r", "_b").orderBy(mix(salt), "symbol", "row_no"))
-    r = durable(r.withColumn("_k", rank(1)).withColumn("_j", rank(2)))
-    partner = r.select("_r", "_b", F.col("_j").alias("_k"), F.col("_x").alias("_y"))
-    paired = r.drop("_j").join(partner, ["_r", "_b", "_k"])
+    def numbered(df: DataFrame, salt: int, name: str) -> DataFrame:
+        df = df.withColumn("_b", F.shiftright(mix(salt), 64 - HASH_BITS))
+        sizes = df.groupBy("_r", "_b").agg(F.count(F.lit(1)).alias("_n"))
+        before = Window.partitionBy("_r").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sizes.select("_r", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+        inside = F.row_number().over(Window.partitionBy("_r", "_b").orderBy(mix(salt), "symbol", "row_no"))
+        return df.join(starts, ["_r", "_b"]).withColumn(name, F.col("_start") + inside).drop("_b", "_start")
+
+    r = durable(numbered(numbered(r, 1, "_k"), 2, "_j"))
+    partner = r.select("_r", F.col("_j").alias("_k"), F.col("_x").alias("_y"))
+    paired = r.drop("_j").join(partner, ["_r", "_k"])
+    inputs = input_names(model, features)
     swapped = F.transform("_x", lambda v, i: F.when(i == F.col("_f"), F.get(F.col("_y"), i)).otherwise(v))
-    trials = paired.withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1)))).select(
+    trials = paired.withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(len(inputs) - 1)))).select(
         "_r", "_f", label, array_to_vector(swapped).alias(vec)
     )
     score = "r2" if spec.is_regression else "f1_macro"
@@ -168,7 +184,7 @@ def permutation_importance(
         return evaluate(p, spec, label=label, key=key).select(*key, F.col(score).alias("_score"))
 
     whole = scored(test.select(label, vec), ()).withColumnRenamed("_score", "_base")
-    names = F.array(*[F.lit(f) for f in features])
+    names = F.array(*[F.lit(f) for f in inputs])
     out = scored(trials, ("_r", "_f")).groupBy("_f").agg(F.avg("_score").alias("_s")).join(F.broadcast(whole))
     return out.select(F.get(names, F.col("_f")).alias("feature"), (F.col("_base") - F.col("_s")).alias("importance")).orderBy(
         F.desc("importance"), "feature"

@@ -62,7 +62,7 @@ def wavelet_label() -> Column:
 
 def combo_label(flags: DataFrame, model: str = "model") -> DataFrame:
     """Adds feature_combo such as hgb+hmm+wv_db8_ar5+vol_target."""
-    m = F.lower(F.trim(model))
+    m = F.lower(F.trim(F.coalesce(model, "core_model") if "core_model" in flags.columns else F.col(model)))
     table = F.create_map(*[F.lit(x) for kv in MODEL_NAMES.items() for x in kv])
     short = F.when(m != "", F.coalesce(table[m], m))
     named = [

@@ -172,7 +172,7 @@ add("risk_off_gate", lambda s, d: risk_off(states(s, d), train=F.col("bar_no") <
       WHERE n >= 10 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY sd DESC, m) = 1)
     SELECT q.symbol, q.ts, q.state, coalesce(q.state = w.state, false) AS risk_off FROM q LEFT JOIN w ON w.symbol = q.symbol""")
 add("mixture_states", lambda s, d: mixture_states(
-    ind.returns(event_bars(s, d)).select("symbol", "ts", "bar_no", F.col("log_ret_1").alias("ret")), train=F.col("bar_no") < 400, steps=8
+    ind.returns(event_bars(s, d)).select("symbol", "ts", "bar_no", F.col("log_ret_1").alias("ret")), train=F.col("bar_no") < 400
 ).select("symbol", "ts", "state"))
 
 # ---- fitted models (checked by properties, not by SQL) ---------------------------------------
@@ -187,13 +187,13 @@ def training_rows(s, d):
 
 def fitted(s, d, spec, label="label"):
     rows = sp.holdout(training_rows(s, d), 0.25)
-    return md.fit_predict(rows, spec, FEATS, label=label, many_assets=spec.model != "mlp")
+    return md.fit_predict(rows, spec, FEATS, label=label, many_assets=True)
 
 
 SPECS = {
     "forest_metrics": md.Learner(model="rf", size=15, depth=5),
     "boosting_metrics": md.Learner(model="hgb", size=4, depth=3),
-    "mlp_metrics": md.Learner(model="mlp", size=15),
+    "mlp_metrics": md.Learner(model="mlp"),
 }
 for name, spec in SPECS.items():
     add(name, lambda s, d, spec=spec: rounded(md.evaluate(fitted(s, d, spec)[1], spec)))
@@ -220,7 +220,7 @@ add("model_importance", importance)
 def permuted(s, d):
     spec = md.Learner(model="rf", size=8, depth=4)
     model, pred = fitted(s, d, spec)
-    return rounded(md.permutation_importance(model, pred, spec, FEATS, repeats=2))
+    return rounded(md.permutation_importance(model, pred, spec, FEATS))
 
 
 add("permutation_importance", permuted)

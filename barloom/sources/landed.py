@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.expr import number, parse_ts
+from barloom.session import small
 
 DATE_COLUMNS = ("Date", "Datetime", "date", "datetime")
 # fixed values: files of a dataset folder that are not series
@@ -25,12 +26,18 @@ def symbol_of_file(path: str | Column) -> Column:
 
 
 def dataset_files(lines: DataFrame, path: str = "path") -> DataFrame:
-    """Lines of per-symbol files: no artifacts, and only the assets folder if there is one."""
+    """Lines of per-symbol files: no artifacts, and of a dataset folder with an assets folder only the files in that.
+
+    A file belongs to the folder it lies in and to the one above; each dataset folder is decided on its own.
+    """
     name = F.lower(F.element_at(F.split(path, "/"), -1))
     kept = lines.where(name.endswith(".csv") & ~name.isin(*ARTIFACTS) & ~name.endswith("_importance.csv"))
     inside = F.col(path).rlike("/assets/([^/]+/)?[^/]+$")
-    some = kept.agg(F.coalesce(F.max(inside), F.lit(False)).alias("_some"))
-    return kept.join(F.broadcast(some)).where(inside | ~F.col("_some")).drop("_some")
+    root = F.regexp_extract(path, "^(.*)/assets/([^/]+/)?[^/]+$", 1)
+    roots = small(kept.where(inside).select(root.alias("_root")).distinct())
+    for above in ("^(.*)/[^/]+$", "^(.*)/[^/]+/[^/]+$"):
+        kept = kept.withColumn("_root", F.when(~inside, F.regexp_extract(path, above, 1))).join(roots, "_root", "left_anti")
+    return kept.drop("_root")
 
 
 def parse_ohlcv_lines(lines: DataFrame, *, path: str = "path", value: str = "value") -> DataFrame:
