@@ -67,6 +67,26 @@ def with_group(rows: DataFrame, keys: Sequence[str], spread: Sequence[str], **fa
     return rows.join(back, [*keys, "_salt"]).drop("_salt")
 
 
+def look_up(rows: DataFrame, key: str, table: DataFrame, spread: str, few: bool) -> DataFrame:
+    """rows joined (inner) to table, which has one row a key and is broadcast if it was counted to be few."""
+    return rows.join(F.broadcast(table), key) if few else fetch(rows, key, table, [spread])
+
+
+def joined_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """The stored labels of components() after further edges (a, b): only the components that the edges touch are gone
+    through again, as single nodes."""
+    ends = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+    labels = stored(labels.union(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))))
+    few = labels.count() <= BROADCAST_ROWS
+    for end, other in (("a", "b"), ("b", "a")):
+        table = labels.select(F.col("node").alias(end), F.col("component").alias("of"))
+        edges = look_up(edges, end, table, other, few).select(F.col("of").alias(end), other)
+    roots = components(edges.select("a", "b").filter("a != b").distinct())
+    roots = roots.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    table = labels.select("component").distinct().join(roots, "component", "left").select("component", F.coalesce("root", "component").alias("root"))
+    return stored(look_up(labels, "component", table, "node", few).select("node", F.col("root").alias("component")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (node, component), component the smallest node reachable. Smallest labels spread along edges
     and labels are followed to their own label, until nothing changes; each step is stored. Labels are broadcast only
@@ -74,22 +94,18 @@ def components(edges: DataFrame) -> DataFrame:
     both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("component")))
     few = labels.count() <= BROADCAST_ROWS
-
-    def look_up(rows: DataFrame, key: str, table: DataFrame, spread: str) -> DataFrame:
-        return rows.join(F.broadcast(table), key) if few else fetch(rows, key, table, [spread])
-
     before = None
     while True:
         total = labels.agg(F.sum(F.col("component").cast("decimal(38,0)")), F.count("*")).first()
         if total == before:
             return labels
         before = total
-        near = look_up(both, "b", labels.withColumnRenamed("node", "b"), "a").groupBy("a").agg(F.min("component").alias("near"))
+        near = look_up(both, "b", labels.withColumnRenamed("node", "b"), "a", few).groupBy("a").agg(F.min("component").alias("near"))
         near = near.withColumnRenamed("a", "node")
         step = near.join(F.broadcast(labels) if few else labels, "node").select("node", F.least("component", "near").alias("component"))
         step = stored(step)
         own = step.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        labels = stored(look_up(step, "component", own, "node").select("node", F.col("root").alias("component")))
+        labels = stored(look_up(step, "component", own, "node", few).select("node", F.col("root").alias("component")))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -192,8 +192,7 @@ def _clusters(docs: DataFrame, members: DataFrame, sketched: DataFrame) -> DataF
     sets = common.stored(sets.mapInArrow(_set_batches, "doc_id long, elements array<long>").dropDuplicates(["doc_id"]))
     pairs = shared.filter("node != hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     tested = pairs = common.stored(pairs)
-    edges = common.stored(_confirmed(pairs, sets))
-    labels = common.components(edges)
+    labels = common.components(_confirmed(pairs, sets))
     best = True
     while True:
         across = common.stored(_across(shared, labels, reps.select("node", "sketch"), best).join(tested, ["a", "b"], "left_anti"))
@@ -201,8 +200,7 @@ def _clusters(docs: DataFrame, members: DataFrame, sketched: DataFrame) -> DataF
         more = common.stored(_confirmed(across, sets))
         grown = bool(more.take(1))
         if grown:
-            edges = edges.union(more)
-            labels = common.components(edges)
+            labels = common.joined_components(labels, more)
         if not best:
             break
         best = grown
