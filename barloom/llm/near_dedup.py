@@ -10,9 +10,9 @@ Jaccard similarity, with the concentration of independent samples.
 2. BANDS x ROWS coordinates form bucket keys. In each bucket every class is paired with one hub (one of HUBS orders);
    the distinct pairs are confirmed on full sets and joined into components.
 3. Buckets that still hold several components are compared block by block inside tasks: the agreement of two sketches
-   must reach CUT; only pairs across components leave the task and are confirmed on full sets: first each class's closest
-   ones, again with the components that these make until they make no more, then all that are left. Members of a bucket that are already in one
-   component need no comparison, so no group is expanded into all its pairs.
+   must reach CUT. A bucket's largest component is not compared with itself, so no group is expanded into all its pairs.
+   Only pairs across components leave the task and are confirmed on full sets: first each class's closest ones, again
+   with the components that these make until they make no more, then all that are left.
 
 A pair at similarity 0.75 shares no bucket with probability 8e-5 and falls below CUT with 1e-4; both vanish quickly above.
 
@@ -168,12 +168,16 @@ def _across(shared: DataFrame, labels: DataFrame, sketched: DataFrame, best: boo
     if labels.count() <= common.BROADCAST_ROWS:
         labels = F.broadcast(labels)
     labelled = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
-    pieces = F.ceil(F.col("size") / PIECE).cast("int")
-    rest = labelled.select("bucket", "node", "component").join(mixed.select("bucket", "size"), "bucket")
-    rest = rest.withColumn("piece", F.pmod(F.xxhash64("node"), pieces).cast("int"))
+    sizes = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("of")).filter("of > 1")
+    mixed = mixed.select("bucket", F.col("main.component").alias("main"), (F.ceil((F.col("size") - F.col("main.n")) / PIECE)).cast("int").alias("outer"),
+                         F.ceil(F.col("main.n") / PIECE).cast("int").alias("inner"))
+    rest = labelled.select("bucket", "node", "component").join(mixed, "bucket")
     rest = rest.join(sketched, "node")  # a node has at most BANDS rows
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    # the largest component needs no comparison with itself: its rows go only to blocks with pieces of the others
+    inside, h = F.col("component") == F.col("main"), F.xxhash64("node")
+    rest = rest.withColumn("piece", F.when(inside, F.col("outer") + F.pmod(h, "inner")).otherwise(F.pmod(h, "outer")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("outer") - 1 + F.when(inside, 0).otherwise(F.col("inner")))))
     blocks = rest.select("bucket", F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"), "piece", "node", "component", "sketch")
     blocks = blocks.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
     return common.stored(blocks.mapInArrow(_cross_pairs(best), "a long, b long").distinct())
