@@ -47,11 +47,13 @@ def salt(*by: str, salts: int = SALTS) -> F.Column:
     return F.pmod(F.xxhash64(F.lit(7), *by), F.lit(salts)).cast("int")
 
 
-def fetch(rows: DataFrame, key: str, table: DataFrame, spread: Sequence[str], salts: int = 16) -> DataFrame:
+def fetch(rows: DataFrame, key: str, table: DataFrame, spread: Sequence[str], salts: int = 16, like: DataFrame | None = None) -> DataFrame:
     """rows joined (inner) to table on key, where table has one row a key. Rows of a hot key are spread over
-    `salts` pieces by `spread`; the table's row is copied only to pieces that exist."""
+    `salts` pieces by `spread`; the table's row is copied only to pieces that exist. They are read from `like`, a
+    stored table that has key and spread of all rows, where rows are costly to make twice."""
     rows = rows.withColumn("_salt", salt(*spread, salts=salts))
-    pieces = rows.select(key, "_salt").distinct().join(table, key)
+    there = rows if like is None else like.withColumn("_salt", salt(*spread, salts=salts))
+    pieces = there.select(key, "_salt").distinct().join(table, key)
     return rows.join(pieces, [key, "_salt"]).drop("_salt")
 
 

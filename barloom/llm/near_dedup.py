@@ -107,7 +107,7 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= 75 * union on the full sets."""
     left = common.fetch(pairs, "a", sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("ea")), ["b"])
-    both = common.fetch(left, "b", sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("eb")), ["a"])
+    both = common.fetch(left, "b", sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("eb")), ["a"], like=pairs)
     shared = F.size(F.array_intersect("ea", "eb"))
     near = F.size("ea") * 3 <= F.size("eb") * 4
     near &= F.size("eb") * 3 <= F.size("ea") * 4
