@@ -228,6 +228,52 @@ def test_repeated_passages(docs, pdf, spark):
     assert all(have[i] for i in need)
 
 
+def test_repeated_passages_behind_a_frequent_line(spark):
+    """Many documents share a short line, a few pairs of them a passage around it; hubs alone meet few of the pairs."""
+    rng = np.random.default_rng(8)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    line = [f"common{i}" for i in range(40)]
+    rows, need = [], {}
+    for pair in range(60):
+        left, right = some(6), some(6)
+        for k in range(2):
+            words = left + line + right
+            if k and pair % 2:
+                words[25] = "edited"
+            head = some(60)
+            rows.append((2 * pair + k, " ".join(head + words + some(60))))
+            if pair % 2 == 0:
+                need[2 * pair + k] = set(range(60, 112))
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    have = collections.defaultdict(set)
+    for r in got:
+        have[r.doc_id].update(range(r.start_word, r.end_word + 1))
+        assert r.partner_id // 2 == r.doc_id // 2
+    assert all(need[i] <= have[i] for i in need)
+
+
+def test_blocks_of_a_signature_give_all_pairs_with_enough_in_common():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 32, 60).astype(np.uint32)
+    data = [np.concatenate((base[: rng.integers(0, 60)], rng.integers(0, 1 << 32, 40).astype(np.uint32), np.repeat(base[:1], k % 3 * 20))) for k in range(40)]
+    import pyarrow as pa
+
+    n = len(data)
+    table = pa.table({"doc": [k // 2 for k in range(n)], "no": pa.array([k % 2 for k in range(n)], pa.int32()), "open": [k % 5 == 0 for k in range(n)], "b": [k % 2 for k in range(n)], "i": [0] * n, "j": [1] * n, "data": [d.tobytes() for d in data]})
+    got = {((r["doc"], r["no"]), (r["hub"], r["hub_no"])) for r in substring_dedup._block_pairs(table).to_pylist()}
+    want = {((x // 2, 0), (y // 2, 1)) for x in range(0, n, 2) for y in range(1, n, 2)
+            if x // 2 != y // 2 and (x % 5 == 0 or y % 5 == 0) and max(np.isin(data[x], data[y]).sum(), np.isin(data[y], data[x]).sum()) >= substring_dedup.LEAST}
+    assert got == want and want
+
+
+def test_parts_join_across_a_gap():
+    rng = np.random.default_rng(7)
+    a = rng.integers(0, 1 << 32, 93).astype(np.uint32)
+    b = a.copy()
+    b[40:53] = rng.integers(0, 1 << 32, 13)
+    assert substring_dedup.shared_passages(a, b) == [(0, 92, 0, 92)]
+
+
 def test_compact_windows():
     rng = np.random.default_rng(5)
     v = rng.permutation(300)
