@@ -4,8 +4,10 @@ A page is read as tokens: structural elements, told apart by the path of element
 text blocks, told apart by path and wording. Each token of a host has an occurrence vector over the host's pages; a
 64-bit fingerprint of the vector (an exclusive or over pages of a hash of page and count) is summed map-side, so no
 vector and no host is held by one task. Tokens with equal vectors form a class; a class seen on MIN_PAGES pages or more is
-valid. Classes nest by their elements' paths. A text block in the class of the element around it occurs exactly as that
-element does: it belongs to the template and not to the slot. The remaining blocks are the slots' contents.
+valid. Pages of a host with equal html count as one. Classes nest by their elements' paths. A text block in the class of the
+element around it occurs exactly as that element does: it belongs to the template and not to the slot, if the element is on
+MIN_PAGES pages or more with content of their own (more than half of their main text on no other page of the host), so that
+an article's copies and near copies do not make a template. The remaining blocks are the slots' contents.
 
 The main text is what the slots under article or main elements (or such class, id or role names) hold; a page without
 one gives all its slots. Elements whose name, class, id or role tells of menus, headers, footers, sidebars, notices,
@@ -115,32 +117,58 @@ def _text_token(b: Block) -> int:
     return _hash(b.element, "text", b.text)
 
 
+def _main_blocks(blocks: list[Block]) -> list[Block]:
+    inside = [b for b in blocks if not b.out]
+    return [b for b in inside if b.main] or inside
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """size: twice the characters of a text in the page's main slots; a row of the page itself takes all of them off."""
     for batch in batches:
         for first, last, pages in words.row_slices(batch, "html"):
             rows = []
             for host, page_hash, page in zip(batch.column(0).slice(first, last - first).to_pylist(), batch.column(1).slice(first, last - first).to_pylist(), pages.to_pylist(), strict=True):
                 elements, blocks = read_page(page)
-                rows += [(host, page_hash, t, None, n) for t, n in Counter(elements).items()]
-                rows += [(host, page_hash, t, e, n) for (t, e), n in Counter((_text_token(b), b.element) for b in blocks).items()]
+                main = Counter()
+                for b in _main_blocks(blocks):
+                    main[_text_token(b), b.element] += len(b.text)
+                rows += [(host, page_hash, t, None, n, 0) for t, n in Counter(elements).items()]
+                rows += [(host, page_hash, t, e, n, 2 * main[t, e]) for (t, e), n in Counter((_text_token(b), b.element) for b in blocks).items()]
+                rows.append((host, page_hash, _hash("page", page_hash), None, 1, -main.total()))
             if rows:
-                types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["host", "page", "token", "element", "n"])
+                types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["host", "page", "token", "element", "n", "size"])
 
 
-def token_classes(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) -> host, token, element (of a text token), pages, vector: tokens with equal vector and pages
-    of a host are one class."""
-    rows = pages.select(_host(), F.xxhash64("page_id", "url").alias("page"), "html")
-    tokens = rows.mapInArrow(_tokens, "host string, page long, token long, element long, n long")
-    return tokens.groupBy("host", "token", "element").agg(F.count("*").alias("pages"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"))
+def _page_tokens(pages: DataFrame) -> DataFrame:
+    """Tokens of the distinct pages of each host. Only pages that have copies are dealt out to leave one of them."""
+    rows = pages.select(_host(), F.xxhash64("html").alias("page"), "html")
+    copies = common.stored(rows.groupBy("host", "page").count().filter("count > 1").select("host", "page"))
+    if copies.take(1):
+        table = common.checked_broadcast(copies)
+        one = rows.join(table, ["host", "page"], "left_semi").dropDuplicates(["host", "page"])
+        rows = rows.join(table, ["host", "page"], "left_anti").unionByName(one)
+    return rows.select("host", "page", "html").mapInArrow(_tokens, "host string, page long, token long, element long, n long, size long")
 
 
-def template_texts(classes: DataFrame) -> DataFrame:
+def token_classes(tokens: DataFrame) -> DataFrame:
+    """tokens -> host, token, element (of a text token), pages, vector, page (of a token on one page) and size: tokens with equal
+    vector and pages of a host are one class."""
+    return tokens.groupBy("host", "token", "element").agg(F.count("*").alias("pages"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.max("page").alias("page"), F.sum("size").alias("size"))
+
+
+def template_texts(tokens: DataFrame, classes: DataFrame) -> DataFrame:
     """host, texts: the text tokens in the class of the element around them. As many as one page's at most."""
     valid = classes.filter(F.col("pages") >= MIN_PAGES)
     elements = valid.filter("element is null").select("host", F.col("token").alias("element"), "pages", "vector")
-    own = valid.filter("element is not null").join(elements, ["host", "element", "pages", "vector"])
+    own = common.stored(valid.filter("element is not null").select("host", "token", "element", "pages", "vector").join(elements, ["host", "element", "pages", "vector"]).select("host", "element", "token"))
+    content = common.stored(classes.filter("pages = 1").groupBy("host", "page").agg(F.sum("size").alias("size")).filter("size > 0").select("host", "page"))
+    asked = common.stored(own.select("host", F.col("element").alias("token")).distinct())
+    if asked.take(1):
+        found = tokens.filter("element is null").select("host", "page", "token").join(common.checked_broadcast(asked), ["host", "token"])
+        found = found.join(common.checked_broadcast(content), ["host", "page"], "left_semi")
+        shown = found.groupBy("host", F.col("token").alias("element")).count().filter(F.col("count") >= MIN_PAGES)
+        own = own.join(shown.select("host", "element"), ["host", "element"])
     return own.groupBy("host").agg(F.collect_set("token").alias("texts"))
 
 
@@ -150,8 +178,7 @@ def _host():
 
 def main_text(page: str, template: frozenset[int]) -> str:
     _, blocks = read_page(page)
-    inside = [b for b in blocks if not b.out]
-    main = [b for b in inside if b.main] or inside
+    main = _main_blocks(blocks)
     kept = [b for b in main if _text_token(b) not in template] if template else main
     return "\n".join(b.text for b in kept or main)
 
@@ -172,7 +199,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extracted(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html, ...) -> page_id, url, text, n_chars, one row a row of pages."""
     pages = pages.select("page_id", "url", "html")
-    texts = common.stored(template_texts(common.stored(token_classes(pages))))
+    tokens = _page_tokens(pages)
+    texts = common.stored(template_texts(tokens, common.stored(token_classes(tokens))))
     rows = pages.select("page_id", "url", "html", _host())
     # html stays where it is while the templates are few; else hosts with many pages are spread
     if texts.count() <= common.BROADCAST_ROWS // 20:

@@ -419,6 +419,20 @@ def test_html(spark):
     assert (got.n_chars == got.text.str.len()).all()
 
 
+def test_html_keeps_copies_of_an_article(spark):
+    """Copies and near copies make no template, be there five or more, alone on a host or among other pages."""
+    page = "<html><body><article><h1>T</h1><p>{0}</p><p>A long paragraph that all near copies share.</p><blockquote class=q>Quoted words</blockquote></article><footer>{0}</footer></body></html>"
+    rows = [(i, f"https://copies.example/{i}", page.format("same")) for i in range(7)]
+    rows += [(10 + i, f"https://near.example/{i}", page.format(f"v{i}")) for i in range(7)]
+    rows += [(20 + i, f"https://both.example/{i}", page.format(f"v{i}")) for i in range(7)]
+    rows += [(30 + i, f"https://both.example/x{i}", f"<article><p>Quite another text {i}</p></article>") for i in range(7)]
+    got = dict(html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "text").collect())
+    for i in range(7):
+        for base, name in ((0, "same"), (10, f"v{i}"), (20, f"v{i}")):
+            assert got[base + i] == f"T\n{name}\nA long paragraph that all near copies share.\nQuoted words"
+        assert got[30 + i] == f"Quite another text {i}"
+
+
 def test_html_against_a_plain_parse(spark):
     pages = pd.read_parquet(f"{SF}/pages.parquet").set_index("page_id").html
     for r in registry.QUERIES["op10_html_extraction"](spark, SF).collect():
