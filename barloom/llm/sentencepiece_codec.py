@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -256,8 +256,9 @@ def encode_part(codec: Codec, cache: words.Cache, texts: pa.Array, variant: int)
 _CODECS: dict[tuple, tuple[Codec, words.Cache]] = {}
 
 
-def encoded(docs: DataFrame, model_file: str, rate: float = 0.1, seed: int = 1) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, n_tokens, ids, lossless (decoding the ids gives the text back), one row a row."""
+def encoded(docs: DataFrame, model_file: str, rate: float = 0.1, seed: int = 1, carried: Sequence[str] = ()) -> DataFrame:
+    """docs (doc_id, text, ...) -> doc_id, n_tokens, ids, lossless (decoding the ids gives the text back) and the carried columns, one
+    row a row."""
     table = docs.sparkSession.sparkContext.broadcast(model_table(model_file))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,12 +276,12 @@ def encoded(docs: DataFrame, model_file: str, rate: float = 0.1, seed: int = 1)
                     ids, begins = encode_part(codec, cache, part, int(variant))
                     same = _lossless(codec, ids, begins, part)
                     lists = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(ids, pa.int32()))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(own), pa.array(np.diff(begins)), lists, pa.array(same)], names=["doc_id", "n_tokens", "ids", "lossless"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(own), pa.array(np.diff(begins)), lists, pa.array(same), *[c.take(own) for c in batch.columns[3:]]], names=["doc_id", "n_tokens", "ids", "lossless", *carried])
         cache.clear()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     variant = F.coalesce(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(VARIANTS)), F.lit(0)).cast("int").alias("variant")
-    return docs.select("doc_id", "text", variant).mapInArrow(encode, f"doc_id {kind}, n_tokens long, ids array<int>, lossless boolean")
+    return docs.select("doc_id", "text", variant, *carried).mapInArrow(encode, ", ".join([f"doc_id {kind}, n_tokens long, ids array<int>, lossless boolean", *[f"{c} {docs.schema[c].dataType.simpleString()}" for c in carried]]))
 
 
 def _lossless(codec: Codec, ids: np.ndarray, begins: np.ndarray, texts: pa.Array) -> np.ndarray:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barloom.llm import common, exact_dedup, language_id, mixing, near_dedup, registry, sentencepiece_codec
 
@@ -39,8 +40,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids with merge-dropout, checked by decoding."""
-    return sentencepiece_codec.encoded(docs, registry.PIECES)
+    """Token ids with merge-dropout, checked by decoding. (file_no, row_no) is the mixed order, as the mixing stage wrote it:
+    readers pack files anew, so the order is read from where each row lies."""
+    file_no = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long").alias("file_no")
+    rows = docs.select("doc_id", "text", file_no, F.col("_metadata.row_index").alias("row_no"))
+    return sentencepiece_codec.encoded(rows, registry.PIECES, carried=("file_no", "row_no"))
 
 
 STAGES = [

@@ -480,6 +480,17 @@ def test_pipeline(spark, docs, pdf):
     assert ids["mixing"] == ids["near_dedup"] == ids["sentencepiece"]
 
 
+def test_pipeline_keeps_the_mixed_order(spark, pdf):
+    """Slots of plain earliest-deadline-first loops are tested above; here the last stage's rows follow them."""
+    rows = [(int(i), t, s) for i, t, s in pdf[pdf.doc_id < 500].drop_duplicates("doc_id")[["doc_id", "text", "source"]].itertuples(index=False)]
+    docs = common.stored(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3))
+    want = [r.doc_id for r in mixing.mixed(docs).orderBy("slot", "place").collect()]
+    stages = dict(corpus_pipeline.STAGES)
+    through = common.stored(stages["mixing"](spark, docs, SF))
+    order = lambda df: [r.doc_id for r in stages["sentencepiece"](spark, df, SF).orderBy("file_no", "row_no").collect()]
+    assert order(through) == want != order(docs)
+
+
 def test_registered():
     names = entry.queries()
     assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11)) and "pipeline" in names
