@@ -2,13 +2,12 @@
 
 A text is cut at its spaces: no piece of a merge-type vocabulary goes on past a space, so each run of spaces with the
 word behind it is a segment of its own. A segment's candidate merges wait on an agenda, best piece first, then leftmost.
-With dropout, a candidate taken from the agenda is skipped when a hash keyed by (seed, variant, segment, place, piece)
-falls below the rate; the variant is a hash of doc_id modulo VARIANTS. The same key gives the same pieces on every run
-and machine. At rate 0 the pieces are those of the SentencePiece library.
+With dropout, a candidate taken from the agenda is skipped when a hash keyed by (seed, doc_id, number of the segment in its
+text, segment, place, piece) falls below the rate. The same key gives the same pieces on every run and machine. At rate 0 the pieces are those of the SentencePiece library.
 
 Characters without a piece become byte tokens. So does the word mark itself where a text contains it, which keeps
 decoding lossless (the library would turn it into a space). Defined cases: null and empty texts have no ids;
-repeated rows have equal ids; a null doc_id is variant 0; extra columns are ignored.
+repeated rows have equal ids; a null doc_id has a key of its own; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +25,6 @@ from pyspark.sql import functions as F
 from barloom.llm import common, words
 
 MARK = "▁"
-VARIANTS = 2
 MASK = (1 << 64) - 1
 SEGMENT = re.compile(r" *[^ ]+| +\Z")
 
@@ -85,29 +83,57 @@ class Codec:
         """Whether the candidate at a place of the segment with this mark is skipped."""
         return common.mix(mark + place.astype(np.uint64) * common.M2 + rank.astype(np.uint64) * common.M) < self.limit
 
-    def marks(self, points: np.ndarray, at: np.ndarray, variant: int) -> np.ndarray:
+    def marks(self, points: np.ndarray, at: np.ndarray, variant: int | np.ndarray) -> np.ndarray:
+        """variant: one key for all segments, or a key each."""
+        return self.keyed(self.hashes(points, at), variant)
+
+    def keyed(self, hashes: np.ndarray, variant: int | np.ndarray) -> np.ndarray:
+        seed = common.mix1((self.seed << 20) + variant + 1) if isinstance(variant, int) else common.mix1(self.seed << 20) + variant
+        return common.mix(hashes + seed)
+
+    def hashes(self, points: np.ndarray, at: np.ndarray) -> np.ndarray:
         up, down = common.powers(len(points))
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)))
-        return common.mix((sums[at[1:]] - sums[at[:-1]]) * down[at[:-1]] + common.mix1((self.seed << 20) + variant + 1))
+        return (sums[at[1:]] - sums[at[:-1]]) * down[at[:-1]]
 
-    def segments(self, texts: list[str], variant: int) -> list[bytes]:
+    def segments(self, texts: list[str], variant: int | np.ndarray) -> list[bytes]:
         """Ids (int32 as bytes) of segments, each a run of spaces with the word behind it."""
         out = [b""] * len(texts)
         short = [i for i, t in enumerate(texts) if len(t) <= LONG]
         for a in range(0, len(short), 20_000):
             some = short[a : a + 20_000]
-            for i, ids in zip(some, self._many([texts[i] for i in some], variant), strict=True):
+            for i, ids in zip(some, self._many([texts[i] for i in some], _of(variant, some)), strict=True):
                 out[i] = ids
         for i, t in enumerate(texts):
             if len(t) > LONG:
-                out[i] = self._one(t, variant)
+                out[i] = self._one(t, _of(variant, [i]))
+        return out
+
+    def plain(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """Ids of segments at rate 0, and the candidates taken for them (rank, then place). A long segment has neither if there
+        is a rate: no occurrence of it shares its pieces."""
+        out = [(b"", b"")] * len(texts)
+        short = [i for i, t in enumerate(texts) if len(t) <= LONG]
+        for a in range(0, len(short), 20_000):
+            some = short[a : a + 20_000]
+            steps: list[tuple[np.ndarray, np.ndarray]] = []
+            ids = self._many([texts[i] for i in some], 0, steps)
+            of, took = (np.concatenate([x[k] for x in steps] or [np.zeros(0, np.int64)]) for k in (0, 1))
+            took, ends = took[np.argsort(of, kind="stable")], np.cumsum(np.bincount(of, minlength=len(some))).tolist()
+            for i, x, first, last in zip(some, ids, [0, *ends], ends, strict=False):
+                out[i] = x, took[first:last].tobytes()
+        if not self.limit:
+            for i, t in enumerate(texts):
+                if len(t) > LONG:
+                    out[i] = self._one(t, 0), b""
         return out
 
     def _points(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
         return points, np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
 
-    def _many(self, texts: list[str], variant: int) -> list[bytes]:
+    def _many(self, texts: list[str], variant: int | np.ndarray, steps: list | None = None) -> list[bytes]:
+        """With steps nothing is skipped, and they get the candidates taken: segment, and rank with place."""
         points, at = self._points(texts)
         n = len(points)
         sym, mark = self.symbol[points], self.marks(points, at, variant)
@@ -132,7 +158,11 @@ class Codec:
                 if not len(open_):
                     break
             i = at[open_] + (best & 0xFFFFF)
-            skip = self.skipped(mark[open_], offset[i], best >> 20)
+            if steps is None:
+                skip = self.skipped(mark[open_], offset[i], best >> 20)
+            else:
+                skip = np.zeros(len(i), bool)
+                steps.append((open_, best))
             key[i[skip]] = NONE
             i = i[~skip]
             j = right[i]
@@ -165,7 +195,7 @@ class Codec:
         at = (at * 4).tolist()
         return [whole[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
-    def _one(self, text: str, variant: int) -> bytes:
+    def _one(self, text: str, variant: int | np.ndarray) -> bytes:
         """The same with a heap, for a long segment."""
         points, at = self._points([text])
         mark, none = self.marks(points, at, variant), len(self.pair_keys) - 1
@@ -208,6 +238,10 @@ class Codec:
         return self.piece_bytes[ragged(self.piece_at, ids)]
 
 
+def _of(variant: int | np.ndarray, some: list[int]) -> int | np.ndarray:
+    return variant if isinstance(variant, int) else variant[some]
+
+
 def ragged(at: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Places at[c] .. at[c + 1] of each code c in turn."""
     size = (at[1:] - at[:-1])[codes]
@@ -238,16 +272,39 @@ def _segments(texts: pa.Array) -> pa.Array:
 
 
 def segment_cache(codec: Codec) -> words.Cache:
-    """Ids by (variant, segment without its first space); a call has one variant."""
-    return words.Cache(lambda new: codec.segments([" " + s for _, s in new], new[0][0]) if new else [])
+    """By segment without its first space: ids and candidate merges at rate 0, which hold for every occurrence."""
+    return words.Cache(lambda new: codec.plain([" " + s for s in new]) if new else [])
 
 
-def encode_part(codec: Codec, cache: words.Cache, texts: pa.Array, variant: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts in a row, and where each text's ids begin."""
+def encode_part(codec: Codec, cache: words.Cache, texts: pa.Array, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row, and where each text's ids begin. keys: one a text; an occurrence's key is made of it and of
+    the segment's number in the text. Where no candidate of the pieces at rate 0 is skipped they stay, else the occurrence is
+    merged on its own."""
     distinct, codes, begins = words.coded(_segments(texts))
-    found = cache([(variant, s) for s in distinct])
-    at = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int64)
-    flat = np.frombuffer(b"".join(found), np.int32)
+    found = cache(distinct)
+    plain = [x[0] for x in found]
+    if codec.limit and len(codes):
+        number = np.arange(len(codes)) - np.repeat(begins[:-1], np.diff(begins))
+        own = common.mix(np.repeat(keys.view(np.uint64), np.diff(begins)) + number.astype(np.uint64) * common.M2)
+        flat, at = codec._points([" " + s for s in distinct])
+        hashes = codec.hashes(flat, at)
+        steps = [x[1] for x in found]
+        step_at = np.concatenate(([0], np.cumsum([len(x) // 8 for x in steps]))).astype(np.int64)
+        step = np.frombuffer(b"".join(steps), np.int64)
+        changed = np.array([len(s) + 1 > LONG for s in distinct])[codes]
+        for a in range(0, len(codes), 100_000):
+            some = codes[a : a + 100_000]
+            size = np.diff(step_at)[some]
+            took = step[ragged(step_at, some)]
+            marks = np.repeat(codec.keyed(hashes[some], own[a : a + 100_000]), size)
+            skip = codec.skipped(marks, took & 0xFFFFF, took >> 20)
+            changed[a + np.repeat(np.arange(len(some)), size)[skip]] = True
+        new = np.flatnonzero(changed)
+        plain += codec.segments([" " + distinct[c] for c in codes[new].tolist()], own[new])
+        codes = codes.astype(np.int64)
+        codes[new] = len(distinct) + np.arange(len(new))
+    at = np.concatenate(([0], np.cumsum([len(x) // 4 for x in plain]))).astype(np.int64)
+    flat = np.frombuffer(b"".join(plain), np.int32)
     ids = flat[ragged(at, codes)] if len(codes) else flat[:0]
     sizes = words.sums(np.diff(at)[codes], begins) if len(codes) else np.zeros(len(texts), np.int64)
     return ids, np.concatenate(([0], np.cumsum(sizes)))
@@ -269,19 +326,16 @@ def encoded(docs: DataFrame, model_file: str, rate: float = 0.1, seed: int = 1,
         codec, cache = _CODECS[key]
         for batch in batches:
             for first, last, texts in words.row_slices(batch):
-                variants = batch.column(2).slice(first, last - first).to_numpy()
-                for variant in np.unique(variants):
-                    own = pa.array(first + np.flatnonzero(variants == variant))
-                    part = texts.take(pc.subtract(own, first))
-                    ids, begins = encode_part(codec, cache, part, int(variant))
-                    same = _lossless(codec, ids, begins, part)
-                    lists = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(ids, pa.int32()))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(own), pa.array(np.diff(begins)), lists, pa.array(same), *[c.take(own) for c in batch.columns[3:]]], names=["doc_id", "n_tokens", "ids", "lossless", *carried])
+                ids, begins = encode_part(codec, cache, texts, batch.column(2).slice(first, last - first).to_numpy())
+                same = _lossless(codec, ids, begins, texts)
+                lists = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(ids, pa.int32()))
+                own = [c.slice(first, last - first) for c in batch.columns]
+                yield pa.RecordBatch.from_arrays([own[0], pa.array(np.diff(begins)), lists, pa.array(same), *own[3:]], names=["doc_id", "n_tokens", "ids", "lossless", *carried])
         cache.clear()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    variant = F.coalesce(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(VARIANTS)), F.lit(0)).cast("int").alias("variant")
-    return docs.select("doc_id", "text", variant, *carried).mapInArrow(encode, ", ".join([f"doc_id {kind}, n_tokens long, ids array<int>, lossless boolean", *[f"{c} {docs.schema[c].dataType.simpleString()}" for c in carried]]))
+    key = F.xxhash64(F.lit(seed), "doc_id").alias("key")
+    return docs.select("doc_id", "text", key, *carried).mapInArrow(encode, ", ".join([f"doc_id {kind}, n_tokens long, ids array<int>, lossless boolean", *[f"{c} {docs.schema[c].dataType.simpleString()}" for c in carried]]))
 
 
 def _lossless(codec: Codec, ids: np.ndarray, begins: np.ndarray, texts: pa.Array) -> np.ndarray:

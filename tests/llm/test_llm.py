@@ -333,6 +333,23 @@ def test_sentencepiece(docs, pdf):
         assert r.text == text[r.doc_id]
 
 
+def test_merge_dropout_varies_by_document_and_occurrence(spark):
+    docs = spark.createDataFrame([(i, "internationalisation of internationalisation") for i in range(40)], "doc_id long, text string")
+    got = [tuple(r.ids) for r in sentencepiece_codec.encoded(docs, registry.PIECES, rate=0.3).collect()]
+    assert len(set(got)) > 10
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.model_table(registry.PIECES), 0.3, 1)
+    import pyarrow as pa
+
+    text = PII + " internationalisation bananabanana" * 30 + " " + "long" * 30 + "  gaps "
+    keys = np.array([5, 6], np.int64)
+    ids, begins = sentencepiece_codec.encode_part(codec, sentencepiece_codec.segment_cache(codec), pa.array([text, text], pa.large_string()), keys)
+    parts = sentencepiece_codec._segments(pa.array([text], pa.large_string())).to_pylist()[0]
+    assert len({codec._one(" internationalisation", np.array([k], np.uint64)) for k in range(50)}) > 5
+    for k in range(2):
+        want = b"".join(codec._one(" " + s, common.mix(keys[k : k + 1].view(np.uint64) + np.uint64(n) * common.M2)) for n, s in enumerate(parts))
+        assert ids[begins[k] : begins[k + 1]].tobytes() == want
+
+
 def test_merges_one_by_one_and_many_at_a_time():
     codec = sentencepiece_codec.Codec(sentencepiece_codec.model_table(registry.PIECES), 0.2, 9)
     segments = [" " + w for w in (PII + " internationalisation aaaaaaaaaaaaaaaa bananabanana").split(" ")]
