@@ -128,6 +128,12 @@ def predicted(texts: pa.Array, parse: words.Cache, langs: np.ndarray) -> tuple[n
     return np.where(known, langs[cost[:, :-1].argmin(axis=1)], "und"), np.where(known, 1 - ranked[:, 0] / np.where(known, second, 1), 0.0)
 
 
+def _lettered(texts: pa.Array, parse: words.Cache) -> np.ndarray:
+    """Whether each text has a letter."""
+    distinct, codes, begins = words.coded(pc.ascii_split_whitespace(texts))
+    return words.sums(np.array([x[-1] for x in parse(distinct)])[codes], begins) > 0 if distinct else np.zeros(len(texts), bool)
+
+
 def _predictor(texts: dict[str, str]) -> Callable:
     langs = np.array([*texts], object)
 
@@ -152,14 +158,15 @@ def languages(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs without those whose language can't be told (`und`); all columns stay as they are."""
+    """docs without those whose language can't be told (`und`); all columns stay as they are. Where no language was learned,
+    only documents without a letter go."""
     texts = samples(docs)
     langs, names = np.array([*texts], object), docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parse = _parser(texts)
         for batch in batches:
-            flags = [predicted(part, parse, langs)[0] != "und" for _, _, part in words.row_slices(batch)]
+            flags = [predicted(part, parse, langs)[0] != "und" if len(langs) else _lettered(part, parse) for _, _, part in words.row_slices(batch)]
             yield batch.filter(pa.array(np.concatenate(flags) if flags else np.zeros(0, bool)))
         parse.clear()
 

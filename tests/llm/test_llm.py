@@ -404,6 +404,11 @@ def test_languages(docs, pdf, spark):
     assert kept.columns == docs.columns and kept.count() == (got.lang_pred != "und").sum()
 
 
+def test_no_labels_reject_no_document_with_letters(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12 !", None), (3, None, None), (4, "", None), (5, "9 ü", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in language_id.keep_identified(docs).collect()} == {1, 5}
+
+
 def test_cross_parsing():
     rng = np.random.default_rng(4)
     sample = "".join(rng.choice(list("abc "), 300))
