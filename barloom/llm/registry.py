@@ -1,11 +1,11 @@
-"""The ten operators as registered queries, and the SQL of those that SQL can express."""
+"""The operators as registered queries, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import exact_dedup, html_extract, language_id, media, mixing, near_dedup, pii, sentencepiece_codec, substring_dedup, token_counts
+from barloom.llm import exact_dedup, html_extract, language_id, media, mixing, near_dedup, pii, prefix_trie, sentencepiece_codec, substring_dedup, token_counts
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -55,11 +55,49 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_near_duplicates, op2_token_counts, op3_mixing, op4_personal_data, op5_repeated_passages, op6_media_columns, op7_sentencepiece, op8_exact_duplicates, op9_language_id, op10_html_extraction)}
+    op1_near_duplicates, op2_token_counts, op3_mixing, op4_personal_data, op5_repeated_passages, op6_media_columns, op7_sentencepiece, op8_exact_duplicates, op9_language_id, op10_html_extraction,
+    op13_conversation_trie)}
 ORACLES = {
     "op8_exact_duplicates": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op13_conversation_trie": r"""
+        WITH turns AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k
+            FROM conversations WHERE conv_id IS NOT NULL),
+        heads AS (
+            SELECT conv_id, xor(list_reduce(
+                       list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+                       lambda a, b: xor(xor(a, b) >> 1, (xor(a, b) & 1) * 3988292384)), 4294967295) % 4 AS h
+            FROM (SELECT DISTINCT conv_id FROM turns)),
+        placed AS (
+            SELECT h.conv_id, 0 AS own, t.k, t.role, t.text FROM heads h JOIN turns t ON t.conv_id = h.conv_id - h.conv_id % 20 AND t.k <= h.h
+            UNION ALL
+            SELECT h.conv_id, 1, t.k, t.role, t.text FROM heads h JOIN turns t ON t.conv_id = h.conv_id AND t.k > h.h),
+        rebuilt AS (
+            SELECT conv_id, row_number() OVER w AS depth, list({'role': role, 'text': text}) OVER w AS path, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
+            FROM placed WINDOW w AS (PARTITION BY conv_id ORDER BY own, k)),
+        paths AS (SELECT * FROM rebuilt UNION ALL SELECT conv_id, 0, [], 0 FROM heads),
+        members AS (
+            SELECT conv_id, depth, words, min(conv_id) OVER (PARTITION BY depth, path) AS node, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM paths),
+        nodes AS (
+            SELECT node, depth, count(*) AS n_convs, any_value(words) AS words,
+                   sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+            FROM members GROUP BY node, depth),
+        up AS (SELECT n.*, m.node AS parent FROM nodes n LEFT JOIN members m ON m.conv_id = n.node AND m.depth = n.depth - 1),
+        children AS (SELECT parent, depth - 1 AS depth, count(*) AS n FROM up WHERE parent IS NOT NULL GROUP BY ALL),
+        full_nodes AS (SELECT u.*, coalesce(c.n, 0) AS n_children FROM up u LEFT JOIN children c ON c.parent = u.node AND c.depth = u.depth),
+        below AS (
+            SELECT m.node, m.depth, sum((f.n_children = 0)::BIGINT) AS n_leaves, sum((f.n_convs - 1) * f.words) AS saved_tokens
+            FROM full_nodes f JOIN members m ON m.conv_id = f.node AND m.depth <= f.depth GROUP BY m.node, m.depth)
+        SELECT f.node AS conv_id, f.depth::BIGINT AS depth, f.parent AS parent_conv_id, f.n_convs, f.n_children,
+               b.n_leaves::BIGINT AS n_leaves, b.saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
+        FROM full_nodes f JOIN below b ON b.node = f.node AND b.depth = f.depth""",
 }
