@@ -72,7 +72,7 @@ def test_trie_of_odd_rows(spark):
 
 
 def test_trie_of_long_and_shared_conversations(spark):
-    rows = [(c, t, "user", f"word {min(t, 900 + c)}", None, None) for c in (0, 1, 2, 3, 21) for t in range(1200)]
+    rows = [(c, t, "user", f"word {min(t, 90 + c)}", None, None) for c in (0, 1, 2, 3, 21) for t in range(150)]
     assert nodes(spark, rows, block_rows=2) == brute(rows)
 
 
