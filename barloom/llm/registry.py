@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import exact_dedup, html_extract, language_id, media, mixing, near_dedup, pii, prefix_trie, sentencepiece_codec, substring_dedup, token_counts
+from barloom.llm import exact_dedup, hard_negatives, html_extract, language_id, media, mixing, near_dedup, pii, prefix_trie, sentencepiece_codec, substring_dedup, token_counts
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -55,18 +55,41 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_near_duplicates, op2_token_counts, op3_mixing, op4_personal_data, op5_repeated_passages, op6_media_columns, op7_sentencepiece, op8_exact_duplicates, op9_language_id, op10_html_extraction,
-    op13_conversation_trie)}
+    op12_hard_negatives, op13_conversation_trie)}
 ORACLES = {
     "op8_exact_duplicates": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op12_hard_negatives": """
+        WITH vectors AS (
+            SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT a.vec_id AS anchor_id, v.vec_id AS other_id, a.label = v.label AS same, list_inner_product(a.q, v.q)::BIGINT AS score
+            FROM vectors a JOIN vectors v ON a.vec_id % 50 = 0 AND a.vec_id <> v.vec_id),
+        positives AS (
+            SELECT * FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+        SELECT p.anchor_id, p.other_id AS positive_id,
+               row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY s.score DESC, s.other_id)::INT AS rank,
+               s.other_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+        FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+             AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+        QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY s.score DESC, s.other_id) <= 3""",
     "op13_conversation_trie": r"""
         WITH turns AS (
             SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
