@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import exact_dedup, hard_negatives, html_extract, language_id, media, mixing, near_dedup, pii, prefix_trie, sentencepiece_codec, substring_dedup, token_counts
+from barloom.llm import exact_dedup, hard_negatives, html_extract, language_id, media, mixing, near_dedup, pii, pitman_yor, prefix_trie, sentencepiece_codec, substring_dedup, token_counts
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -55,6 +55,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.scored(_documents(spark, sf_dir))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -65,7 +69,7 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_near_duplicates, op2_token_counts, op3_mixing, op4_personal_data, op5_repeated_passages, op6_media_columns, op7_sentencepiece, op8_exact_duplicates, op9_language_id, op10_html_extraction,
-    op12_hard_negatives, op13_conversation_trie)}
+    op11_lm_scores, op12_hard_negatives, op13_conversation_trie)}
 ORACLES = {
     "op8_exact_duplicates": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
