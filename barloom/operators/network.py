@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.expr import ratio
+from barloom.operators import graphs
 from barloom.operators.indicators import log_return
 from barloom.operators.joins import calendar
 from barloom.operators.layout import BLOCK, over_blocks
@@ -21,7 +22,6 @@ from barloom.operators.order_stats import average_ranks, medians
 from barloom.session import attach, durable
 
 TILE, STRETCH = 128, 512
-MAX_NODES = 5_000
 
 
 def log_returns(bars: DataFrame, *, block: int = BLOCK) -> DataFrame:
@@ -161,37 +161,17 @@ def laplacian(edges: DataFrame, *, by: tuple[str, ...] = (), normalised: bool =
     return off.unionByName(own)
 
 
-# ---- per-graph kernels -----------------------------------------------------------------------
-# A graph here is a k-nearest-neighbour graph of the asset universe: at most nodes x 2k edges.
+# ---- measures of a graph ---------------------------------------------------------------------
+# One graph is measured by table operations (graphs.py), whatever its size. Of many graphs, one a window, the small
+# ones are tasks of their own.
 
+KERNEL_NODES = 2_000
 
-def _adjacency(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    names = np.unique(np.concatenate([pdf["src"].to_numpy(), pdf["dst"].to_numpy()]))
-    if names.size > MAX_NODES:
-        raise ValueError(f"graph of {names.size} nodes; dense kernels take at most {MAX_NODES}")
-    m = np.zeros((names.size, names.size))
-    m[np.searchsorted(names, pdf["src"]), np.searchsorted(names, pdf["dst"])] = pdf["w"]
-    return names, m
 
-
-def _fiedler(pdf: pd.DataFrame) -> pd.DataFrame:
-    names, m = _adjacency(pdf)
-    d = m.sum(axis=1)
-    inv = np.where(d > 0, 1.0 / np.sqrt(np.where(d > 0, d, 1.0)), 0.0)
-    values, vectors = np.linalg.eigh(np.eye(names.size) - inv[:, None] * m * inv[None, :])
-    i = int(np.argmax(values > 1e-10))
-    v = vectors[:, i]
-    lead = v[np.argmax(np.abs(v) > 1e-9)]
-    v = v if lead > 0 else -v
-    return pd.DataFrame({"g": pdf["g"].iloc[0], "symbol": names, "fiedler_value": values[i], "fiedler": v})
-
-
-def fiedler_vectors(edges: DataFrame, *, by: str | None = None) -> DataFrame:
-    """First eigenvector of the normalised Laplacian with eigenvalue above 1e-10, one graph per
-    key. The sign is fixed by the first name with a loading."""
-    e = edges.select((F.col(by) if by else F.lit(0)).cast("long").alias("g"), "src", "dst", "w")
-    out = e.groupBy("g").applyInPandas(_fiedler, "g long, symbol string, fiedler_value double, fiedler double")
-    return out.withColumnRenamed("g", by) if by else out.drop("g")
+def fiedler_vectors(edges: DataFrame) -> DataFrame:
+    """First eigenvector of the normalised Laplacian with an eigenvalue above zero. The sign is fixed by the first name with a
+    loading."""
+    return graphs.fiedler_pair(edges)
 
 
 def bipartition(vectors: DataFrame, *, method: str = "median") -> DataFrame:
@@ -208,6 +188,13 @@ def spectral_clusters(returns: DataFrame, *, k: int = 8, use_abs: bool = False,
     return bipartition(fiedler_vectors(edges))
 
 
+def _adjacency(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    names = np.unique(np.concatenate([pdf["src"].to_numpy(), pdf["dst"].to_numpy()]))
+    m = np.zeros((names.size, names.size))
+    m[np.searchsorted(names, pdf["src"]), np.searchsorted(names, pdf["dst"])] = pdf["w"]
+    return names, m
+
+
 def _pagerank(names: np.ndarray, m: np.ndarray, alpha: float = 0.85, steps: int = 100) -> np.ndarray:
     n = names.size
     out = m.sum(axis=1)
@@ -233,47 +220,30 @@ def _eigenvector(names: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.abs(np.linalg.eigh(m)[1][:, -1])
 
 
-def _betweenness(names: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Shortest-path betweenness with the weight as distance, from all-pairs distances."""
-    n = names.size
-    dist = np.where(m > 0, m, np.inf)
-    np.fill_diagonal(dist, 0.0)
-    full = dist.copy()
-    for k in range(n):
-        full = np.minimum(full, full[:, k, None] + full[None, k, :])
-    near = lambda x, y: np.isclose(x, y, rtol=1e-12, atol=1e-15)
-    score = np.zeros(n)
-    edge = np.isfinite(dist) & ~np.eye(n, dtype=bool)
-    for s in range(n):
-        order = np.argsort(full[s], kind="stable")
-        tight = edge & near(full[s][:, None] + dist, full[s][None, :]) & np.isfinite(full[s])[:, None]
-        paths = np.zeros(n)
-        paths[s] = 1.0
-        for v in order[1:]:
-            paths[v] = paths[tight[:, v]].sum() if np.isfinite(full[s, v]) else 0.0
-        dep = np.zeros(n)
-        for v in order[::-1]:
-            if paths[v] > 0:
-                before = tight[:, v]
-                dep[before] += paths[before] / paths[v] * (1.0 + dep[v])
-        dep[s] = 0.0
-        score += dep
-    return score / ((n - 1) * (n - 2)) if n > 2 else score
-
-
-_CENTRALITY = {"pagerank": _pagerank, "eigenvector": _eigenvector, "betweenness": _betweenness}
-
-
-def centrality(edges: DataFrame, kind: str = "pagerank", *, by: str = "t_no") -> DataFrame:
-    """Centrality of every node in every window; windows are independent tasks."""
-    measure = _CENTRALITY[kind]
+_CENTRALITY = {"pagerank": (_pagerank, graphs.pagerank), "eigenvector": (_eigenvector, graphs.eigenvector)}
+
+
+def centrality(edges: DataFrame, kind: str = "pagerank", *, by: str | None = "t_no", kernel_nodes: int = KERNEL_NODES) -> DataFrame:
+    """Centrality of every node, of one graph or (``by``) of every window's graph. A window with at most ``kernel_nodes`` nodes is a
+    task; a larger one goes through tables like a single graph, one after the other."""
+    if kind == "betweenness":
+        return graphs.betweenness(edges, by=by) if by else graphs.betweenness(edges.withColumn("_g", F.lit(0)), by="_g").drop("_g")
+    kernel, whole = _CENTRALITY[kind]
+    if by is None:
+        return whole(edges)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names, m = _adjacency(pdf)
-        return pd.DataFrame({"g": pdf["g"].iloc[0], "symbol": names, "score": measure(names, m)})
-
-    e = edges.select(F.col(by).cast("long").alias("g"), "src", "dst", "w")
-    return e.groupBy("g").applyInPandas(run, "g long, symbol string, score double").withColumnRenamed("g", by)
+        return pd.DataFrame({"g": pdf["g"].iloc[0], "symbol": names, "score": kernel(names, m)})
+
+    e = durable(edges.select(F.col(by).cast("long").alias("g"), "src", "dst", "w"))
+    sizes = e.groupBy("g").agg(F.countDistinct("src").alias("n"))
+    large = [r["g"] for r in sizes.where(F.col("n") > kernel_nodes).collect()]
+    few = e.where(~F.col("g").isin(large)) if large else e
+    out = few.groupBy("g").applyInPandas(run, "g long, symbol string, score double")
+    for g in large:
+        out = out.unionByName(whole(e.where(F.col("g") == g)).withColumn("g", F.lit(g)))
+    return out.withColumnRenamed("g", by)
 
 
 def rolling_networks(

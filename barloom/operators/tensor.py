@@ -1,7 +1,7 @@
 """Time x asset x feature tensor, its decompositions, and dynamic modes of a panel.
 
-The tensor is a long table. Asset and feature sides are small (the universe and a handful
-of features); the time side is the long one and is never collected.
+The tensor is a long table of cells, and so are all factors: a step joins cells with factor tables and sums by key. Only
+matrices of the rank's size reach the driver.
 """
 
 from __future__ import annotations
@@ -10,15 +10,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.expr import ratio
+from barloom.operators import graphs
 from barloom.operators.indicators import liquidity, realized_vol
 from barloom.operators.joins import calendar
-from barloom.operators.layout import BLOCK, over_blocks
-from barloom.operators.network import MAX_NODES, pair_sums, symbol_index
-from barloom.session import durable, small
+from barloom.operators.layout import BLOCK
+from barloom.session import durable, small, stored
 
 FEATURES = ("returns", "rv", "depth", "dollar_volume", "hl_range")
 
@@ -54,176 +54,183 @@ def tensor_long(
     )
 
 
-@dataclass
-class Slabs:
-    """The tensor as one row per timestamp, with the names of its small sides."""
-
-    rows: DataFrame
-    assets: list[str]
-    features: list[str]
-
-
-def slabs(tensor: DataFrame, *, step_seconds: int = 86_400) -> Slabs:
-    index = symbol_index(tensor)
-    assets = [r["symbol"] for r in index.orderBy("s_no").collect()]
-    if len(assets) > MAX_NODES:
-        raise ValueError(f"{len(assets)} assets; the small side takes at most {MAX_NODES}")
-    features = sorted(r["feature"] for r in tensor.select("feature").distinct().collect())
-    f_no = F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature")) - 1
-    rows = tensor.where("z <> 0").join(index, "symbol").join(calendar(tensor, step_seconds=step_seconds), "ts")
-    rows = rows.groupBy("t_no", "ts").agg(
-        F.collect_list(F.struct((F.col("s_no") * len(features) + f_no).cast("int").alias("i"), F.col("z").alias("z"))).alias("cells")
-    )
-    return Slabs(durable(rows), assets, features)
-
-
-def _dense(pdf: pd.DataFrame, a: int, f: int) -> np.ndarray:
-    out = np.zeros((len(pdf), a * f))
-    for n, cells in enumerate(pdf["cells"]):
-        out[n, [c["i"] for c in cells]] = [c["z"] for c in cells]
-    return out.reshape(len(pdf), a, f)
-
-
-def _reduce(s: Slabs, fn, shape: tuple[int, ...]) -> np.ndarray:
-    """Sum over all timestamps of fn(dense slabs); only the sum reaches the driver."""
-    a, f = len(s.assets), len(s.features)
-
-    def partial(batches):
-        total = np.zeros(shape)
-        for pdf in batches:
-            total += fn(_dense(pdf, a, f))
-        yield pd.DataFrame({"i": np.arange(total.size), "v": total.ravel()})
-
-    cells = s.rows.select("cells").mapInPandas(partial, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(int(np.prod(shape)))
-    for r in cells:
-        out[r["i"]] = r["v"]
-    return out.reshape(shape)
+MODES = ("ts", "symbol", "feature")
 
 
 @dataclass
 class Factors:
+    """A table (key, x: numbers) for each mode, the key named after the mode, and the relative error after each sweep."""
+
     time: DataFrame
-    asset: np.ndarray
-    feature: np.ndarray
+    asset: DataFrame
+    feature: DataFrame
     errors: list[float]
 
 
-def cp_decompose(s: Slabs, rank: int = 2, *, sweeps: int = 8, seed: int = 0) -> Factors:
-    """Rank-R factors by alternating least squares. The time factor of a timestamp depends only
-    on that timestamp and the two small factors, so it is recomputed inside the pass."""
-    a, f = len(s.assets), len(s.features)
-    rng = np.random.default_rng(seed)
-    fa, ff = rng.normal(size=(a, rank)), rng.normal(size=(f, rank))
-    norm = float(_reduce(s, lambda z: np.array([(z * z).sum()]), (1,))[0])
+def _times(x: Column, m: np.ndarray) -> Column:
+    """The row x times a small matrix."""
+    return F.array(*[sum((x[i] * float(m[i, j]) for i in range(m.shape[0])), F.lit(0.0)) for j in range(m.shape[1])])
 
-    def time_rows(z: np.ndarray, fa=None, ff=None) -> np.ndarray:
-        return np.einsum("taf,ar,fr->tr", z, fa, ff) @ np.linalg.pinv((fa.T @ fa) * (ff.T @ ff))
 
-    errors = []
-    for _ in range(sweeps):
-        old_a, old_f = fa, ff
+def _sums(rows: DataFrame, terms: list[Column]) -> np.ndarray:
+    return np.array([v or 0.0 for v in rows.agg(*[F.sum(t).alias(f"s{i}") for i, t in enumerate(terms)]).first()])
 
-        def asset_side(z, fa=old_a, ff=old_f):
-            u = time_rows(z, fa, ff)
-            return np.concatenate([np.einsum("taf,tr,fr->ar", z, u, ff), u.T @ u])
 
-        both = _reduce(s, asset_side, (a + rank, rank))
-        m, gram = both[:a], both[a:]
-        fa = m @ np.linalg.pinv(gram * (ff.T @ ff))
+def _gram(table: DataFrame, width: int) -> np.ndarray:
+    return _sums(table, [F.col("x")[i] * F.col("x")[j] for i in range(width) for j in range(width)]).reshape(width, width)
 
-        def feature_side(z, fa=old_a, ff=old_f, new=fa):
-            return np.einsum("taf,tr,ar->fr", z, time_rows(z, fa, ff), new)
 
-        mf = _reduce(s, feature_side, (f, rank))
-        ff = mf @ np.linalg.pinv(gram * (fa.T @ fa))
-        fit = norm - 2 * float((mf * ff).sum()) + float((gram * (fa.T @ fa) * (ff.T @ ff)).sum())
-        errors.append(float(np.sqrt(max(fit, 0.0) / norm)) if norm > 0 else 0.0)
-
-    def project(batches, fa=fa, ff=ff):
-        for pdf in batches:
-            yield pd.DataFrame({"ts": pdf["ts"], "factor": time_rows(_dense(pdf, a, f), fa, ff).tolist()})
-
-    return Factors(s.rows.mapInPandas(project, "ts timestamp_ntz, factor array<double>"), fa, ff, errors)
+def _start(table: DataFrame, mode: str, rank: int, seed: int) -> DataFrame:
+    """Numbers between -0.5 and 0.5 from a hash of the key, so that they do not depend on an order of the keys."""
+    part = lambda r: F.conv(F.substring(F.md5(F.concat(F.col(mode).cast("string"), F.lit(f"/{r + seed * rank}"))), 1, 8), 16, 10).cast("double") / float(1 << 32) - 0.5
+    return table.select(mode).distinct().select(mode, F.array(*[part(r) for r in range(rank)]).alias("x"))
 
 
-def _leading(gram: np.ndarray, k: int) -> np.ndarray:
-    values, vectors = np.linalg.eigh(gram)
-    v = vectors[:, ::-1][:, :k]
-    lead = v[np.argmax(np.abs(v) > 1e-9, axis=0), np.arange(v.shape[1])]
-    return v * np.where(lead < 0, -1.0, 1.0)
+def _matricised(cells: DataFrame, mode: str, others: dict[str, DataFrame], rank: int) -> DataFrame:
+    """For each key of the mode the sum of z times the product of the other modes' factors, over its cells."""
+    rows = cells
+    for k, (name, factor) in enumerate(others.items()):
+        rows = rows.join(factor.select(name, F.col("x").alias(f"x{k}")), name)
+    return rows.groupBy(mode).agg(F.array(*[F.sum(F.col("z") * F.col("x0")[r] * F.col("x1")[r]) for r in range(rank)]).alias("m"))
 
 
-def tucker_decompose(s: Slabs, ranks: tuple[int, int, int] = (3, 2, 2)) -> tuple[Factors, np.ndarray]:
-    """Higher-order SVD: leading eigenvectors of each mode's Gram matrix, time by projection.
-    Returns the factors and the core."""
-    a, f = len(s.assets), len(s.features)
-    ua = _leading(_reduce(s, lambda z: np.einsum("taf,tbf->ab", z, z), (a, a)), min(ranks[1], a))
-    uf = _leading(_reduce(s, lambda z: np.einsum("taf,tag->fg", z, z), (f, f)), min(ranks[2], f))
-    width = ua.shape[1] * uf.shape[1]
-    small = lambda z: np.einsum("taf,aj,fk->tjk", z, ua, uf).reshape(len(z), width)
-    gram = _reduce(s, lambda z: small(z).T @ small(z), (width, width))
-    v = _leading(gram, min(ranks[0], width))
+def cp_decompose(tensor: DataFrame, rank: int = 2, *, sweeps: int = 8, seed: int = 0) -> Factors:
+    """Rank-R factors by alternating least squares. A mode's step joins the nonzero cells with the tables of the other two factors
+    and sums by the mode's key; only R x R matrices reach the driver. All three factors stay tables, and a table is broadcast
+    to the cells only after it was counted."""
+    cells = stored(tensor.where("z <> 0").select(*MODES, "z"))
+    norm = float(_sums(cells, [F.col("z") * F.col("z")])[0])
+    held = {m: graphs.held(_start(cells, m, rank, seed)) for m in MODES[1:]}
+    gram = {m: _gram(t, rank) for m, t in held.items()}
+    errors = []
+    for _ in range(sweeps):
+        for mode in MODES:
+            others = [m for m in MODES if m != mode]
+            inverse = np.linalg.pinv(gram[others[0]] * gram[others[1]])
+            moved = _matricised(cells, mode, {m: held[m] for m in others}, rank).withColumn("x", _times(F.col("m"), inverse))
+            held[mode] = graphs.held(moved)
+            gram[mode] = _gram(held[mode], rank)
+        fit = norm - 2 * float(_sums(held[mode], [F.col("x")[r] * F.col("m")[r] for r in range(rank)]).sum())
+        fit += float((gram["ts"] * gram["symbol"] * gram["feature"]).sum())
+        errors.append(float(np.sqrt(max(fit, 0.0) / norm)) if norm > 0 else 0.0)
+    return Factors(*[held[m].select(m, "x") for m in MODES], errors)
+
+
+def _mode_vectors(cells: DataFrame, mode: str, k: int) -> DataFrame:
+    """(key, x): the leading left singular vectors of the tensor unfolded along the mode. The first key with a loading has a
+    positive one."""
+    at = F.struct(*[m for m in MODES if m != mode])
+    nodes = cells.select(F.col(mode).cast("string").alias("node")).distinct()
+    values, found = graphs.leading_vectors(
+        graphs.gram(cells.select(F.col(mode).alias("node"), at.alias("at"), F.col("z").alias("value"))),
+        nodes.select("node", F.lit("all").alias("component"), F.lit(0.0).alias("still")), k)
+    return graphs.signed(stored(found), len(values)).select(F.col("node").alias(mode), F.col("v").alias("x"))
+
+
+def tucker_decompose(tensor: DataFrame, ranks: tuple[int, int, int] = (3, 2, 2)) -> tuple[Factors, np.ndarray]:
+    """Higher-order SVD: leading singular vectors of the asset and feature unfoldings by block Krylov steps on the cells, time by
+    projection. Returns the factors and the core."""
+    cells = stored(tensor.where("z <> 0").select(*MODES, "z"))
+    ua, uf = graphs.held(_mode_vectors(cells, "symbol", ranks[1])), graphs.held(_mode_vectors(cells, "feature", ranks[2]))
+    ja, jf = (t.select(F.size("x")).first() for t in (ua, uf))
+    ja, jf = ja[0] if ja else 0, jf[0] if jf else 0
+    width = ja * jf
+    rows = cells.join(ua.withColumnRenamed("x", "x0"), "symbol").join(uf.withColumnRenamed("x", "x1"), "feature")
+    y = stored(rows.groupBy("ts").agg(F.array(*[F.sum(F.col("z") * F.col("x0")[j] * F.col("x1")[k]) for j in range(ja) for k in range(jf)]).cast("array<double>").alias("x")))
+    gram = _gram(y, width)
+    values, vectors = np.linalg.eigh(gram) if width else (np.zeros(0), np.zeros((0, 0)))
+    v = vectors[:, ::-1][:, : min(ranks[0], width)]
+    lead = v[np.argmax(np.abs(v) > 1e-9, axis=0), np.arange(v.shape[1])] if width else np.zeros(0)
+    v = v * np.where(lead < 0, -1.0, 1.0)
     size = np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", v, gram, v), 1e-300))
-
-    def project(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"ts": pdf["ts"], "factor": (small(_dense(pdf, a, f)) @ v / size).tolist()})
-
-    core = (size[:, None] * v.T).reshape(v.shape[1], ua.shape[1], uf.shape[1])
-    return Factors(s.rows.mapInPandas(project, "ts timestamp_ntz, factor array<double>"), ua, uf, []), core
-
-
-def embed_2d(points: np.ndarray, neighbours: int = 5) -> np.ndarray:
-    """Two Laplacian-eigenmap coordinates of the asset factors (one row per asset)."""
-    n = len(points)
-    if n < 3:
-        return np.zeros((n, 2))
-    d = ((points[:, None] - points[None]) ** 2).sum(axis=2)
-    np.fill_diagonal(d, np.inf)
-    near = np.zeros((n, n))
-    np.put_along_axis(near, np.argsort(d, axis=1, kind="stable")[:, : min(neighbours, n - 1)], 1.0, axis=1)
-    w = (near + near.T) / 2.0
-    inv = 1.0 / np.sqrt(np.maximum(w.sum(axis=1), 1e-12))
-    vectors = np.linalg.eigh(np.eye(n) - inv[:, None] * w * inv[None, :])[1][:, 1:3] * inv[:, None]
-    lead = vectors[np.argmax(np.abs(vectors) > 1e-9, axis=0), np.arange(vectors.shape[1])]
-    return vectors * np.where(lead < 0, -1.0, 1.0)
+    core = (size[:, None] * v.T).reshape(v.shape[1], ja, jf)
+    time = y.select("ts", _times(F.col("x"), v / size).cast("array<double>").alias("x"))
+    return Factors(time, ua, uf, []), core
+
+
+NEIGHBOUR_TILE = 1024
+
+
+def nearest_points(points: DataFrame, k: int, *, tile: int = NEIGHBOUR_TILE) -> DataFrame:
+    """(src, dst): the k nearest other points of each point (symbol, x), ties by name. A task compares two tiles of points and
+    keeps the k best of each; the best of those over all tiles are the neighbours."""
+    points = stored(points.select("symbol", F.col("x").cast("array<double>").alias("x")))
+    tiles = max(1, -(-points.count() // tile))
+    mine = points.withColumn("ti", F.pmod(F.xxhash64("symbol"), F.lit(tiles)).cast("int"))
+    ends = F.sequence(F.lit(0), F.lit(tiles - 1))
+    both = mine.select("symbol", "x", "ti", F.explode(ends).alias("tj"), F.lit(True).alias("left")).union(
+        mine.select("symbol", "x", F.explode(ends).alias("ti"), F.col("ti").alias("tj"), F.lit(False).alias("left")))
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = (pdf[pdf["left"] == side].sort_values("symbol") for side in (True, False))
+        if not len(a) or not len(b):
+            return pd.DataFrame({"src": [], "dst": [], "d": []})
+        x, y = np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy())
+        d = np.zeros((len(x), len(y)))
+        for c in range(x.shape[1]):
+            d += (x[:, c, None] - y[None, :, c]) ** 2
+        names, others = a["symbol"].to_numpy(), b["symbol"].to_numpy()
+        d[names[:, None] == others[None, :]] = np.inf
+        top = np.argsort(d, axis=1, kind="stable")[:, :k]
+        keep = np.isfinite(np.take_along_axis(d, top, axis=1))
+        return pd.DataFrame({"src": np.repeat(names, top.shape[1])[keep.ravel()], "dst": others[top][keep], "d": np.take_along_axis(d, top, axis=1)[keep]})
+
+    near = both.groupBy("ti", "tj").applyInPandas(best, "src string, dst string, d double")
+    w = Window.partitionBy("src").orderBy("d", "dst")
+    return near.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).select("src", "dst")
+
+
+def embed_2d(points: DataFrame, neighbours: int = 5) -> DataFrame:
+    """points (symbol, x) -> (symbol, x, y): two Laplacian-eigenmap coordinates over the graph of nearest neighbours. The constant
+    vector of each part of the graph is left out; fewer than three points lie at zero."""
+    points = stored(points.select("symbol", "x"))
+    if points.limit(3).count() < 3:
+        return points.select("symbol", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    near = nearest_points(points, neighbours)
+    both = near.select("src", "dst").union(near.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    edges = stored(both.groupBy("src", "dst").agg((F.count("*") / 2.0).alias("w")))
+    values, vectors = graphs.laplacian_vectors(edges, 2)
+    degree = edges.groupBy("src").agg(F.sum("w").alias("degree"))
+    scaled = vectors.join(degree, F.col("node") == F.col("src")).select("node", F.transform("v", lambda c: c / F.sqrt("degree")).alias("v"))
+    out = graphs.signed(stored(scaled), len(values))
+    at = lambda i: F.coalesce(F.get("v", F.lit(i)), F.lit(0.0))
+    return out.select(F.col("node").alias("symbol"), at(0).alias("x"), at(1).alias("y"))
 
 
 def dynamic_modes(returns: DataFrame, rank: int = 6, *, step_seconds: int = 86_400) -> DataFrame:
     """Dynamic modes of a complete panel: (eig_real, eig_imag, growth, frequency, amplitude_abs).
 
-    Spark sums the products over time; the driver only sees two asset x asset matrices and
-    the first snapshot.
+    The leading left singular vectors U of the snapshots come from block Krylov steps on the cells. Snapshots projected on U, of
+    ``rank`` numbers a timestamp, give U'X2 X1'U as one sum over time; the modes before the last rotation are a table by
+    asset. Only rank x rank matrices reach the driver.
     """
-    symbols = symbol_index(returns)
-    n = symbols.count()
-    if n > MAX_NODES:
-        raise ValueError(f"{n} assets; dense modes take at most {MAX_NODES}")
-    rows = returns.join(symbols, "symbol").join(calendar(returns, step_seconds=step_seconds), "ts")
-    rows = over_blocks(rows, lambda f: {"_next": f.lead("ret")}, back=0, ahead=1, pos="t_no")
-    rows = durable(rows.select("s_no", "t_no", F.col("ret").alias("x"), F.col("_next").alias("y")))
-    paired = rows.where("y IS NOT NULL")
-
-    def matrix(sums: DataFrame) -> np.ndarray:
-        m = np.zeros((n, n))
-        for r in sums.select("a", "b", "sxy").collect():
-            m[r["a"], r["b"]] = r["sxy"]
-        return m
-
-    g = matrix(pair_sums(paired, "x", "x", n, ordered=True))
-    c = matrix(pair_sums(paired, "x", "y", n, ordered=True)).T
-    first = np.zeros(n)
-    for r in rows.where("t_no = 0").select("s_no", "x").collect():
-        first[r["s_no"]] = r["x"]
-    values, vectors = np.linalg.eigh(g)
-    r = max(1, min(rank, n))
-    u, s2 = vectors[:, ::-1][:, :r], np.maximum(values[::-1][:r], 1e-24)
-    lam, w = np.linalg.eig(u.T @ c @ u / s2)
-    amplitude = np.linalg.lstsq((c @ u / s2) @ w, first.astype(complex), rcond=None)[0]
+    rows = returns.where(F.col("ret").isNotNull()).join(calendar(returns, step_seconds=step_seconds), "ts").select("symbol", "t_no", F.col("ret").alias("x"))
+    rows = stored(rows)
+    last = rows.agg(F.max("t_no")).first()[0]
+    names = stored(rows.select("symbol").distinct())
+    spark = returns.sparkSession
+    schema = "eig_real double, eig_imag double, amplitude_abs double"
+    if last is None or last < 2:
+        return growth_frequency(spark.createDataFrame([], schema))
+    before = rows.where(F.col("t_no") < last)
+    s2, vectors = graphs.leading_vectors(
+        graphs.gram(before.select(F.col("symbol").alias("node"), F.col("t_no").alias("at"), F.col("x").alias("value"))),
+        names.select(F.col("symbol").alias("node"), F.lit("all").alias("component"), F.lit(0.0).alias("still")), rank)
+    r, s2 = len(s2), np.maximum(s2, 1e-24)
+    u = graphs.held(vectors.select(F.col("node").alias("symbol"), F.col("v").alias("u")))
+    p = stored(rows.join(u, "symbol").groupBy("t_no").agg(F.array(*[F.sum(F.col("x") * F.col("u")[i]) for i in range(r)]).alias("p")))
+    after = p.select((F.col("t_no") - 1).alias("t_no"), F.col("p").alias("q"))
+    square = _sums(p.join(after, "t_no"), [F.col("q")[i] * F.col("p")[j] for i in range(r) for j in range(r)]).reshape(r, r)
+    lam, w = np.linalg.eig(square / s2)
+    moved = rows.select("symbol", (F.col("t_no") - 1).alias("t_no"), "x").join(p, "t_no")
+    modes = moved.groupBy("symbol").agg(F.array(*[F.sum(F.col("x") * F.col("p")[i]) / float(s2[i]) for i in range(r)]).alias("x"))
+    first = rows.where("t_no = 0").select("symbol", F.col("x").alias("first"))
+    modes = stored(modes.join(first, "symbol", "left"))
+    gram = _gram(modes, r)
+    right = _sums(modes, [F.col("x")[i] * F.coalesce("first", F.lit(0.0)) for i in range(r)])
+    amplitude = np.linalg.pinv(w.conj().T @ gram @ w, hermitian=True) @ (w.conj().T @ right)
     table = [(float(v.real), float(v.imag), float(abs(b))) for v, b in zip(lam, amplitude)]
-    out = returns.sparkSession.createDataFrame(table, "eig_real double, eig_imag double, amplitude_abs double")
-    return growth_frequency(out).orderBy(F.desc("amplitude_abs"))
+    return growth_frequency(spark.createDataFrame(table, schema)).orderBy(F.desc("amplitude_abs"))
 
 
 def growth_frequency(eigs: DataFrame, dt: float = 1.0) -> DataFrame:

@@ -171,7 +171,7 @@ SQL_PR = """,
 
 
 def graph_scores(s, d, kind):
-    return rounded(nw.centrality(brand_graph(s, d).withColumn("t_no", F.lit(0)), kind).drop("t_no"))
+    return rounded(nw.centrality(brand_graph(s, d), kind, by=None))
 
 
 add("pagerank", lambda s, d: graph_scores(s, d, "pagerank"),
@@ -183,9 +183,41 @@ SQL_EV = """,
      SELECT p.it, e.dst AS v, sum(p.x * e.w) AS x FROM ev p JOIN edges e ON e.src = p.v WHERE p.it < 200 GROUP BY p.it, e.dst))"""
 add("eigenvector_centrality", lambda s, d: graph_scores(s, d, "eigenvector"),
     f"WITH RECURSIVE {BASE} {SQL_KNN} {SQL_EV} SELECT v AS symbol, round(x, 6) AS score FROM ev WHERE it = 200")
-add("betweenness", lambda s, d: graph_scores(s, d, "betweenness"))
-add("fiedler", lambda s, d: rounded(nw.fiedler_vectors(brand_graph(s, d))))
-add("spectral_clusters", lambda s, d: rounded(nw.spectral_clusters(panel_returns(s, d), k=5, step_seconds=WEEK)))
+SQL_BETWEEN = """,
+ nodes AS (SELECT DISTINCT src AS v FROM edges),
+ ways AS (SELECT 0 AS it, v AS s, v, 0.0::DOUBLE AS d FROM nodes
+   UNION ALL SELECT it + 1, s, v, min(d) FROM (
+     SELECT it, s, v, d FROM ways WHERE it < 25
+     UNION ALL SELECT p.it, p.s, e.dst, p.d + e.w FROM ways p JOIN edges e ON e.src = p.v WHERE p.it < 25) GROUP BY it, s, v),
+ far AS (SELECT s, v, min(d) AS d FROM ways GROUP BY 1, 2),
+ tight AS (SELECT a.s, a.v AS u, b.v FROM far a JOIN edges e ON e.src = a.v JOIN far b ON b.s = a.s AND b.v = e.dst WHERE abs(a.d + e.w - b.d) <= 1e-12 * b.d),
+ hops AS (SELECT 0 AS it, v AS s, v, 1.0::DOUBLE AS c FROM nodes
+   UNION ALL SELECT h.it + 1, h.s, t.v, sum(h.c) FROM hops h JOIN tight t ON t.s = h.s AND t.u = h.v GROUP BY h.it, h.s, t.v),
+ counts AS (SELECT s, v, sum(c) AS c FROM hops GROUP BY 1, 2),
+ shares AS (SELECT t.s, t.u, t.v, a.c / b.c AS p FROM tight t JOIN counts a ON a.s = t.s AND a.v = t.u JOIN counts b ON b.s = t.s AND b.v = t.v),
+ waves AS (SELECT 0 AS it, s, v, 1.0::DOUBLE AS x FROM counts
+   UNION ALL SELECT w.it + 1, w.s, p.u, sum(p.p * w.x) FROM waves w JOIN shares p ON p.s = w.s AND p.v = w.v GROUP BY w.it, w.s, p.u)"""
+add("betweenness", lambda s, d: graph_scores(s, d, "betweenness"),
+    f"WITH RECURSIVE {BASE} {SQL_KNN} {SQL_BETWEEN} SELECT v AS symbol, round(coalesce(sum(x) FILTER (it > 0 AND s <> v), 0) / "
+    "(((SELECT count(*) FROM nodes) - 1) * ((SELECT count(*) FROM nodes) - 2)), 6) AS score FROM waves GROUP BY v")
+SQL_FIEDLER = """,
+ total AS (SELECT sum(deg) AS t FROM deg),
+ start AS (SELECT src AS v, sqrt(deg / (SELECT t FROM total)) AS z, hash(src) / 18446744073709551615.0::DOUBLE - 0.5 AS x FROM deg),
+ turns AS (SELECT 0 AS it, v, z, x - z * sum(x * z) OVER () AS x FROM start
+   UNION ALL SELECT it + 1, v, z, y / sqrt(sum(y * y) OVER ()) FROM (
+     SELECT it, v, z, x - z * sum(x * z) OVER () AS y FROM (
+       SELECT p.it, a.src AS v, any_value(q.z) AS z, any_value(q.x) + sum(p.x * e.w / sqrt(a.deg * b.deg)) AS x
+       FROM turns p JOIN edges e ON e.dst = p.v JOIN deg a ON a.src = e.src JOIN deg b ON b.src = e.dst JOIN turns q ON q.v = e.src
+       WHERE p.it < 1500 GROUP BY p.it, a.src))),
+ last AS (SELECT v, x FROM turns WHERE it = 1500),
+ fv AS (SELECT v AS symbol, x * (SELECT sign(arg_min(x, v)) FROM last WHERE abs(x) > 1e-9) AS fiedler FROM last),
+ fval AS (SELECT 1 - sum(p.fiedler * e.w / sqrt(a.deg * b.deg) * q.fiedler) AS fiedler_value
+   FROM edges e JOIN deg a ON a.src = e.src JOIN deg b ON b.src = e.dst JOIN fv p ON p.symbol = e.src JOIN fv q ON q.symbol = e.dst)"""
+add("fiedler", lambda s, d: rounded(nw.fiedler_vectors(brand_graph(s, d))),
+    f"WITH RECURSIVE {BASE} {SQL_KNN} {SQL_FIEDLER} SELECT symbol, round(fiedler, 6) AS fiedler, round(fiedler_value, 6) AS fiedler_value FROM fv CROSS JOIN fval")
+add("spectral_clusters", lambda s, d: rounded(nw.spectral_clusters(panel_returns(s, d), k=5, step_seconds=WEEK)),
+    f"WITH RECURSIVE {BASE} {SQL_KNN} {SQL_FIEDLER} SELECT symbol, round(fiedler, 6) AS fiedler, round(fiedler_value, 6) AS fiedler_value, "
+    "(fiedler >= (SELECT median(fiedler) FROM fv))::INT AS cluster FROM fv CROSS JOIN fval")
 
 # ---- rolling networks -----------------------------------------------------------------------
 SQL_ROLL = """,

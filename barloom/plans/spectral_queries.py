@@ -9,7 +9,7 @@ from barloom.operators import indicators as ind
 from barloom.operators import tensor as tn
 from barloom.operators.layout import number_rows
 from barloom.plans import market
-from barloom.plans.inputs import HOUR, SQL_EVENT_BARS, WEEK, brand_bars, event_bars, rounded, table
+from barloom.plans.inputs import HOUR, SQL_EVENT_BARS, WEEK, brand_bars, event_bars, rounded, spread, table
 from barloom.plans.panel_queries import panel_returns
 from barloom.session import durable
 
@@ -119,33 +119,99 @@ add("tensor_long", lambda s, d: rounded(tn.tensor_long(event_bars(s, d), FEATS))
     f"WITH {SQL_EVENT_BARS} {SQL_TENSOR} SELECT ts, symbol, feature, round(z, 6) AS z FROM tz")
 
 
-def tensor_slabs(s, d):
-    return tn.slabs(durable(tn.tensor_long(event_bars(s, d), FEATS)), step_seconds=HOUR)
+def event_tensor(s, d):
+    return durable(tn.tensor_long(event_bars(s, d), FEATS))
 
 
-def cp(s, d):
-    f = tn.cp_decompose(tensor_slabs(s, d), 2, sweeps=4)
-    return rounded(f.time.select("ts", F.get("factor", F.lit(0)).alias("f1"), F.get("factor", F.lit(1)).alias("f2")))
+def two(table, key, x="x"):
+    return rounded(table.select(key, F.get(x, F.lit(0)).alias("f1"), F.get(x, F.lit(1)).alias("f2")))
 
 
-def tucker(s, d):
-    f, _ = tn.tucker_decompose(tensor_slabs(s, d), (2, 2, 2))
-    return rounded(f.time.select("ts", F.get("factor", F.lit(0)).alias("f1"), F.get("factor", F.lit(1)).alias("f2")))
+SWEEPS = 8
 
 
-add("cp_time_factor", cp)
-add("tucker_time_factor", tucker)
+def sql_cp(sweeps=SWEEPS):
+    """The alternating steps for two factors, written out: each step solves a 2 x 2 system of the other modes' products."""
+    start = lambda key, r: f"(('0x' || substr(md5({key} || '/{r}'), 1, 8))::BIGINT)::DOUBLE / 4294967296 - 0.5"
+    out, now = ["cells AS MATERIALIZED (SELECT * FROM tz WHERE z <> 0)"], {"symbol": "s0", "feature": "f0"}
+    for key, name in now.items():
+        out.append(f"{name} AS MATERIALIZED (SELECT {key}, {start(key, 0)} AS a, {start(key, 1)} AS b FROM (SELECT DISTINCT {key} FROM cells))")
+    for k in range(1, sweeps + 1):
+        for key in ("ts", "symbol", "feature"):
+            x, y = [n for m, n in now.items() if m != key]
+            on = [m for m in now if m != key]
+            name = f"{key[0]}{k}"
+            out.append(f"""m{name} AS MATERIALIZED (SELECT c.{key}, sum(z * x.a * y.a) AS p, sum(z * x.b * y.b) AS q FROM cells c JOIN {x} x ON x.{on[0]} = c.{on[0]} JOIN {y} y ON y.{on[1]} = c.{on[1]} GROUP BY 1),
+ g{name} AS MATERIALIZED (SELECT xaa * yaa AS aa, xab * yab AS ab, xbb * ybb AS bb FROM (SELECT sum(a * a) AS xaa, sum(a * b) AS xab, sum(b * b) AS xbb FROM {x})
+   CROSS JOIN (SELECT sum(a * a) AS yaa, sum(a * b) AS yab, sum(b * b) AS ybb FROM {y})),
+ {name} AS MATERIALIZED (SELECT {key}, (p * bb - q * ab) / (aa * bb - ab * ab) AS a, (q * aa - p * ab) / (aa * bb - ab * ab) AS b FROM m{name} CROSS JOIN g{name})""")
+            now[key] = name
+    return ",\n ".join(out), now
 
 
-def embedding(s, d):
+SQL_CP, LAST = sql_cp()
+
+
+def cp_fit(s, d):
+    errors = tn.cp_decompose(event_tensor(s, d), 2, sweeps=SWEEPS).errors
+    return rounded(s.createDataFrame([(SWEEPS, errors[-1])], "sweep int, error double"), 5)
+
+
+add("cp_time_factor", lambda s, d: two(tn.cp_decompose(event_tensor(s, d), 2, sweeps=SWEEPS).time, "ts"),
+    f"WITH {SQL_EVENT_BARS} {SQL_TENSOR}, {SQL_CP} SELECT ts, round(a, 6) AS f1, round(b, 6) AS f2 FROM {LAST['ts']}")
+add("cp_asset_factor", lambda s, d: two(tn.cp_decompose(event_tensor(s, d), 2, sweeps=SWEEPS).asset, "symbol"),
+    f"WITH {SQL_EVENT_BARS} {SQL_TENSOR}, {SQL_CP} SELECT symbol, round(a, 6) AS f1, round(b, 6) AS f2 FROM {LAST['symbol']}")
+add("cp_fit", cp_fit,
+    f"""WITH {SQL_EVENT_BARS} {SQL_TENSOR}, {SQL_CP} SELECT {SWEEPS} AS sweep, round(sqrt(sum((z - t.a * s.a * f.a - t.b * s.b * f.b) ^ 2 - (t.a * s.a * f.a + t.b * s.b * f.b) ^ 2) / sum(z * z)
+      + (SELECT sum((t.a * s.a * f.a + t.b * s.b * f.b) ^ 2) FROM {LAST['ts']} t CROSS JOIN {LAST['symbol']} s CROSS JOIN {LAST['feature']} f) / sum(z * z)), 5) AS error
+    FROM cells c JOIN {LAST['ts']} t ON t.ts = c.ts JOIN {LAST['symbol']} s ON s.symbol = c.symbol JOIN {LAST['feature']} f ON f.feature = c.feature""")
+add("tucker_time_factor", lambda s, d: two(tn.tucker_decompose(event_tensor(s, d), (2, 2, 2))[0].time, "ts"))
+
+
+def sql_power(key, steps=300):
+    """The leading vector of the tensor unfolded along a mode, by repeated products."""
+    return f""",
+ cells AS MATERIALIZED (SELECT *, ts::VARCHAR || '/' || {'feature' if key == 'symbol' else 'symbol'} AS at FROM tz WHERE z <> 0),
+ pairs AS MATERIALIZED (SELECT a.{key} AS u, b.{key} AS v, sum(a.z * b.z) AS g FROM cells a JOIN cells b ON a.at = b.at GROUP BY 1, 2),
+ power AS (SELECT 0 AS it, v, 1.0::DOUBLE + ascii(right(v, 1)) / 100.0::DOUBLE AS x FROM (SELECT DISTINCT v FROM pairs)
+   UNION ALL SELECT it + 1, v, y / sqrt(sum(y * y) OVER ()) FROM (SELECT p.it, g.u AS v, sum(p.x * g.g) AS y FROM power p JOIN pairs g ON g.v = p.v WHERE p.it < {steps} GROUP BY p.it, g.u)),
+ lead AS (SELECT v AS {key}, x * (SELECT sign(arg_min(x, v)) FROM power WHERE it = {steps} AND abs(x) > 1e-9) AS f1 FROM power WHERE it = {steps})"""
+
+
+for _key in ("symbol", "feature"):
+    add(f"tucker_{_key}_factor",
+        lambda s, d, k=_key: rounded(getattr(tn.tucker_decompose(event_tensor(s, d), (2, 2, 2))[0], {"symbol": "asset"}.get(k, k)).select(k, F.get("x", F.lit(0)).alias("f1"))),
+        f"WITH RECURSIVE {SQL_EVENT_BARS} {SQL_TENSOR} {sql_power(_key)} SELECT {_key}, round(f1, 6) AS f1 FROM lead")
+
+
+def brand_tensor(s, d):
     b = number_rows(brand_bars(s, d, numbered=False), step_seconds=WEEK)
-    slabs = tn.slabs(durable(tn.tensor_long(b, ("returns", "rv"))), step_seconds=WEEK)
-    xy = tn.embed_2d(tn.cp_decompose(slabs, 2, sweeps=2).asset)
-    return rounded(s.createDataFrame([(a, float(p[0]), float(p[1])) for a, p in zip(slabs.assets, xy)], "symbol string, x double, y double"))
+    return durable(tn.tensor_long(b, ("returns", "rv")))
 
 
-add("asset_embedding", embedding)
+add("asset_embedding", lambda s, d: rounded(tn.embed_2d(tn.cp_decompose(brand_tensor(s, d), 2, sweeps=SWEEPS).asset)))
 add("dynamic_modes", lambda s, d: rounded(tn.dynamic_modes(panel_returns(s, d), 3, step_seconds=WEEK)))
+
+
+def parity_returns(s, d):
+    """Two assets: the daily values of lines with an odd and an even quantity, on the days that have both."""
+    li = spread(table(s, d, "lineitem"), "l_orderkey").groupBy(
+        F.when(F.col("l_quantity").cast("long") % 2 == 0, "even").otherwise("odd").alias("symbol"), F.col("l_shipdate").cast("timestamp_ntz").alias("ts")
+    ).agg(F.ln(F.sum("l_extendedprice")).alias("ret"))
+    full = li.groupBy("ts").agg(F.count("*").alias("n"), F.avg("ret").alias("mean")).where("n = 2")
+    return durable(li.join(full, "ts").select("symbol", "ts", F.col("ret") - 10.0).toDF("symbol", "ts", "ret"))
+
+
+add("dynamic_modes_pair",
+    lambda s, d: rounded(tn.dynamic_modes(parity_returns(s, d), 2).select("eig_real", "eig_imag", "growth", "frequency")),
+    """WITH v AS (SELECT CASE WHEN l_quantity::BIGINT % 2 = 0 THEN 'even' ELSE 'odd' END AS symbol, l_shipdate::TIMESTAMP AS ts, ln(sum(l_extendedprice)) - 10.0 AS x FROM lineitem GROUP BY 1, 2),
+     w AS (SELECT ts, max(x) FILTER (symbol = 'even') AS x, max(x) FILTER (symbol = 'odd') AS y FROM v GROUP BY 1 HAVING count(*) = 2),
+     n AS (SELECT x, y, lead(x) OVER (ORDER BY ts) AS p, lead(y) OVER (ORDER BY ts) AS q FROM w),
+     m AS (SELECT sum(x*x) AS xx, sum(x*y) AS xy, sum(y*y) AS yy, sum(p*x) AS px, sum(p*y) AS py, sum(q*x) AS qx, sum(q*y) AS qy FROM n WHERE p IS NOT NULL),
+     a AS (SELECT (px*yy - py*xy) / (xx*yy - xy*xy) AS a, (py*xx - px*xy) / (xx*yy - xy*xy) AS b, (qx*yy - qy*xy) / (xx*yy - xy*xy) AS c, (qy*xx - qx*xy) / (xx*yy - xy*xy) AS d FROM m),
+     e AS (SELECT (a + d) / 2 AS h, (a + d) * (a + d) / 4 - (a*d - b*c) AS disc FROM a),
+     z AS (SELECT h + k * sqrt(greatest(disc, 0)) AS r, k * sqrt(greatest(-disc, 0)) AS i FROM e CROSS JOIN (VALUES (1), (-1)) t(k))
+    SELECT round(r, 6) AS eig_real, round(i, 6) AS eig_imag, round(ln(sqrt(r*r + i*i)), 6) AS growth, round(atan2(i, r) / (2 * pi()), 6) AS frequency FROM z""")
 add("growth_frequency",
     lambda s, d: rounded(tn.growth_frequency(table(s, d, "orders").select(
         "o_orderkey", (F.col("o_totalprice") / 1e5).alias("eig_real"), (F.col("o_custkey") % 7 - 3).cast("double").alias("eig_imag"))), 8),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder, deleted when the driver's JVM ends. Unlike a checkpoint it keeps no
+    partitioning, whose combinations grow with every join of an iteration."""
+    ensure_checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 BROADCAST_ROWS = 200_000
 
 

@@ -130,14 +130,16 @@ def test_modes_equal_direct_svd(spark):
 def test_tensor_factors(spark, wave):
     t = tn.tensor_long(wave, ("returns", "rv", "hl_range", "dollar_volume", "depth"))
     assert "depth" not in {r[0] for r in t.select("feature").distinct().collect()}
-    s = tn.slabs(t)
-    cp = tn.cp_decompose(s, 2, sweeps=5)
+    cp = tn.cp_decompose(t, 2, sweeps=5)
     assert all(b <= a + 1e-9 for a, b in zip(cp.errors, cp.errors[1:]))
-    full, core = tn.tucker_decompose(s, (8, 2, 4))
+    full, core = tn.tucker_decompose(t, (8, 2, 4))
     norm = t.agg(F.sum(F.col("z") * F.col("z"))).first()[0]
     assert (core**2).sum() == pytest.approx(norm)
-    u = np.array(full.time.toPandas()["factor"].tolist())
+    u = np.array(full.time.toPandas()["x"].tolist())
     gram = u.T @ u
     big = np.abs(core).reshape(len(core), -1).sum(axis=1) > 1e-6
     np.testing.assert_allclose(gram[np.ix_(big, big)], np.eye(big.sum()), atol=1e-6)
-    assert tn.embed_2d(np.ones((2, 2))).tolist() == [[0, 0], [0, 0]]
+    z = t.toPandas().pivot_table(index="symbol", columns=["ts", "feature"], values="z", fill_value=0.0)
+    left = np.linalg.svd(z.to_numpy(), full_matrices=False)[0][:, :2]
+    got = np.array(full.asset.toPandas().set_index("symbol").loc[z.index]["x"].tolist())
+    np.testing.assert_allclose(np.abs(got.T @ left), np.eye(2), atol=1e-6)
