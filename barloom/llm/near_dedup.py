@@ -14,7 +14,9 @@ Jaccard similarity, with the concentration of independent samples.
    Only pairs across components leave the task and are confirmed on full sets: first each class's closest ones, again
    with the components that these make until they make no more, then all that are left.
 
-A pair at similarity 0.75 shares no bucket with probability 8e-5 and falls below CUT with 1e-4; both vanish quickly above.
+A pair at similarity 0.75 shares no bucket with probability 8e-5 and falls below CUT with 1e-4; both vanish quickly above. A pair
+leaves the block of the first bucket that both share, told by 32 bits of each bucket; it is lost if those of an earlier one are equal by chance
+(1e-8).
 
 Defined cases: a null or blank text has an empty set (n_shingles 0) and links with nothing; fewer than five words are one
 run; repeated rows of one doc_id are one document for linking and each keep their row; a null doc_id is left out of the linking and
@@ -34,7 +36,11 @@ from barloom.llm import common
 
 COORDINATES = 512
 BANDS, ROWS = 48, 6
-CUT = 0.675
+#: Coordinates are kept as two bits, of which unrelated ones agree in a quarter: 0.747 of agreeing ones stand for a similarity of 0.663.
+CUT = 0.747
+#: Of two bytes that differ in these bits, how many of their four coordinates agree.
+AGREE = np.array([sum(not x >> k & 3 for k in (0, 2, 4, 6)) for x in range(256)], np.uint8)
+CELLS = COORDINATES // 4
 PIECE = 128
 HUBS = 4
 
@@ -75,13 +81,14 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             full = np.flatnonzero(size)
             keys = np.zeros((2, len(size)), np.uint64)
             bands = np.zeros((len(size), BANDS), np.uint64)
-            bits = np.zeros((len(size), COORDINATES), np.uint8)
+            bits = np.zeros((len(size), CELLS), np.uint8)
             if len(full):
                 begins = starts[:-1][full]
                 keys[0, full] = np.add.reduceat(common.mix(elements), begins)
                 keys[1, full] = np.add.reduceat(common.mix(elements ^ common.M), begins)
                 values = common.mix(sketches(elements, np.append(begins, starts[-1])))
-                bits[full] = (values & np.uint64(255)).astype(np.uint8)
+                pairs = (values & np.uint64(3)).astype(np.uint8).reshape(len(full), CELLS, 4)
+                bits[full] = pairs[:, :, 0] | pairs[:, :, 1] << 2 | pairs[:, :, 2] << 4 | pairs[:, :, 3] << 6
                 band = values[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
                 key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), band.shape[:2])
                 for j in range(ROWS):
@@ -91,7 +98,7 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(first, last - first), pa.array(size.astype(np.int64)), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)),
                  pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * BANDS), flat),
-                 pa.array([row.tobytes() for row in bits], pa.binary())],
+                 pa.array([cells.tobytes() + marks.tobytes() for cells, marks in zip(bits, bands.astype(np.uint32), strict=True)], pa.binary())],
                 names=["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"],
             )
 
@@ -127,9 +134,15 @@ def _cross_pairs(best: bool):
             wanted &= node[a][:, None] < node[b]
         i, j = np.nonzero(wanted)
         i, j = a[i], b[j]
-        agree = np.concatenate([(sketch[i[k : k + 4096]] == sketch[j[k : k + 4096]]).mean(axis=1) for k in range(0, len(i), 4096)] or [np.zeros(0)])
+        cells, marks = sketch[:, :CELLS], np.ascontiguousarray(sketch[:, CELLS:]).view(np.uint32)
+        agree = np.concatenate([AGREE[cells[i[k : k + 4096]] ^ cells[j[k : k + 4096]]].sum(axis=1) for k in range(0, len(i), 4096)] or [np.zeros(0)]) / COORDINATES
         hit = agree >= CUT
         i, j, agree = i[hit], j[hit], agree[hit]
+        # a pair that shares several buckets belongs to the first
+        if len(i):
+            shared = marks[i] == marks[j]
+            here = marks[i, shared.argmax(axis=1)] == (t["bucket"][:1].view(np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            i, j, agree = i[here], j[here], agree[here]
         if best and len(i):
             order = np.lexsort((-agree, i))
             i, j = i[order], j[order]
