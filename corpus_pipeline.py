@@ -1,4 +1,10 @@
-"""A training-corpus pipeline of five of the operators. Each stage reads what the stage before wrote."""
+"""A training-corpus pipeline of five of the operators. Each stage reads what the stage before wrote.
+
+Defined cases: decisions are on rows, told apart by id and text, so that rows which share an id but not the text are documents of their own;
+rows equal in id and text become one in the exact stage; a row without doc_id goes if an equal text has one; null and empty texts have no
+letter and go in the first stage; other columns stay as they are; an empty table stays empty. The last stage needs a table that
+was read from files, as the order of the mixing stage is the order of its files.
+"""
 
 from __future__ import annotations
 
@@ -11,10 +17,18 @@ from barloom.llm import common, exact_dedup, language_id, mixing, near_dedup, re
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """docs without those that were not kept. The dropped ids are broadcast only while they are few."""
-    dropped = common.stored(decisions.filter("not kept").select("doc_id").distinct())
-    return docs.join(common.checked_broadcast(dropped), "doc_id", "left_anti").select(*docs.columns)
+KEY = "_row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of their rows: a hash of id and text, so that decisions are on rows and not on all rows of an id."""
+    return docs.withColumn(KEY, F.xxhash64("doc_id", F.col("doc_id").isNull(), F.coalesce("text", F.lit(""))))
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Keyed docs without the rows of the dropped keys, which are broadcast only while they are few."""
+    dropped = common.stored(dropped.select(KEY).distinct())
+    return docs.join(common.checked_broadcast(dropped), KEY, "left_anti")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,13 +37,25 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest doc_id."""
-    return _without(docs, exact_dedup.exact_duplicates(docs))
+    """Of equal texts the row with the largest doc_id; of rows equal in both, one. A row without doc_id counts as the smallest."""
+    rows = _keyed(docs)
+    decisions = common.stored(exact_dedup.exact_duplicates(rows.select("doc_id", "text", KEY), (KEY,)).select(KEY, F.coalesce("kept", F.col("keep_id").isNull()).alias("kept")))
+    rows = _without(rows, decisions.filter("not kept"))
+    again = common.stored(decisions.filter("kept").groupBy(KEY).agg(F.count("*").alias("n")).filter("n > 1").select(KEY))
+    if again.take(1):
+        again = common.checked_broadcast(again)
+        rows = rows.join(again, KEY, "left_anti").union(rows.join(again, KEY, "left_semi").dropDuplicates([KEY]))
+    return rows.select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the one with the smallest doc_id."""
-    return _without(docs, near_dedup.near_duplicates(docs))
+    """Of each near-duplicate group the row with the smallest doc_id. Rows are told apart by id and text."""
+    rows = _keyed(docs)
+    found = near_dedup.near_duplicates(rows.select(F.col(KEY).alias("doc_id"), "text")).select(F.col("doc_id").alias(KEY), "component_id").distinct()
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", KEY).alias("place")
+    placed = common.stored(found.join(rows.select(KEY, place).distinct(), KEY))
+    placed = common.with_group(placed, ["component_id"], [KEY], best=("min", "place"))
+    return _without(rows, placed.filter(~F.col("place").eqNullSafe(F.col("best")))).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
