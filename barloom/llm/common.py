@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -17,6 +20,7 @@ SALTS = 64
 BROADCAST_ROWS = 200_000
 #: Bytes of text that a task hashes at once.
 SLICE_BYTES = 1 << 20
+SLICE_ROWS = 4096
 M = np.uint64(0xFF51AFD7ED558CCD)
 M2 = np.uint64(0xC4CEB9FE1A85EC53)
 S33, S32 = np.uint64(33), np.uint64(32)
@@ -110,6 +114,20 @@ def components(edges: DataFrame) -> DataFrame:
         labels = stored(look_up(step, "component", own, "node", few).select("node", F.col("root").alias("component")))
 
 
+#: What operators keep in a worker process between tasks. A worker goes on to other operators' tasks, which need the memory.
+HELD: list[dict] = []
+
+
+def give_back() -> None:
+    """Empty what other operators keep in this process, and return freed memory to the system."""
+    for kept in HELD:
+        kept.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> S33)
     x = x * M
@@ -132,7 +150,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[i
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     first = 0
     while first < len(texts):
-        last = max(first + 1, int(np.searchsorted(at, at[first] + SLICE_BYTES, "right")) - 1)
+        last = min(first + SLICE_ROWS, max(first + 1, int(np.searchsorted(at, at[first] + SLICE_BYTES, "right")) - 1))
         yield first, last, raw[at[first] : at[last]], at[first : last + 1] - at[first]
         first = last
 

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm import words
+from barloom.llm import common, words
 
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 24_000
@@ -100,6 +100,7 @@ def samples(docs: DataFrame, docs_a_language: int = SAMPLE_DOCS, chars: int = SA
 
 
 _PARSERS: dict[int, words.Cache] = {}
+common.HELD.append(_PARSERS)
 
 
 def _parser(texts: dict[str, str]) -> words.Cache:

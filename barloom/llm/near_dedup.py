@@ -72,6 +72,7 @@ def sketches(elements: np.ndarray, at: np.ndarray, t: int = COORDINATES) -> np.n
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.give_back()
     for batch in batches:
         ids = batch.column(0)
         for first, last, raw, at in common.text_slices(batch):
@@ -104,6 +105,7 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.give_back()
     for batch in batches:
         for first, last, raw, at in common.text_slices(batch):
             elements, starts = distinct_sets(*common.shingle_stream(*common.word_hashes(raw, at)))

@@ -311,6 +311,7 @@ def encode_part(codec: Codec, cache: words.Cache, texts: pa.Array, keys: np.ndar
 
 
 _CODECS: dict[tuple, tuple[Codec, words.Cache]] = {}
+common.HELD.append(_CODECS)
 
 
 def encoded(docs: DataFrame, model_file: str, rate: float = 0.1, seed: int = 1, carried: Sequence[str] = ()) -> DataFrame:

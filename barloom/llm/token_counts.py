@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from barloom.llm import words
+from barloom.llm import common, words
 
 MARK = "▁"
 
@@ -87,6 +87,7 @@ def piece_table(model_file: str) -> list[str | None]:
 
 
 _COUNTERS: dict[str, words.Cache] = {}
+common.HELD.append(_COUNTERS)
 
 
 def token_counts(docs: DataFrame, model_file: str) -> DataFrame:

@@ -502,6 +502,23 @@ def test_pipeline(spark, docs, pdf):
     assert ids["mixing"] == ids["near_dedup"] == ids["sentencepiece"]
 
 
+def test_pipeline_decides_on_rows(spark):
+    words = [f"word{i} alpha" for i in range(60)]
+    rows = [(4, " ".join(words), "en", "a", 1, "x", 1), (9, " ".join(words), "en", "a", 1, "x", 1), (4, "a text of its own that nothing repeats anywhere", "en", "a", 1, "x", 1),
+            (3, "twice the same row in every way", "en", "a", 1, "x", 1), (3, "twice the same row in every way", "en", "a", 1, "y", 2), (None, "twice the same row in every way", "en", "a", 1, "x", 1),
+            (None, "no id and not repeated by any other", "en", "a", 1, "x", 1), (None, "no id but said two times over here", "en", "a", 1, "x", 1), (None, "no id but said two times over here", "en", "a", 1, "x", 1),
+            (20, " ".join(words[:59]), "en", "b", 1, "x", 1), (20, "this id has a second text too", "en", "b", 1, "x", 1)]
+    docs = common.stored(spark.createDataFrame(rows, SCHEMA))
+    stages = dict(corpus_pipeline.STAGES)
+    exact = common.stored(stages["exact_dedup"](spark, docs, SF))
+    assert exact.columns == docs.columns
+    got = collections.Counter((r.doc_id, r.text) for r in exact.collect())
+    want = {(i, t) for i, t, *_ in rows} - {(4, " ".join(words)), (None, "twice the same row in every way")}
+    assert got == dict.fromkeys(want, 1)
+    near = {(r.doc_id, r.text) for r in stages["near_dedup"](spark, exact, SF).collect()}
+    assert near == want - {(20, " ".join(words[:59]))}
+
+
 def test_pipeline_keeps_the_mixed_order(spark, pdf):
     """Slots of plain earliest-deadline-first loops are tested above; here the last stage's rows follow them."""
     rows = [(int(i), t, s) for i, t, s in pdf[pdf.doc_id < 500].drop_duplicates("doc_id")[["doc_id", "text", "source"]].itertuples(index=False)]
@@ -515,4 +532,4 @@ def test_pipeline_keeps_the_mixed_order(spark, pdf):
 
 def test_registered():
     names = entry.queries()
-    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11)) and "pipeline" in names
+    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 14)) and "pipeline" in names
