@@ -105,24 +105,78 @@ def _pearson():
     return F.when(real, (n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(F.when(real, vx * vy)))
 
 
+#: Numbers that a task holds of one side of a tile when it ranks within pairs: timestamps times assets.
+RANK_CELLS = 8_000_000
+
+
+def _average_ranks(x: np.ndarray) -> np.ndarray:
+    _, at, count = np.unique(x, return_inverse=True, return_counts=True)
+    return (np.cumsum(count) - (count - 1) / 2.0)[at]
+
+
+def rank_correlations(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Common rows of every column of x with every column of y, and the correlation of their ranks among those rows. Ranks are
+    taken once for each column and set of rows, so columns that miss the same rows cost no more than complete ones."""
+    px, py = np.isfinite(x), np.isfinite(y)
+    n, corr = px.T.astype(float) @ py.astype(float), np.full((x.shape[1], y.shape[1]), np.nan)
+    kinds_x, of_x = np.unique(px, axis=1, return_inverse=True)
+    kinds_y, of_y = np.unique(py, axis=1, return_inverse=True)
+    for a in range(kinds_x.shape[1]):
+        for b in range(kinds_y.shape[1]):
+            rows = kinds_x[:, a] & kinds_y[:, b]
+            if rows.sum() < 2:
+                continue
+            i, j = np.flatnonzero(of_x == a), np.flatnonzero(of_y == b)
+            r = [np.stack([_average_ranks(m[rows, c]) for c in at], axis=1) for m, at in ((x, i), (y, j))]
+            r = [m - m.mean(axis=0) for m in r]
+            size = np.sqrt(np.outer((r[0] ** 2).sum(axis=0), (r[1] ** 2).sum(axis=0)))
+            corr[np.ix_(i, j)] = np.divide(r[0].T @ r[1], size, out=np.zeros(size.shape), where=size > 0)
+    return n, corr
+
+
+def _ranked_within_pairs(rows: DataFrame, n_symbols: int, n_times: int, tile: int) -> DataFrame:
+    """(a, b, n, corr) with ranks among the timestamps that both assets have. A task holds two tiles of assets over all time;
+    tiles get narrower the longer the time is."""
+    tile = max(1, min(tile, RANK_CELLS // max(1, n_times)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ti, tj = int(pdf["ti"].iloc[0]), int(pdf["tj"].iloc[0])
+        x, y = (_matrix(pdf, "_x", k, tile, n_symbols, 0, n_times) for k in (ti, tj))
+        n, corr = rank_correlations(x, y)
+        a, b = np.meshgrid(np.arange(n.shape[0]) + ti * tile, np.arange(n.shape[1]) + tj * tile, indexing="ij")
+        keep = (n > 0) & (a < b)
+        return pd.DataFrame({"a": a[keep], "b": b[keep], "n": n[keep], "corr": corr[keep]})
+
+    tiles = _tile_pairs(rows.select("s_no", "t_no", "_x"), n_symbols, tile, stretch=max(1, n_times))
+    return tiles.groupBy("ti", "tj").applyInPandas(run, "a int, b int, n double, corr double")
+
+
 def correlation_pairs(
     returns: DataFrame, *, value: str = "ret", method: str = "pearson", use_abs: bool = False, step_seconds: int = 86_400, tile: int = TILE
 ) -> DataFrame:
     """(src, dst, n, corr, sim) for unordered pairs over their common timestamps.
 
-    Spearman ranks are taken per asset, which equals ranking within the pair when all
-    assets share their timestamps; pass an aligned panel (``panel_inner``).
+    Spearman ranks are those among the pair's common timestamps. Where all assets have the same timestamps these are the ranks of
+    each asset, taken once and over blocks of time; else every pair of tiles ranks anew.
     """
-    r = returns.where(F.col(value).isNotNull()).select("symbol", "ts", F.col(value).alias("_x"))
+    r = durable(returns.where(F.col(value).isNotNull()).select("symbol", "ts", F.col(value).alias("_x")))
     if method.strip().lower().startswith("spear"):
-        r = average_ranks(durable(r), ["symbol"], "_x", "_r").select("symbol", "ts", F.col("_r").alias("_x"))
-    r = durable(r)
+        size = r.agg(F.count("*"), F.countDistinct("symbol"), F.countDistinct("ts")).first()
+        if size[0] < size[1] * size[2]:
+            rows, symbols, _ = _indexed(r, step_seconds)
+            pairs = _ranked_within_pairs(rows, size[1], size[2], tile).withColumn("corr", F.coalesce(F.nanvl("corr", F.lit(None)), F.lit(0.0)))
+            return _named_pairs(pairs, symbols, use_abs)
+        r = durable(average_ranks(r, ["symbol"], "_x", "_r").select("symbol", "ts", F.col("_r").alias("_x")))
     mean = r.groupBy("symbol").agg(F.avg("_x").alias("_m"))
     # a shift per asset leaves the correlation alone and keeps the sums well conditioned
     r = attach(r, mean).withColumn("_x", F.col("_x") - F.col("_m")).drop("_m")
     rows, symbols, _ = _indexed(r, step_seconds)
     n_symbols = symbols.count()
     pairs = pair_sums(rows, "_x", "_x", n_symbols, tile=tile).withColumn("corr", F.coalesce(_pearson(), F.lit(0.0)))
+    return _named_pairs(pairs, symbols, use_abs)
+
+
+def _named_pairs(pairs: DataFrame, symbols: DataFrame, use_abs: bool) -> DataFrame:
     c = F.abs("corr") if use_abs else F.col("corr")
     names = symbols.select(F.col("s_no").alias("a"), F.col("symbol").alias("src"))
     names2 = symbols.select(F.col("s_no").alias("b"), F.col("symbol").alias("dst"))

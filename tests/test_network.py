@@ -41,6 +41,25 @@ def test_centralities(spark):
     assert nw.centrality(two, "eigenvector").exceptAll(nw.centrality(two, "pagerank")).count() == 0
 
 
+def test_rank_correlation_within_pairs(spark):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(80, 8)), 1)  # many ties
+    x[rng.random(size=x.shape) < 0.25] = np.nan
+    x[:, 3], x[:, 4] = np.where(np.isfinite(x[:, 2]), x[:, 3], np.nan), np.nan
+    x[5, 4] = 1.0
+    frame = pd.DataFrame(x, columns=list("abcdefgh"), index=pd.date_range("2024-01-01", periods=80))
+    long = frame.rename_axis("ts").reset_index().melt("ts", var_name="symbol", value_name="ret").dropna()
+    r = spark.createDataFrame(long).withColumn("ts", F.col("ts").cast("timestamp_ntz")).cache()
+    # pandas: rank the two columns over the rows that both have
+    want = {(a, b): frame[[a, b]].dropna().rank().corr().iloc[0, 1] for a in frame for b in frame if a < b}
+    size = {(a, b): len(frame[[a, b]].dropna()) for a, b in want}
+    for tile in (2, 128):
+        got = {(row["src"], row["dst"]): row for row in nw.correlation_pairs(r, method="spearman", tile=tile).collect()}
+        assert set(got) == {k for k in want if size[k]}
+        for k, row in got.items():
+            assert row["n"] == size[k] and row["corr"] == pytest.approx(0.0 if np.isnan(want[k]) else want[k])
+
+
 def test_correlation_tiles_with_gaps(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(90, 7))
