@@ -105,20 +105,24 @@ def grouped_flags(s, d):
     return durable(ship_bars(s, d, numbered=False).select("symbol", "ts"))
 
 
-def split(s, d, letter):
-    return grouped_flags(s, d).where(F.col("symbol").startswith(letter))
+def split(s, d):
+    """The whole table in two: lines that were not returned, and all others."""
+    flags = grouped_flags(s, d)
+    return flags.where(F.col("symbol").startswith("N")), flags.where(~F.col("symbol").startswith("N"))
 
 
-add("common_dates", lambda s, d: jn.joint_dates(split(s, d, "A"), split(s, d, "N")),
-    f"WITH {SQL_SHIP_BARS} SELECT ts FROM bars WHERE symbol LIKE 'A%' INTERSECT SELECT ts FROM bars WHERE symbol LIKE 'N%'")
-add("all_dates", lambda s, d: jn.joint_dates(split(s, d, "A"), split(s, d, "N"), "outer"),
-    f"WITH {SQL_SHIP_BARS} SELECT ts FROM bars WHERE symbol LIKE 'A%' UNION SELECT ts FROM bars WHERE symbol LIKE 'N%'")
+add("common_dates", lambda s, d: jn.joint_dates(*split(s, d)),
+    f"WITH {SQL_SHIP_BARS} SELECT ts FROM bars WHERE symbol LIKE 'N%' INTERSECT SELECT ts FROM bars WHERE symbol NOT LIKE 'N%'")
+add("all_dates", lambda s, d: jn.joint_dates(*split(s, d), "outer"),
+    f"WITH {SQL_SHIP_BARS} SELECT ts FROM bars WHERE symbol LIKE 'N%' UNION SELECT ts FROM bars WHERE symbol NOT LIKE 'N%'")
 add("common_symbols",
     lambda s, d: jn.common_symbols([
         table(s, d, "lineitem").where("l_returnflag = 'A'").select(F.col("l_partkey").alias("symbol")),
         table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("symbol")),
+        table(s, d, "lineitem").where("l_returnflag = 'N'").select(F.col("l_partkey").alias("symbol")),
     ]),
-    "SELECT l_partkey AS symbol FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+    "SELECT l_partkey AS symbol FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' "
+    "INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'N'")
 add("stack_feeds",
     lambda s, d: jn.stack_feeds([
         table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("ts"), F.col("o_orderpriority").alias("priority")),
@@ -145,6 +149,20 @@ add("spearman", lambda s, d: rounded(nw.correlation_pairs(panel_returns(s, d), m
     f"WITH {BASE} {SQL_RANK}, cr AS (SELECT a.symbol AS src, b.symbol AS dst, count(*) AS n, coalesce(corr(a.rank, b.rank), 0) AS corr "
     "FROM rk0 a JOIN rk0 b ON a.ts = b.ts AND a.symbol < b.symbol GROUP BY 1, 2) "
     "SELECT src, dst, n, round(corr, 6) AS corr, round((abs(corr) + 1) / 2, 6) AS sim FROM cr")
+
+
+def gapped_returns(s, d):
+    """Returns of all brands on the weeks each of them has."""
+    return durable(nw.log_returns(brand_bars(s, d)))
+
+
+add("spearman_gaps", lambda s, d: rounded(nw.correlation_pairs(gapped_returns(s, d), method="spearman", step_seconds=WEEK)),
+    f"""WITH {SQL_BRAND_BARS}, rets AS (SELECT * FROM (SELECT symbol, ts, ln(close) - ln(lag(close) OVER (PARTITION BY symbol ORDER BY bar_no)) AS ret FROM bars) WHERE ret IS NOT NULL),
+    pr AS (SELECT a.symbol AS src, b.symbol AS dst, a.ret AS x, b.ret AS y FROM rets a JOIN rets b ON a.ts = b.ts AND a.symbol < b.symbol),
+    rk AS (SELECT src, dst, rank() OVER (PARTITION BY src, dst ORDER BY x) + (count(*) OVER (PARTITION BY src, dst, x) - 1) / 2.0::DOUBLE AS rx,
+      rank() OVER (PARTITION BY src, dst ORDER BY y) + (count(*) OVER (PARTITION BY src, dst, y) - 1) / 2.0::DOUBLE AS ry FROM pr),
+    cr AS (SELECT src, dst, count(*) AS n, CASE WHEN count(*) >= 2 THEN coalesce(corr(rx, ry), 0) ELSE 0 END AS corr FROM rk GROUP BY 1, 2)
+    SELECT src, dst, n, round(corr, 6) AS corr, round((corr + 1) / 2, 6) AS sim FROM cr""")
 SQL_KNN = SQL_CORR + """,
  di AS (SELECT src, dst, (corr + 1) / 2 AS sim FROM cr UNION ALL SELECT dst, src, (corr + 1) / 2 FROM cr),
  tk AS (SELECT * FROM di QUALIFY row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst DESC) <= 5),
@@ -238,10 +256,10 @@ add("rolling_corr", lambda s, d: rounded(networks(s, d).select("ts", "src", "dst
     f"WITH {BASE} {SQL_ROLL} SELECT ts, src, dst, round(w, 6) AS w FROM redges")
 
 
-def rolling_rank(s, d):
+def rolling_rank(s, d, kind="pagerank"):
     e = durable(networks(s, d))
     stamps = e.select("t_no", "ts").distinct()
-    return nw.centrality(e, "pagerank").join(stamps, "t_no").select("ts", "symbol", "score")
+    return nw.centrality(e, kind).join(stamps, "t_no").select("ts", "symbol", "score")
 
 
 SQL_ROLL_PR = SQL_ROLL + """,
@@ -254,6 +272,13 @@ SQL_ROLL_PR = SQL_ROLL + """,
  rscore AS (SELECT ts, v AS symbol, x AS score FROM rpr WHERE it = 40)"""
 add("rolling_pagerank", lambda s, d: rounded(rolling_rank(s, d), 5),
     f"WITH RECURSIVE {BASE} {SQL_ROLL_PR} SELECT ts, symbol, round(score, 5) AS score FROM rscore")
+SQL_ROLL_EV = SQL_ROLL + """,
+ rev AS (SELECT 0 AS it, ts, v, 1.0::DOUBLE AS x FROM (SELECT DISTINCT ts, src AS v FROM redges)
+   UNION ALL SELECT it + 1, ts, v, y / sqrt(sum(y * y) OVER (PARTITION BY ts)) FROM (
+     SELECT p.it, e.ts, e.dst AS v, sum(p.x * e.w) AS y FROM rev p JOIN redges e ON e.ts = p.ts AND e.src = p.v WHERE p.it < 60 GROUP BY p.it, e.ts, e.dst))"""
+add("rolling_eigenvector", lambda s, d: rounded(rolling_rank(s, d, "eigenvector"), 5),
+    f"WITH RECURSIVE {BASE} {SQL_ROLL_EV} SELECT ts, v AS symbol, round(x, 5) AS score FROM rev WHERE it = 60")
+add("rolling_betweenness", lambda s, d: rounded(rolling_rank(s, d, "betweenness")))
 add("systemic_index", lambda s, d: rounded(top_mean(rolling_rank(s, d), out="systemic_index"), 5),
     f"WITH RECURSIVE {BASE} {SQL_ROLL_PR} SELECT ts, round(avg(score), 5) AS systemic_index FROM "
     "(SELECT * FROM rscore QUALIFY row_number() OVER (PARTITION BY ts ORDER BY score DESC) <= 5) GROUP BY ts")
