@@ -8,7 +8,7 @@ Jaccard similarity, with the concentration of independent samples.
 
 1. Equal sets become one class (128-bit set fingerprint and size).
 2. BANDS x ROWS coordinates form bucket keys. In each bucket every class is paired with one hub (one of HUBS orders);
-   the distinct pairs are confirmed on full sets and joined into components.
+   the distinct pairs whose sketches agree in a share of CUT are confirmed on full sets and joined into components.
 3. Buckets that still hold several components are compared block by block inside tasks: the agreement of two sketches
    must reach CUT. A bucket's largest component is not compared with itself, so no group is expanded into all its pairs.
    Only pairs across components leave the task and are confirmed on full sets: first each class's closest ones, again
@@ -113,6 +113,29 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), lists], names=["doc_id", "elements"])
 
 
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Share of coordinates in which rows of packed sketches agree."""
+    return AGREE[a[:, :CELLS] ^ b[:, :CELLS]].sum(axis=1) / COORDINATES
+
+
+def _sketch_rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _alike(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose sketches agree often enough for their sets to be compared: a sketch is a tenth of a set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keep = agreement(_sketch_rows(batch.column(2)), _sketch_rows(batch.column(3))) >= CUT
+                yield batch.select([0, 1]).filter(pa.array(keep))
+
+    left = common.fetch(pairs, "a", sketched.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), ["b"])
+    both = common.fetch(left, "b", sketched.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), ["a"], like=pairs)
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= 75 * union on the full sets."""
     left = common.fetch(pairs, "a", sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("ea")), ["b"])
@@ -136,8 +159,8 @@ def _cross_pairs(best: bool):
             wanted &= node[a][:, None] < node[b]
         i, j = np.nonzero(wanted)
         i, j = a[i], b[j]
-        cells, marks = sketch[:, :CELLS], np.ascontiguousarray(sketch[:, CELLS:]).view(np.uint32)
-        agree = np.concatenate([AGREE[cells[i[k : k + 4096]] ^ cells[j[k : k + 4096]]].sum(axis=1) for k in range(0, len(i), 4096)] or [np.zeros(0)]) / COORDINATES
+        marks = np.ascontiguousarray(sketch[:, CELLS:]).view(np.uint32)
+        agree = np.concatenate([agreement(sketch[i[k : k + 4096]], sketch[j[k : k + 4096]]) for k in range(0, len(i), 4096)] or [np.zeros(0)])
         hit = agree >= CUT
         i, j, agree = i[hit], j[hit], agree[hit]
         # a pair that shares several buckets belongs to the first
@@ -157,7 +180,7 @@ def _cross_pairs(best: bool):
         for batch in _and_end(batches):
             if batch is not None:
                 new = {n: batch.column(k).to_numpy() for k, n in enumerate(batch.schema.names[:-1])}
-                new["sketch"] = np.frombuffer(b"".join(batch.column(batch.num_columns - 1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                new["sketch"] = _sketch_rows(batch.column(batch.num_columns - 1)) if batch.num_rows else np.zeros((0, CELLS + 4 * BANDS), np.uint8)
                 rest = new if rest is None else {n: np.concatenate((rest[n], new[n])) for n in new}
             if rest is None or not len(rest["node"]):
                 continue
@@ -211,7 +234,7 @@ def _clusters(docs: DataFrame, members: DataFrame, sketched: DataFrame) -> DataF
     sets = common.stored(sets.mapInArrow(_set_batches, "doc_id long, elements array<long>").dropDuplicates(["doc_id"]))
     pairs = shared.filter("node != hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     tested = pairs = common.stored(pairs)
-    labels = common.components(_confirmed(pairs, sets))
+    labels = common.components(_confirmed(common.stored(_alike(pairs, reps.select("node", "sketch"))), sets))
     best = True
     while True:
         across = common.stored(_across(shared, labels, reps.select("node", "sketch"), best).join(tested, ["a", "b"], "left_anti"))
