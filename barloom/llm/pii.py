@@ -1,12 +1,12 @@
 """Personal data by information-theoretic sanitisation (Sanchez, Batet and Viejo), in DataFrame functions only.
 
 Base patterns find protected entities: email, ip, card (14 to 19 digits, Luhn) and phone. What the corpus says about
-them is then measured: for an entity e and a term t (a word of three letters or more) in the same line, over documents,
+them is then measured: for an entity e and a term t (a word of three letters or more) in the same text, over documents,
 
     PMI(e; t) = ln(N * df(e, t) / (df(e) * df(t)))        IC(e) = ln(N / df(e))
 
 A term that occurs with e in at least MIN_SUPPORT documents and reveals PMI >= DISCLOSURE * IC(e) is a span of kind
-`term` wherever it stands in a line with e. `sanitised` generalises base spans to their kind and removes terms' spelling.
+`term` wherever it stands in a text with e. `sanitised` generalises base spans to their kind and removes terms' spelling.
 
 Patterns are written so that no text makes them backtrack or recurse: the base patterns' repeats are unambiguous, so
 possessive ones match the same. Matches come from regexp_extract_all and split, places from sums of their lengths in
@@ -111,14 +111,11 @@ def spelled(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind_no"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _lines(rows: DataFrame) -> DataFrame:
-    """(key, text, base) of texts with entities -> key, begin, line, own (spans of the line)."""
-    rows = rows.select("key", "base", F.posexplode(_let(F.split("text", "\n", -1), lambda ls: _let(
-        _before(F.transform(ls, lambda x: F.length(x) + 1)), lambda at: F.zip_with(ls, at, lambda x, b: F.struct(b.alias("begin"), x.alias("line")))))).alias("no", "l"))
-    rows = rows.select("key", F.col("l.begin").alias("begin"), F.col("l.line").alias("line"), "base")
-    end = F.col("begin") + F.length("line")
-    inside = F.filter("base", lambda s: (s["start"] >= F.col("begin")) & (s["end"] <= end))
-    return rows.withColumn("own", inside).filter(F.size("own") > 0).drop("base")
+def _contexts(rows: DataFrame) -> DataFrame:
+    """(key, text, base) of texts with entities -> key, text, entities and terms (distinct, in lower case) of the whole text, one row a key."""
+    words = F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower)
+    rows = rows.select("key", "text", F.array_distinct(F.transform("base", lambda s: s["value"])).alias("entities"))
+    return rows.dropDuplicates(["key"]).withColumn("terms", F.array_distinct(words))
 
 
 def _counted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -129,35 +126,39 @@ def _counted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("df")).join(wanted, "term", "left_semi")
 
 
-def disclosing_terms(docs: DataFrame, lines: DataFrame, n: int) -> DataFrame:
+def _together(texts: DataFrame, entities: DataFrame) -> DataFrame:
+    """(key, entity, term) of every given entity and every term of a text."""
+    own = common.fetch(texts.select("key", F.explode("entities").alias("entity")), "entity", entities.select("entity"), ["key"])
+    return own.join(texts.select("key", "terms"), "key").select("key", "entity", F.explode("terms").alias("term"))
+
+
+def disclosing_terms(docs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """(entity, term) pairs whose disclosure reaches the threshold."""
-    near = lines.select("key", F.explode(F.array_distinct(F.transform("own", lambda s: s["value"]))).alias("entity"), "line")
-    near = near.select("key", "entity", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(TERM), F.lit(0)), F.lower))).alias("term")).distinct()
-    both = common.stored(near.groupBy("entity", "term").agg(F.count("*").alias("df_both")).filter(F.col("df_both") >= MIN_SUPPORT))
+    entities = texts.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity"))
+    entities = common.stored(entities.filter(F.col("df_entity") >= MIN_SUPPORT))
+    both = common.stored(_together(texts, entities).groupBy("entity", "term").agg(F.count("*").alias("df_both")).filter(F.col("df_both") >= MIN_SUPPORT))
     wanted = common.stored(both.select("term").distinct())
     terms = common.stored(_counted(docs, wanted))
-    entities = lines.select("key", F.explode(F.transform("own", lambda s: s["value"])).alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
-    entities = common.stored(entities.filter(F.col("df_entity") >= MIN_SUPPORT))
     rows = common.fetch(both, "term", terms, ["entity"])
     rows = common.fetch(rows, "entity", entities, ["term"])
     pmi = F.log(F.lit(float(n)) * F.col("df_both") / (F.col("df_entity") * F.col("df")))
     return rows.filter(pmi >= DISCLOSURE * F.log(F.lit(float(n)) / F.col("df_entity"))).select("entity", "term")
 
 
-def _term_spans(lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(key, terms): places of disclosing terms in lines with their entity, outside base spans."""
-    rows = lines.select("key", "begin", "line", "own", F.explode(F.array_distinct(F.transform("own", lambda s: s["value"]))).alias("entity"))
-    rows = rows.select("key", "begin", "own", "entity", F.explode(found(F.col("line"), TERM)).alias("s"))
-    rows = rows.select("key", "own", F.lower("s.value").alias("term"), "entity", (F.col("begin") + F.col("s.start")).alias("start"), (F.col("begin") + F.col("s.end")).alias("end"))
-    rows = rows.filter(~F.exists("own", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))).drop("own")
+def _term_spans(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key, terms): all places of disclosing terms in texts with their entity."""
     pairs = common.stored(pairs)
+    rows = _together(texts, pairs.select("entity").distinct())
     if pairs.count() <= common.BROADCAST_ROWS:
         hit = rows.join(F.broadcast(pairs), ["entity", "term"])
     else:
         pair = F.struct("entity", "term").alias("pair")
-        hit = common.fetch(rows.select("key", "start", "end", "term", pair), "pair", pairs.select(pair), ["key"])
+        hit = common.fetch(rows.select("key", "term", pair), "pair", pairs.select(pair), ["key"])
+    hit = common.stored(hit.select("key", "term").distinct())
+    places = texts.join(hit.select("key").distinct(), "key", "left_semi").select("key", F.explode(found(F.col("text"), TERM)).alias("s"))
+    places = places.select("key", F.lower("s.value").alias("term"), "s.start", "s.end").join(hit, ["key", "term"])
     span = F.struct("start", F.lit(4).alias("kind_no"), "end", F.concat(F.lit("term:"), "term").alias("value"))
-    return hit.groupBy("key").agg(F.collect_set(span).alias("terms"))
+    return places.groupBy("key").agg(F.collect_list(span).alias("terms"))
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -165,11 +166,12 @@ def spans(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     key = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("hash")).alias("key")
     rows = docs.select("doc_id", "text", key, base_spans(F.col("text")).alias("base"))
-    lines = common.stored(_lines(rows.filter(F.size("base") > 0)))
-    pairs = disclosing_terms(docs, lines, docs.count())
-    terms = common.stored(_term_spans(lines, pairs))
-    return rows.join(F.broadcast(terms) if terms.count() <= common.BROADCAST_ROWS // 10 else terms, "key", "left").select(
-        "doc_id", "text", "base", F.array_sort(F.coalesce("terms", F.array().cast(SPAN)).cast(SPAN)).alias("terms"))
+    texts = common.stored(_contexts(rows.filter(F.size("base") > 0)))
+    pairs = disclosing_terms(docs, texts, docs.count())
+    terms = common.stored(_term_spans(texts, pairs))
+    rows = rows.join(F.broadcast(terms) if (terms.agg(F.sum(F.size("terms"))).first()[0] or 0) <= common.BROADCAST_ROWS else terms, "key", "left")
+    outside = F.filter(F.coalesce("terms", F.array().cast(SPAN)).cast(SPAN), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+    return rows.select("doc_id", "text", "base", F.array_sort(outside).alias("terms"))
 
 
 def sanitised(docs: DataFrame) -> DataFrame:

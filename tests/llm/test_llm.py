@@ -209,6 +209,35 @@ def test_personal_data(docs, pdf):
     assert "quirinus@spy" not in clean and "[EMAIL]" in clean
 
 
+def test_terms_of_whole_texts(spark):
+    """A term discloses an entity of its text from any line, against a count over all pairs."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(120):
+        body = [" ".join(f"word{chr(97 + x // 26)}{chr(97 + x % 26)}" for x in rng.integers(0, 300, 12)) for _ in range(4)]
+        if i % 10 < 3:
+            body[i % 4] += f" ask spy{i % 3}@x.example.com"
+            body[(i + 2) % 4] += f" Agent{'abc'[i % 3]} quillon" + " xQuirinus" * (i % 3)
+        rows.append((i, "\n".join(body)))
+    rows += [(200, None), (201, ""), (202, rows[0][1]), (0, rows[0][1])]
+    got = {r.doc_id: r for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    texts = {i: t or "" for i, t in rows}
+    email = r"[a-z0-9]+@x\.example\.com"
+    terms = {i: set(re.findall(r"[^\W\d_]{3,}", t.lower())) for i, t in texts.items()}
+    owners = {i: set(re.findall(email, t)) for i, t in texts.items()}
+    df = collections.Counter(t for i, _ in rows for t in terms[i])
+    df_entity = collections.Counter(e for i in texts for e in owners[i])
+    both = collections.Counter((e, t) for i in texts for e in owners[i] for t in terms[i])
+    n, far = len(rows), 0
+    for i, text in texts.items():
+        told = {t for e in owners[i] for t in terms[i] if both[e, t] >= 2 and np.log(n * both[e, t] / (df_entity[e] * df[t])) >= 0.8 * np.log(n / df_entity[e])}
+        base = [m.span() for m in re.finditer(email, text)]
+        want = {f"term:{m.start()}:{m.end()}" for m in re.finditer(r"[^\W\d_]{3,}", text) if m[0].lower() in told and not any(a < m.end() and m.start() < b for a, b in base)}
+        assert {x for x in got[i].spans.split(",") if x.startswith("term:")} == want
+        far += any("\n" in text[min(b, int(s)) : max(a, int(s))] for a, b in base for s in (x.split(":")[1] for x in want))
+    assert far >= 30
+
+
 def test_repeated_passages(docs, pdf, spark):
     got = substring_dedup.repeated_passages(docs).toPandas()
     words = {r.doc_id: re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").lower()) for r in pdf.itertuples()}
