@@ -10,7 +10,8 @@ only the numbers of tables, so a Gibbs step draws t anew given all other dishes:
 T: the restaurant's other tables; S: generalised Stirling numbers, which count the seatings of c customers at t tables. The first
 seating has one table a dish. SAMPLES independent chains run ROUNDS rounds: all context restaurants given the parent (SWEEPS sweeps),
 then the parent given their tables. Predictive probabilities are averaged over the chains. Dishes are drawn in parallel from
-the totals of the sweep before. A dish of more than PARTY customers is seated in parties of at most PARTY, which share no table.
+the totals of the sweep before, each as a whole: a table of Stirling numbers serves dishes of up to PARTY customers, their integrals
+larger ones.
 Discounts come from the numbers of dishes with one and two customers, n1 / (n1 + 2 n2); the strength is THETA.
 
 How it is spread: a task hashes the words of a slice of documents, counts its word pairs and writes a package for each
@@ -39,7 +40,9 @@ from barloom.llm import common
 SAMPLES = 3
 ROUNDS = 1
 SWEEPS = 2
+#: Dishes of at most so many customers are drawn from a table of Stirling numbers, larger ones by integrals of NODES points.
 PARTY = 255
+NODES, POINTS, CLOSER, RANGE = 24, 24, 5, 30.0
 THETA = 1.0
 HOT_SHARE = 1 / 512
 SAMPLE_DOCS = 2_000
@@ -299,7 +302,7 @@ def _root(facts: dict, round_no: int):
                 for k in CHAINS:
                     m = from_wide(row["data"][2 + k])
                     rng = np.random.default_rng([round_no, k, row["shard"], 1])
-                    drawn.append(wide(seated(m, np.full(len(m), facts["V"] - 1), np.full(len(m), 1 / (facts["V"] + 1)), facts["d0"], THETA, rng)))
+                    drawn.append(wide(drawn_tables(m, np.full(len(m), facts["V"] - 1), np.full(len(m), 1 / (facts["V"] + 1)), facts["d0"], THETA, rng)))
                 yield pa.RecordBatch.from_pylist([row | {"data": row["data"] + drawn}], TYPES)
 
     return run
@@ -374,6 +377,98 @@ def seated(c: np.ndarray, others: np.ndarray, base: np.ndarray, d: float, theta:
     return np.bincount(of, t, len(c)).astype(np.int64) if len(c) else t
 
 
+def log_stirling_at(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """Logarithms of generalised Stirling numbers of c >= 2 customers at 1 <= t <= c tables, for numbers that no table of them can
+    hold: c!/(t! d^t) times the coefficient of x^c in (1 - (1 - x)^d)^t, whose Cauchy integral is summed along a parabola
+    around the branch point x = 1 that crosses the real axis at the saddle."""
+    c, t = np.broadcast_arrays(np.asarray(c, np.float64), np.asarray(t, np.float64))
+    alone, t = t == c, np.minimum(t, c - 1)
+    low, high = np.full(c.shape, -80.0), np.full(c.shape, 36.0)  # logits of w = 1 - x, where t d w^(d - 1) (1 - w) / (1 - w^d) falls to c
+    for k in range(14):  # halving, then Newton's steps
+        y = (low + high) / 2 if k < 10 else y - np.clip(gap / slope, -0.2, 0.2)
+        lw, l1 = -np.logaddexp(0, -y), -np.logaddexp(0, y)
+        v = -np.expm1(d * lw)
+        gap = np.log(t * d / c) + (d - 1) * lw + l1 - np.log(v)
+        slope = np.exp(l1) * ((d - 1) + d * (1 - v) / v) - np.exp(lw)
+        low, high = np.where(gap > 0, y, low), np.where(gap > 0, high, y)
+    y = np.maximum(y - np.clip(gap / slope, -0.2, 0.2), -np.log(np.maximum(c / 4 - 1, 1e-9)))
+    lw, l1 = -np.logaddexp(0, -y), -np.logaddexp(0, y)  # logarithms of w and 1 - w
+    w, x, v = np.exp(lw), np.exp(l1), -np.expm1(d * lw)
+    bend = c / x**2 + t * d * np.exp((d - 2) * lw) * ((1 - d) / v - d * np.exp(d * lw) / v**2)
+    step = np.minimum(0.15, 0.4 / (2 * w * np.sqrt(np.maximum(bend, c))))
+    u = step[..., None] * np.arange(NODES)
+    turn = 2 * np.arctan(u)
+    # 1 - w (1 + iu)^2 and 1 - (w (1 + iu)^2)^d, each over its value at u = 0
+    far = 1 + (w / x)[..., None] * (u**2 - 2j * u)
+    power = np.exp(d * lw)[..., None] * np.expm1(d * (np.log1p(u**2) + 1j * turn))
+    part = np.exp(t[..., None] * np.log(1 - power / v[..., None]) - (c + 1)[..., None] * np.log(far)) * (1 + 1j * u)
+    total = (part.real.sum(axis=-1) - part.real[..., 0] / 2) * 2 * step * w / np.pi
+    return np.where(alone, 0.0, log_factorial(c) - log_factorial(t) - t * np.log(d) + t * np.log(v) - (c + 1) * l1 + np.log(np.maximum(total, 1e-300)))
+
+
+def log_factorial(n: np.ndarray) -> np.ndarray:
+    """Stirling's series from 16 on, products below."""
+    small = np.cumsum(np.log(np.maximum(1, np.arange(17))))
+    z = np.maximum(n, 16.0) + 1
+    series = (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5)
+    return np.where(n <= 16, small[np.minimum(n, 16).astype(np.int64)], series)
+
+
+def log_gamma(a: np.ndarray) -> np.ndarray:
+    """For a > 0."""
+    shift = np.zeros_like(a)
+    for _ in range(16):
+        shift += np.where(a < 16, np.log(a), 0)
+        a = np.where(a < 16, a + 1, a)
+    return (a - 0.5) * np.log(a) - a + 0.5 * np.log(2 * np.pi) + 1 / (12 * a) - 1 / (360 * a**3) + 1 / (1260 * a**5) - shift
+
+
+def _seated_whole(c: np.ndarray, others: np.ndarray, base: np.ndarray, d: float, theta: float, rng: np.random.Generator) -> np.ndarray:
+    """The same draw for dishes of many customers. The logarithm of p(t) is concave: points close in on where it is within RANGE of
+    its top, and a number of tables is drawn from the lines between the last ones."""
+    a = theta / d + others
+
+    def weight(t: np.ndarray) -> np.ndarray:
+        return log_stirling_at(c[:, None], t, d) + log_gamma(a[:, None] + t) + t * np.log(d * base)[:, None]
+
+    low, high = np.ones(len(c)), c.astype(np.float64)
+    share = np.linspace(0, 1, POINTS)
+    for k in range(CLOSER):
+        spaced = np.exp(np.log(low)[:, None] * (1 - share) + np.log(high)[:, None] * share) if k < 2 else low[:, None] * (1 - share) + high[:, None] * share
+        t = np.round(spaced)
+        t[:, 0], t[:, -1] = low, high
+        p = weight(t)
+        near = p >= p.max(axis=1, keepdims=True) - RANGE
+        first, last = near.argmax(axis=1), POINTS - 1 - near[:, ::-1].argmax(axis=1)
+        rows = np.arange(len(c))
+        if k < CLOSER - 1:
+            low, high = t[rows, np.maximum(first - 1, 0)], t[rows, np.minimum(last + 1, POINTS - 1)]
+    # cell k holds the numbers from t[k] up to t[k + 1], the last one t[-1] alone
+    p -= p.max(axis=1, keepdims=True)
+    n = np.diff(t, axis=1)
+    slope = np.diff(p, axis=1) / np.maximum(n, 1)
+    slope = np.where(np.abs(slope) < 1e-9, 1e-9, slope)
+    mass = np.exp(p[:, :-1]) * np.expm1(slope * n) / np.expm1(slope)
+    cum = np.cumsum(np.concatenate((mass, np.exp(p[:, -1:])), axis=1), axis=1)
+    cell = (cum < rng.random(len(c))[:, None] * cum[:, -1:]).sum(axis=1)
+    inner = np.minimum(cell, POINTS - 2)
+    s, m = slope[rows, inner], n[rows, inner]
+    more = np.floor(np.log1p(rng.random(len(c)) * np.expm1(s * m)) / s)
+    return (t[rows, cell] + np.where(cell < POINTS - 1, np.clip(more, 0, np.maximum(m - 1, 0)), 0)).astype(np.int64)
+
+
+def drawn_tables(c: np.ndarray, others: np.ndarray, base: np.ndarray, d: float, theta: float, rng: np.random.Generator) -> np.ndarray:
+    """seated() with every dish as one party, however many customers it has."""
+    t = np.zeros(len(c), np.int64)
+    few = c <= PARTY
+    t[few] = seated(c[few], others[few], base[few], d, theta, rng)
+    large = np.flatnonzero(~few)
+    for k in range(0, len(large), 256):
+        at = large[k : k + 256]
+        t[at] = _seated_whole(c[at], others[at].astype(np.float64), base[at], d, theta, rng)
+    return t
+
+
 def _bases(table: pa.Table, s: State, facts: dict) -> tuple[list[np.ndarray], np.ndarray]:
     """The parent's probability of each word in each chain, and its training tokens, from the homes' answers."""
     tokens = np.zeros(len(s.words), np.int64)
@@ -415,7 +510,7 @@ def _sampler(facts: dict, round_no: int):
                 total = s.by(s.u, t)[s.u]
                 if shared.any():
                     total[shared] = facts["tables"][k][np.searchsorted(facts["hot"], s.words[s.u[shared]])]
-                t[many] = seated(s.c[many], (total - t)[many], g[k][s.w[many]], facts["d"], THETA, rng)
+                t[many] = drawn_tables(s.c[many], (total - t)[many], g[k][s.w[many]], facts["d"], THETA, rng)
             drawn.append(wide(t))
         return pa.Table.from_pylist([{"shard": shard, "kind": STATE, "data": found[0]["data"][:5] + drawn}], TYPES)
 

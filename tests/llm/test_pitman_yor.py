@@ -118,6 +118,33 @@ def test_large_dishes_are_seated_in_parties():
     assert t[0] == 1 and (t >= [1, 1, 1, 2, 20]).all() and (t <= [1, 2, 255, 256, 5000]).all()
 
 
+def test_stirling_numbers_beyond_the_table():
+    for d in (0.05, 0.5, 0.95):
+        row = np.zeros(1)
+        for c in range(1, 600):
+            row = np.logaddexp(np.append(row + np.log(c - np.arange(1, c + 1) * d), -np.inf), np.append(-np.inf, row))
+        t = np.arange(1, 601)
+        error = abs(py.log_stirling_at(np.full(600, 600), t, d) - row)
+        assert error[:500].max() < 1e-3 and error.max() < 0.05
+
+
+def test_a_large_dish_is_drawn_as_one():
+    c, n = 400, 20_000
+    for d, theta, others, base in ((0.5, 1.0, 10, 0.01), (0.7, 1.0, 900, 0.05), (0.3, 1.0, 40, 0.4), (0.9, 1.0, 5000, 0.2)):
+        row = np.zeros(1)
+        for k in range(1, c):
+            row = np.logaddexp(np.append(row + np.log(k - np.arange(1, k + 1) * d), -np.inf), np.append(-np.inf, row))
+        want = row + np.cumsum(np.log((theta + d * (others + np.arange(c))) * base))
+        want = np.exp(want - want.max())
+        drawn = py.drawn_tables(np.full(n, c), np.full(n, others), np.full(n, base), d, theta, np.random.default_rng(4))
+        share = np.bincount(drawn, minlength=c + 1)[1:] / n
+        assert abs(np.cumsum(share) - np.cumsum(want / want.sum())).max() < 0.02
+    few = py.drawn_tables(np.array([1, 2, 255, 256, 5000, 10**7]), np.full(6, 10), np.full(6, 1e-7), 0.5, 1.0, np.random.default_rng(2))
+    assert few.tolist() == [1, 1, 1, 1, 1, 1]
+    many = py.drawn_tables(np.full(50, 10**6), np.full(50, 10**5), np.full(50, 0.9), 0.8, 1.0, np.random.default_rng(2))
+    assert (many > 10**4).all() and (many < 10**6).all() and many.std() < 3000
+
+
 def test_packages_hold_every_pair():
     rng = np.random.default_rng(3)
     words = np.sort(rng.integers(0, 1 << 63, 30).astype(np.uint64))
