@@ -7,8 +7,9 @@ filled, so a set of any size fills every coordinate, and two sets agree in a coo
 Jaccard similarity, with the concentration of independent samples.
 
 1. Equal sets become one class (128-bit set fingerprint and size).
-2. BANDS x ROWS coordinates form bucket keys. In each bucket every class is paired with one hub (one of HUBS orders);
-   the distinct pairs are confirmed on full sets and joined into components.
+2. BANDS x ROWS coordinates form bucket keys. In each bucket every class is paired with one hub (one of HUBS orders).
+   Each class's pair with the hub of most of its buckets is confirmed on full sets; of the other distinct pairs those across
+   the components that these make. All are joined into components.
 3. Buckets that still hold several components are compared block by block inside tasks: the agreement of two sketches
    must reach CUT. A bucket's largest component is not compared with itself, so no group is expanded into all its pairs.
    Only pairs across components leave the task and are confirmed on full sets: first each class's closest ones, again
@@ -198,23 +199,46 @@ def _across(shared: DataFrame, labels: DataFrame, sketched: DataFrame, best: boo
     return common.stored(blocks.mapInArrow(_cross_pairs(best), "a long, b long").distinct())
 
 
-def _clusters(docs: DataFrame, members: DataFrame, sketched: DataFrame) -> DataFrame:
-    """(node, component) of classes that have a link."""
-    reps = sketched.join(members.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def _once(rows: DataFrame, again: DataFrame | None) -> DataFrame:
+    """One row a doc_id; only rows of the ids that come again are shuffled."""
+    if again is None:
+        return rows
+    return rows.join(again, "doc_id", "left_anti").union(rows.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
+def _hub_components(pairs: DataFrame, hubs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, component) from the distinct hub pairs (a, b): each node's hub of most buckets first, then only pairs across components."""
+    first = hubs.groupBy("node").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
+    first = common.stored(first.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct())
+    labels = common.components(_confirmed(first, sets))
+    whole = common.stored(nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+    few = whole.count() <= common.BROADCAST_ROWS
+    others = pairs.join(first, ["a", "b"], "left_anti")
+    for end, other in (("a", "b"), ("b", "a")):
+        others = common.look_up(others, end, whole.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), other, few)
+    more = common.stored(_confirmed(common.stored(others.filter("of_a != of_b").select("a", "b")), sets))
+    return common.joined_components(labels, more) if more.take(1) else labels
+
+
+def _clusters(docs: DataFrame, members: DataFrame, sketched: DataFrame, again: DataFrame | None) -> DataFrame:
+    """(node, component) of classes that have a link; again are the ids of docs that come more than once, if there are any."""
+    reps = _once(sketched.join(members.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi"), again)
     reps = common.stored(reps.select(F.col("doc_id").alias("node"), "bands", "sketch"))
     rows = reps.select("node", F.explode("bands").alias("bucket"))
     turn = F.xxhash64("node", F.pmod("bucket", F.lit(HUBS)))
     heads = common.stored(rows.groupBy("bucket").agg(F.min_by("node", turn).alias("hub"), F.count("*").alias("n")).filter("n > 1"))
     shared = common.stored(rows.join(heads, "bucket").select("bucket", "node", "hub"))
-    needed = common.checked_broadcast(common.stored(shared.select(F.col("node").alias("doc_id")).distinct()))
-    sets = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi")
-    sets = common.stored(sets.mapInArrow(_set_batches, "doc_id long, elements array<long>").dropDuplicates(["doc_id"]))
-    pairs = shared.filter("node != hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-    tested = pairs = common.stored(pairs)
-    labels = common.components(_confirmed(pairs, sets))
+    nodes = common.stored(shared.select("node").distinct())
+    needed = common.checked_broadcast(nodes)
+    marks = common.stored(reps.select("node", "sketch").join(needed, "node", "left_semi"))
+    texts = docs.select("doc_id", "text").join(needed.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    sets = common.stored(_once(texts, again).mapInArrow(_set_batches, "doc_id long, elements array<long>"))
+    hubs = common.stored(shared.filter("node != hub").groupBy("node", "hub").agg(F.count("*").alias("n")))
+    tested = pairs = common.stored(hubs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct())
+    labels = _hub_components(pairs, hubs, nodes, sets)
     best = True
     while True:
-        across = common.stored(_across(shared, labels, reps.select("node", "sketch"), best).join(tested, ["a", "b"], "left_anti"))
+        across = common.stored(_across(shared, labels, marks, best).join(tested, ["a", "b"], "left_anti"))
         tested = tested.union(across)
         more = common.stored(_confirmed(across, sets))
         grown = bool(more.take(1))
@@ -233,7 +257,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketched = common.stored(docs.mapInArrow(_sketch_batches, schema))
     filled = sketched.filter("n_shingles > 0 and doc_id is not null")
     members = common.stored(common.with_group(filled.select("doc_id", "n_shingles", "k1", "k2"), ["n_shingles", "k1", "k2"], ["doc_id"], rep=("min", "doc_id")).select("doc_id", "n_shingles", "rep"))
-    found = _clusters(docs, members, filled).withColumnRenamed("node", "rep")
+    again = common.stored(sketched.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    again = common.checked_broadcast(again) if again.take(1) else None
+    found = _clusters(docs, members, filled, again).withColumnRenamed("node", "rep")
     linked = common.fetch(members, "rep", found, ["doc_id"]).select("doc_id", "n_shingles", "component")
     alone = members.join(found.select("rep"), "rep", "left_anti").select("doc_id", "n_shingles", F.col("rep").alias("component"))
     blank = sketched.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))

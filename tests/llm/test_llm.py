@@ -105,6 +105,27 @@ def test_near_duplicates_of_a_large_group(spark):
     assert [got[i] for i in range(400)] == label
 
 
+def test_hub_pairs_inside_a_component_are_not_confirmed_again(spark, monkeypatch):
+    """Sets go to at most one hub a class first; other hub pairs only across components, and sets are not shuffled to find ids that come again."""
+    calls, confirmed = [], near_dedup._confirmed
+
+    def counted(pairs, sets):
+        calls.append(pairs.count())
+        return confirmed(pairs, sets)
+
+    monkeypatch.setattr(near_dedup, "_confirmed", counted)
+    rng = np.random.default_rng(4)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for i in range(60):
+        words = list(base)
+        words[rng.integers(0, 150)] = f"e{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(200, "one text alone of some words"), (7, rows[7][1]), (7, rows[7][1])]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted([(i, 0) for i in range(60)] + [(200, 200), (7, 0), (7, 0)])
+    assert sum(calls) < 60
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 800).astype(np.uint64)
