@@ -7,7 +7,8 @@
    each, that cosine bounds the candidate's own coordinate to an interval; the interval is a range of the bucket's
    sorted list of that coordinate, and only vectors in all ranges are verified by their exact integer score. Where the cosine
    is below LOOSE the intervals exclude little, and vectors that are long enough are verified instead.
-4. The bucket of the longest vectors is searched first; the k-th score found there raises the bounds for all others.
+4. The bucket of the longest vectors is searched first; the k-th score found there raises the bounds for all others, and so does
+   each bucket for the next ones of its task. Queries of one anchor are searched together, with their lowest bound.
 
 Positives are a search for the 5 best rows of the anchor's label, negatives one for each positive, for the 3 best of other labels
 between 0.5 and 0.95 of the positive's score.
@@ -138,31 +139,59 @@ def _best(score: np.ndarray, vec_id: np.ndarray, label: np.ndarray, uid: np.ndar
 
 
 def _searcher(k: int, same: bool):
-    """Pairs of a query block and a bucket -> (anchor, positive, uid, vec_id, label, score), the best k of each query."""
+    """Pairs of a query block and a bucket -> (anchor, positive, uid, vec_id, label, score), the best k of each query in the buckets
+    that follow one another for its block."""
+    held = ("uid", "vec_id", "label", "score")
+
+    def meet(c: dict[str, np.ndarray], best: list[dict[str, np.ndarray] | None]) -> None:
+        """Take a bucket's rows into the best ones so far. Queries of one anchor share its candidates and scores."""
+        bucket = Bucket(matrix(c["dims"], c["vec"]))
+        queries = matrix(c["q_dims"], c["q_vec"])
+        reached = [LEAST + 1 if b is None or len(b["score"]) < k else b["score"][-1] for b in best]
+        least, most = np.maximum(c["q_least"], np.array(reached, np.int64)), c["q_most"]
+        live = np.flatnonzero(least <= most)
+        live = live[np.argsort(c["q_anchor"][live], kind="stable")]
+        if not len(live):
+            return
+        for group in np.split(live, np.flatnonzero(np.diff(c["q_anchor"][live])) + 1):
+            q, real = queries[group[0]], queries[group[0]].astype(np.float64)
+            low = int(least[group].min())
+            at = bucket.candidates(real, float(np.sqrt((real**2).sum())), low)
+            score = bucket.scores(q, real, at)
+            hit = np.flatnonzero((score >= low) & (score <= most[group].max()))
+            hit, score = hit if at is None else at[hit], score[hit]
+            fits = ((c["label"][hit] == c["q_label"][group[0]]) == same) & (c["uid"][hit] != c["q_anchor"][group[0]])
+            hit, score = hit[fits], score[fits]
+            for j in group:
+                own = np.flatnonzero((score >= least[j]) & (score <= most[j]))
+                if not len(own):
+                    continue
+                new = {n: c[n][hit[own]] if n != "score" else score[own] for n in held}
+                if best[j] is not None:
+                    new = {n: np.concatenate((best[j][n], new[n])) for n in held}
+                top = _best(new["score"], new["vec_id"], new["label"], new["uid"], k)
+                best[j] = {n: new[n][top] for n in held}
+
+    def rows(c: dict[str, np.ndarray], best: list[dict[str, np.ndarray] | None]) -> Iterator[pa.RecordBatch]:
+        full = [j for j, b in enumerate(best) if b is not None]
+        if full:
+            n = [len(best[j]["score"]) for j in full]
+            cols = [np.repeat(c["q_anchor"][full], n), np.repeat(c["q_positive"][full], n), *[np.concatenate([best[j][x] for j in full]) for x in held]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(),) * 4 + (pa.int32(), pa.int64()), strict=True)], names=["anchor", "positive", *held])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: dict[str, np.ndarray] | None = None
+        best: list[dict[str, np.ndarray] | None] = []
         for batch in batches:
             for r in range(batch.num_rows):
                 c = {n: batch.column(i)[r].values.to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
-                bucket = Bucket(matrix(c["dims"], c["vec"]))
-                queries = matrix(c["q_dims"], c["q_vec"])
-                found = []
-                for j in range(len(queries)):
-                    q, real = queries[j], queries[j].astype(np.float64)
-                    if c["q_least"][j] > c["q_most"][j]:
-                        continue
-                    at = bucket.candidates(real, float(np.sqrt((real**2).sum())), int(c["q_least"][j]))
-                    score = bucket.scores(q, real, at)
-                    hit = (score >= max(int(c["q_least"][j]), LEAST + 1)) & (score <= c["q_most"][j])
-                    hit = np.flatnonzero(hit) if at is None else at[hit]
-                    score = score[hit] if at is None else score[np.searchsorted(at, hit)]
-                    fits = ((c["label"][hit] == c["q_label"][j]) == same) & (c["uid"][hit] != c["q_anchor"][j])
-                    hit, score = hit[fits], score[fits]
-                    top = _best(score, c["vec_id"][hit], c["label"][hit], c["uid"][hit], k)
-                    found.append((np.full(len(top), c["q_anchor"][j]), np.full(len(top), c["q_positive"][j]), c["uid"][hit][top], c["vec_id"][hit][top], c["label"][hit][top], score[top]))
-                if found:
-                    cols = [np.concatenate(x) for x in zip(*found, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(),) * 4 + (pa.int32(), pa.int64()), strict=True)], names=["anchor", "positive", "uid", "vec_id", "label", "score"])
+                if block is None or any(not np.array_equal(c[f"q_{n}"], block[f"q_{n}"]) for n in QUERY):
+                    if block is not None:
+                        yield from rows(block, best)
+                    block, best = {f"q_{n}": c[f"q_{n}"].copy() for n in QUERY}, [None] * len(c["q_anchor"])
+                meet(c, best)
+        if block is not None:
+            yield from rows(block, best)
 
     return run
 

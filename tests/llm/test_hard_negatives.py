@@ -88,3 +88,24 @@ def test_query_blocks_are_not_broadcast(spark):
     queries = vectors.filter("vec_id % 50 = 0").selectExpr("uid AS anchor", "0L AS positive", "label", f"{hn.LEAST + 1}L AS least", "1000000L AS most", "vec")
     found = hn._search(queries, buckets, 3, False)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and found.count() > 0
+
+
+def test_a_task_gives_the_best_of_its_buckets_once():
+    """Buckets that follow one another for a block are one result, whose bounds rise; equal rows of many buckets are not given out by each."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    vec, q = np.floor(300 * rng.normal(size=(240, 6))).astype(np.int64), np.floor(300 * rng.normal(size=(3, 6))).astype(np.int64)
+    vec[40::40] = vec[0]
+    asked = [(j, p, least) for j in range(3) for p, least in ((100, -(10**6)), (101, 20_000))]
+    block = {"q_anchor": [-j for j, _, _ in asked], "q_positive": [p for _, p, _ in asked], "q_label": [1] * 6, "q_least": [x for _, _, x in asked], "q_most": [90_000] * 6, "q_dims": [6] * 6,
+             "q_vec": [int(x) for j, _, _ in asked for x in q[j]]}
+    bucket = lambda a: {"uid": list(range(a + 1, a + 41)), "vec_id": list(range(a, a + 40)), "label": [i % 2 for i in range(40)], "dims": [6] * 40, "vec": vec[a : a + 40].ravel().tolist()}
+    types = {n: pa.list_(pa.int32() if n in ("label", "q_label", "dims", "q_dims") else pa.int64()) for n in (*block, *bucket(0))}
+    rows = [block | bucket(a) for a in range(0, 240, 40)]
+    batches = [pa.RecordBatch.from_pydict({n: [r[n] for r in some] for n in types}, schema=pa.schema(types)) for some in (rows[:2], rows[2:])]
+    got = [r for b in hn._searcher(3, False)(iter(batches)) for r in b.to_pylist()]
+    for j, p, least in asked:
+        scores = sorted((-int(vec[i] @ q[j]), i) for i in range(240) if i % 40 % 2 == 0 and least <= vec[i] @ q[j] <= 90_000)
+        assert [(-r["score"], r["vec_id"]) for r in got if (r["anchor"], r["positive"]) == (-j, p)] == scores[:3]
+    assert len(got) > 9
