@@ -423,13 +423,30 @@ def log_gamma(a: np.ndarray) -> np.ndarray:
     return (a - 0.5) * np.log(a) - a + 0.5 * np.log(2 * np.pi) + 1 / (12 * a) - 1 / (360 * a**3) + 1 / (1260 * a**5) - shift
 
 
+#: Rows of Stirling numbers that draws of the same dish share, over chains and sweeps; emptied beyond so many.
+_ROWS: dict[tuple[float, float, bytes], np.ndarray] = {}
+ROWS_HELD = 20_000
+common.HELD.append(_ROWS)
+
+
+def _stirling_rows(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """log_stirling_at of each c and its row of numbers of tables. A row is computed once: chains and sweeps ask for most rows again."""
+    if len(_ROWS) > ROWS_HELD:
+        _ROWS.clear()
+    keys = [(d, n, row.tobytes()) for n, row in zip(c.tolist(), t, strict=True)]
+    new = list({k: i for i, k in enumerate(keys) if k not in _ROWS}.values())
+    if new:
+        _ROWS.update(zip([keys[i] for i in new], log_stirling_at(c[new, None], t[new], d), strict=True))
+    return np.stack([_ROWS[k] for k in keys])
+
+
 def _seated_whole(c: np.ndarray, others: np.ndarray, base: np.ndarray, d: float, theta: float, rng: np.random.Generator) -> np.ndarray:
     """The same draw for dishes of many customers. The logarithm of p(t) is concave: points close in on where it is within RANGE of
     its top, and a number of tables is drawn from the lines between the last ones."""
     a = theta / d + others
 
     def weight(t: np.ndarray) -> np.ndarray:
-        return log_stirling_at(c[:, None], t, d) + log_gamma(a[:, None] + t) + t * np.log(d * base)[:, None]
+        return _stirling_rows(c, t, d) + log_gamma(a[:, None] + t) + t * np.log(d * base)[:, None]
 
     low, high = np.ones(len(c)), c.astype(np.float64)
     share = np.linspace(0, 1, POINTS)

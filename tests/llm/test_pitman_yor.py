@@ -145,6 +145,19 @@ def test_a_large_dish_is_drawn_as_one():
     assert (many > 10**4).all() and (many < 10**6).all() and many.std() < 3000
 
 
+def test_draws_of_one_dish_share_their_stirling_numbers(monkeypatch):
+    asked, whole = [], py.log_stirling_at
+    monkeypatch.setattr(py, "log_stirling_at", lambda c, t, d: asked.append(t.size) or whole(c, t, d))
+    c, base = np.array([300, 300, 4_000, 90_000]), np.array([0.01, 0.01, 0.002, 0.03])
+    draw = lambda: [py.drawn_tables(c, np.full(4, others), base, 0.7, 1.0, np.random.default_rng(others)).tolist() for others in (50, 60, 70, 80, 90, 100)]
+    py._ROWS.clear()
+    found = draw()
+    # six sweeps of four dishes ask for 5 rows each; alone, each dish would have them computed every time
+    assert sum(asked) < 6 * 4 * py.CLOSER * py.POINTS / 2
+    monkeypatch.setattr(py, "ROWS_HELD", -1)
+    assert draw() == found
+
+
 def test_packages_hold_every_pair():
     rng = np.random.default_rng(3)
     words = np.sort(rng.integers(0, 1 << 63, 30).astype(np.uint64))
