@@ -14,11 +14,12 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ SEGMENT = re.compile(r" *[^ ]+| +\Z")
 
 #: Segments of more characters are merged one by one, the others many at a time.
 LONG = 48
+#: Bytes of text that a task encodes at once; arrays of a slice take about a hundred times as much.
+SLICE_BYTES = 1 << 20
 NONE = np.iinfo(np.int64).max
 
 
@@ -314,29 +317,36 @@ _CODECS: dict[tuple, tuple[Codec, words.Cache]] = {}
 common.HELD.append(_CODECS)
 
 
-def encoded(docs: DataFrame, model_file: str, rate: float = 0.1, seed: int = 1, carried: Sequence[str] = ()) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, n_tokens, ids, lossless (decoding the ids gives the text back) and the carried columns, one
-    row a row."""
-    table = docs.sparkSession.sparkContext.broadcast(model_table(model_file))
-
+def _encoder(table: Broadcast, model_file: str, rate: float, seed: int, carried: Sequence[str]) -> Callable:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.give_back(_CODECS)
         key = (model_file, rate, seed)
         if key not in _CODECS:
             codec = Codec(table.value, rate, seed)
             _CODECS[key] = codec, segment_cache(codec)
         codec, cache = _CODECS[key]
         for batch in batches:
-            for first, last, texts in words.row_slices(batch):
+            for first, last, texts in words.row_slices(batch, most_bytes=SLICE_BYTES):
                 ids, begins = encode_part(codec, cache, texts, batch.column(2).slice(first, last - first).to_numpy())
                 same = _lossless(codec, ids, begins, texts)
                 lists = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(ids, pa.int32()))
                 own = [c.slice(first, last - first) for c in batch.columns]
                 yield pa.RecordBatch.from_arrays([own[0], pa.array(np.diff(begins)), lists, pa.array(same), *own[3:]], names=["doc_id", "n_tokens", "ids", "lossless", *carried])
+                common.trim()
         cache.clear()
+        common.trim()
+
+    return encode
 
+
+def encoded(docs: DataFrame, model_file: str, rate: float = 0.1, seed: int = 1, carried: Sequence[str] = ()) -> DataFrame:
+    """docs (doc_id, text, ...) -> doc_id, n_tokens, ids, lossless (decoding the ids gives the text back) and the carried columns, one
+    row a row."""
+    table = docs.sparkSession.sparkContext.broadcast(model_table(model_file))
     kind = docs.schema["doc_id"].dataType.simpleString()
     key = F.xxhash64(F.lit(seed), "doc_id").alias("key")
-    return docs.select("doc_id", "text", key, *carried).mapInArrow(encode, ", ".join([f"doc_id {kind}, n_tokens long, ids array<int>, lossless boolean", *[f"{c} {docs.schema[c].dataType.simpleString()}" for c in carried]]))
+    schema = ", ".join([f"doc_id {kind}, n_tokens long, ids array<int>, lossless boolean", *[f"{c} {docs.schema[c].dataType.simpleString()}" for c in carried]])
+    return docs.select("doc_id", "text", key, *carried).mapInArrow(_encoder(table, model_file, rate, seed, tuple(carried)), schema)
 
 
 def _lossless(codec: Codec, ids: np.ndarray, begins: np.ndarray, texts: pa.Array) -> np.ndarray:

@@ -13,14 +13,14 @@ SLICE_ROWS = 2_000
 SLICE_BYTES = 8 << 20
 
 
-def row_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, pa.Array]]:
-    """(first row, row after the last, texts) with null as the empty text, of about SLICE_BYTES each."""
+def row_slices(batch: pa.RecordBatch, column: str = "text", most_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, pa.Array]]:
+    """(first row, row after the last, texts) with null as the empty text, of about most_bytes each."""
     texts = batch.column(batch.schema.get_field_index(column)).cast(pa.large_string()).fill_null("")
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     first = 0
     while first < len(texts):
         done = ends[first - 1] if first else 0
-        last = min(first + SLICE_ROWS, max(first + 1, int(np.searchsorted(ends, done + SLICE_BYTES, "right"))))
+        last = min(first + SLICE_ROWS, max(first + 1, int(np.searchsorted(ends, done + most_bytes, "right"))))
         yield first, last, texts.slice(first, last - first)
         first = last
 

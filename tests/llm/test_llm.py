@@ -383,6 +383,22 @@ def test_sentencepiece(docs, pdf):
         assert r.text == text[r.doc_id]
 
 
+def test_encoding_holds_a_small_slice_and_nothing_of_other_operators():
+    import types
+
+    import pyarrow as pa
+
+    text = "".join(chr(97 + i % 26) + " " * (i % 7 == 0) for i in range(3_000))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1_900)), pa.array([text] * 1_900), pa.array(range(1_900))], names=["doc_id", "text", "key"])
+    language_id._parser({"x": "some text "})
+    encode = sentencepiece_codec._encoder(types.SimpleNamespace(value=sentencepiece_codec.model_table(registry.PIECES)), registry.PIECES, 0.1, 1, ())
+    slices = list(encode(iter([batch])))
+    assert not language_id._PARSERS
+    assert sum(s.num_rows for s in slices) == 1_900 and all(s.column(3).to_pylist() == [True] * s.num_rows for s in slices)
+    assert max(s.num_rows for s in slices) * len(text) <= 1.1 * sentencepiece_codec.SLICE_BYTES
+    common.give_back()
+
+
 def test_merge_dropout_varies_by_document_and_occurrence(spark):
     docs = spark.createDataFrame([(i, "internationalisation of internationalisation") for i in range(40)], "doc_id long, text string")
     got = [tuple(r.ids) for r in sentencepiece_codec.encoded(docs, registry.PIECES, rate=0.3).collect()]
