@@ -26,7 +26,6 @@ without training rows every word is unknown; an empty table gives no rows; other
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -591,16 +590,6 @@ def _discount(ones: int, twos: int) -> float:
     return round(min(0.95, max(0.05, ones / max(1, ones + 2 * twos))), 6) if ones else 0.5
 
 
-def forget(table: DataFrame) -> None:
-    """Delete a stored table that nothing reads any more, and let Spark drop the files of shuffles that are no longer in use."""
-    spark = table.sparkSession
-    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def frequent_contexts(docs: DataFrame, count: int) -> np.ndarray:
     """Hashes of words with at least HOT_SHARE of the tokens in a spread sample of about SAMPLE_DOCS documents."""
 
@@ -660,7 +649,7 @@ def scored(documents: DataFrame, parts: int = 7, held: int = 2, least_shards: in
         before, parent = state, _parent(state, facts, round_no)
         state = common.stored(state.union(parent).groupBy("shard").applyInArrow(groupwise(_sampler(facts, round_no)), ROWS))
         facts = _gather(state, hot, sums) | {"shards": shards}
-        forget(before)
+        common.forget(before)
     parent = _parent(state, facts, ROUNDS)
     found = state.union(parent).union(packages(True)).groupBy("shard").applyInArrow(groupwise(_scorer(facts)), "slice long, kind int, data array<binary>")
     rows = found.groupBy("slice").applyInArrow(_summed, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")

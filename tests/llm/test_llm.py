@@ -340,6 +340,18 @@ def test_compact_windows():
     assert set(substring_dedup.compact_windows(v, 20)) == want
 
 
+def test_repeated_passages_delete_the_segments_they_have_compared(spark, monkeypatch):
+    words = [f"w{i * 7919 % 10007}" for i in range(400)]
+    other = ["x" + w if i % 40 == 20 else w for i, w in enumerate(words)]
+    made, segments_of = [], substring_dedup._segments_of
+    monkeypatch.setattr(substring_dedup, "_segments_of", lambda *a: made.append(segments_of(*a)) or made[-1])
+    rows = substring_dedup.repeated_passages(spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string")).collect()
+    assert {r.doc_id for r in rows} == {1, 2} and made
+    hadoop = spark._jsc.hadoopConfiguration()
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for table in made for f in table.inputFiles()]
+    assert paths and not any(path.getFileSystem(hadoop).exists(path) for path in paths)
+
+
 def test_media(docs, pdf):
     got = media.media_columns(docs).toPandas()
     assert len(got) == len(pdf)
