@@ -12,6 +12,9 @@ Cumulative lengths come from two levels of sums (about sqrt(rows) ranges of the
 that a source with a third of all rows is spread over many tasks. What is broadcast has at most
 (number of sources)^2 * FRAME rows and is counted first.
 
+in_order() gives the rows themselves in the mixed order and shuffles their texts once: the order is computed on lengths, cut into
+parts of SLOTS slots, and the first row of each part in each range of a source tells a row's part before it is moved.
+
 Defined cases: a null source is the source ''; a null or empty text counts one character; a null doc_id comes first in its source's order;
 repeated rows each get a place; an empty table gives no rows; sources missing from the weights get the smallest given weight. Extra columns are ignored.
 """
@@ -25,23 +28,29 @@ from barloom.llm import common
 
 BLOCK = 20_000
 FRAME = 240
+#: Slots of one part of the order, which goes to one file.
+SLOTS = 128
 
 
-def _lengths(docs: DataFrame) -> DataFrame:
+def _lengths(docs: DataFrame, *carry: F.Column) -> DataFrame:
     key = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
-    return docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(1)).cast("long").alias("units"), key.alias("key"))
+    return docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(1)).cast("long").alias("units"), key.alias("key"), *carry)
 
 
-def _begins(rows: DataFrame, n: int) -> DataFrame:
-    """rows with the characters of their source that come before."""
+def _ranged(rows: DataFrame, n: int) -> DataFrame:
+    """rows with their range of the order key, of about sqrt(n)."""
     ranges = max(1, int(n**0.5))
-    rows = rows.withColumn("range", F.floor(F.col("key") / F.lit((1 << 60) / ranges)).cast("int"))
+    return rows.withColumn("range", F.floor(F.col("key") / F.lit((1 << 60) / ranges)).cast("int"))
+
+
+def _begins(rows: DataFrame) -> DataFrame:
+    """Rows of _ranged with the characters of their source that come before."""
     sums = rows.groupBy("source", "range").agg(F.sum("units").alias("sum"))
     before = F.coalesce(F.sum("sum").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = common.checked_broadcast(common.stored(sums.select("source", "range", before.alias("before"))))
     inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "units").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("units").over(inside), F.lit(0)))
-    return rows.join(sums, ["source", "range"]).withColumn("begin", F.col("before") + F.col("inside")).drop("range", "before", "inside")
+    return rows.join(sums, ["source", "range"]).withColumn("begin", F.col("before") + F.col("inside")).drop("before", "inside")
 
 
 def slots(totals: DataFrame, weights: dict[str, float] | None, block: int, frame: int) -> DataFrame:
@@ -81,19 +90,53 @@ def schedule(sources: DataFrame) -> DataFrame:
     return rows.select(F.col("b.source").alias("source"), F.col("b.j").alias("j"), k, "q", "first", "last", "base", F.col("b.slot").alias("in_frame"))
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, frame: int = FRAME) -> DataFrame:
-    """docs (doc_id, source, text, ...) -> doc_id, source, units, block_no, place (characters from the block's start), slot,
-    release, deadline (slots), one row a row of docs; (slot, place) is the mixed order."""
-    rows = _lengths(docs)
-    rows = common.stored(_begins(rows, rows.count()))
+def _planned(docs: DataFrame, n: int, weights: dict[str, float] | None, block: int, frame: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The n rows of docs without their texts and where they begin, slots() and schedule() of them, all stored."""
+    rows = common.stored(_begins(_ranged(_lengths(docs), n)))
     totals = common.stored(rows.groupBy("source").agg(F.sum("units").alias("units")))
-    plan = slots(totals, weights, block, frame)
-    plan = common.checked_broadcast(common.stored(plan))
-    table = common.checked_broadcast(common.stored(schedule(plan)))
+    plan = common.stored(slots(totals, weights, block, frame))
+    return rows, plan, common.stored(schedule(common.checked_broadcast(plan)))
+
+
+def _slotted(rows: DataFrame, plan: DataFrame, table: DataFrame, block: int) -> DataFrame:
+    """rows (source, begin, ...) with block_no, place, slot, release and deadline."""
+    plan, table = common.checked_broadcast(plan), common.checked_broadcast(table)
+    names = rows.columns
     rows = rows.withColumn("block_no", F.floor(F.col("begin") / block)).withColumn("place", F.col("begin") % block)
     rows = rows.join(plan.select("source", "k"), "source").withColumn("frame_no", F.floor(F.col("block_no") / F.col("k"))).withColumn("j", F.col("block_no") % F.col("k"))
     rows = rows.drop("k").join(table, ["source", "j"]).filter("frame_no >= first and frame_no < last")
     start = F.col("base") + (F.col("frame_no") - F.col("first")) * F.col("q")
     return rows.select(
-        "doc_id", "source", "units", "block_no", "place", (start + F.col("in_frame")).alias("slot"),
+        *names, "block_no", "place", (start + F.col("in_frame")).alias("slot"),
         (start + F.floor(F.col("j") * F.col("q") / F.col("k"))).alias("release"), (start + F.ceil((F.col("j") + 1) * F.col("q") / F.col("k"))).alias("deadline"))
+
+
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, frame: int = FRAME) -> DataFrame:
+    """docs (doc_id, source, text, ...) -> doc_id, source, units, block_no, place (characters from the block's start), slot,
+    release, deadline (slots), one row a row of docs; (slot, place) is the mixed order."""
+    rows, plan, table = _planned(docs, docs.count(), weights, block, frame)
+    return _slotted(rows, plan, table, block).select("doc_id", "source", "units", "block_no", "place", "slot", "release", "deadline")
+
+
+def in_order(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, frame: int = FRAME) -> DataFrame:
+    """The rows of docs (doc_id, source, text, ...) in the mixed order: partitions are ranges of slots, rows follow slot and place.
+    Rows that share doc_id, source and length share the first one's place."""
+    n, order = docs.count(), ["key", "doc_id", "units"]
+    rows, plan, table = _planned(docs, n, weights, block, frame)
+    begins = rows.groupBy("source", "range", *order).agg(F.min("begin").alias("begin"))
+    parts = _slotted(begins, plan, table, block).withColumn("part", F.floor(F.col("slot") / SLOTS))
+    parts = parts.groupBy("source", "range", "part").agg(F.min(F.struct(*order)).alias("head"), F.min("begin").alias("since"))
+    parts = parts.groupBy("source", "range").agg(F.array_sort(F.collect_list(F.struct("head", "part", "since"))).alias("parts"))
+    parts = common.checked_broadcast(common.stored(parts))
+    texts = _ranged(_lengths(docs, F.struct(*docs.columns).alias("row")), n).join(parts, ["source", "range"])
+    texts = texts.withColumn("own", F.element_at(F.filter("parts", lambda p: p["head"] <= F.struct(*order)), -1))
+    texts = texts.select("row", "source", "range", *order, "own.part", "own.since").repartitionByRange("part")
+    # one sort serves both windows, and neither moves a row
+    group = ["part", "source", "range"]
+    before = F.sum("units").over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    texts = texts.withColumn("begin", F.col("since") + F.coalesce(before, F.lit(0)))
+    texts = texts.withColumn("begin", F.min("begin").over(Window.partitionBy(*group, *order)))
+    texts = _slotted(texts.select("row", "source", "begin"), plan, table, block)
+    if max(plan.count(), table.count()) > common.BROADCAST_ROWS:  # joins to larger tables move the rows
+        texts = texts.repartitionByRange("slot", "place")
+    return texts.sortWithinPartitions("slot", "place").select("row.*")

@@ -211,26 +211,33 @@ def _hub_components(pairs: DataFrame, hubs: DataFrame, nodes: DataFrame, sets: D
     first = hubs.groupBy("node").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
     first = common.stored(first.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct())
     labels = common.components(_confirmed(first, sets))
+    common.release(nodes.sparkSession)
     whole = common.stored(nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
     few = whole.count() <= common.BROADCAST_ROWS
     others = pairs.join(first, ["a", "b"], "left_anti")
     for end, other in (("a", "b"), ("b", "a")):
         others = common.look_up(others, end, whole.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), other, few)
-    more = common.stored(_confirmed(common.stored(others.filter("of_a != of_b").select("a", "b")), sets))
+    others = common.stored(others.filter("of_a != of_b").select("a", "b"))
+    more = common.stored(_confirmed(others, sets))
+    common.forget(first, whole, others)
     return common.joined_components(labels, more) if more.take(1) else labels
 
 
 def _clusters(docs: DataFrame, members: DataFrame, sketched: DataFrame, again: DataFrame | None) -> DataFrame:
-    """(node, component) of classes that have a link; again are the ids of docs that come more than once, if there are any."""
+    """(node, component) of classes that have a link; again are the ids of docs that come more than once, if there are any. The stored
+    sketched goes once it has been read, as do the tables made here."""
     reps = _once(sketched.join(members.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi"), again)
     reps = common.stored(reps.select(F.col("doc_id").alias("node"), "bands", "sketch"))
     rows = reps.select("node", F.explode("bands").alias("bucket"))
     turn = F.xxhash64("node", F.pmod("bucket", F.lit(HUBS)))
+    common.forget(sketched)
     heads = common.stored(rows.groupBy("bucket").agg(F.min_by("node", turn).alias("hub"), F.count("*").alias("n")).filter("n > 1"))
+    common.release(docs.sparkSession)
     shared = common.stored(rows.join(heads, "bucket").select("bucket", "node", "hub"))
     nodes = common.stored(shared.select("node").distinct())
     needed = common.checked_broadcast(nodes)
     marks = common.stored(reps.select("node", "sketch").join(needed, "node", "left_semi"))
+    common.forget(reps, heads)
     texts = docs.select("doc_id", "text").join(needed.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
     sets = common.stored(_once(texts, again).mapInArrow(_set_batches, "doc_id long, elements array<long>"))
     hubs = common.stored(shared.filter("node != hub").groupBy("node", "hub").agg(F.count("*").alias("n")))
@@ -241,12 +248,14 @@ def _clusters(docs: DataFrame, members: DataFrame, sketched: DataFrame, again: D
         across = common.stored(_across(shared, labels, marks, best).join(tested, ["a", "b"], "left_anti"))
         tested = tested.union(across)
         more = common.stored(_confirmed(across, sets))
+        common.release(docs.sparkSession)
         grown = bool(more.take(1))
         if grown:
             labels = common.joined_components(labels, more)
         if not best:
             break
         best = grown
+    common.forget(shared, nodes, marks, sets, hubs, tested)
     return labels
 
 
@@ -259,9 +268,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = common.stored(common.with_group(filled.select("doc_id", "n_shingles", "k1", "k2"), ["n_shingles", "k1", "k2"], ["doc_id"], rep=("min", "doc_id")).select("doc_id", "n_shingles", "rep"))
     again = common.stored(sketched.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
     again = common.checked_broadcast(again) if again.take(1) else None
+    blank = common.stored(sketched.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles"))
     found = _clusters(docs, members, filled, again).withColumnRenamed("node", "rep")
     linked = common.fetch(members, "rep", found, ["doc_id"]).select("doc_id", "n_shingles", "component")
     alone = members.join(found.select("rep"), "rep", "left_anti").select("doc_id", "n_shingles", F.col("rep").alias("component"))
-    blank = sketched.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
+    blank = blank.select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
     return linked.union(alone).union(blank).select(
         "doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))

@@ -60,9 +60,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, written in the mixed order: files are ranges of slots, rows follow slot and place."""
-    order = common.stored(mixing.mixed(docs).select("doc_id", "slot", "place").dropDuplicates(["doc_id"]))
-    rows = docs.join(common.checked_broadcast(order), docs["doc_id"].eqNullSafe(order["doc_id"])).drop(order["doc_id"])
-    return rows.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(*docs.columns)
+    return mixing.in_order(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -126,6 +127,20 @@ def test_hub_pairs_inside_a_component_are_not_confirmed_again(spark, monkeypatch
     assert sum(calls) < 60
 
 
+def test_near_duplicates_delete_sketches_and_sets_that_have_been_read(spark, monkeypatch):
+    made, stored = [], common.stored
+    monkeypatch.setattr(common, "stored", lambda df: made.append(stored(df)) or made[-1])
+    words = [f"word{i} beta" for i in range(40)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:39])), (3, " ".join(words)), (4, "one of its own"), (5, None)]
+    got = dict(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect())
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    large = [t for t in made if {"sketch", "bands", "elements", "bucket"} & set(t.columns)]
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    assert len(large) >= 5
+    for t in large:
+        assert not any(path(f).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(f)) for f in t.inputFiles())
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 800).astype(np.uint64)
@@ -608,6 +623,33 @@ def test_pipeline_keeps_the_mixed_order(spark, pdf):
     assert order(through) == want != order(docs)
 
 
+def test_mixing_shuffles_texts_once(spark, monkeypatch):
+    """Also where the order has more rows than are broadcast; rows that share an id, or have none, have places of their own."""
+    rows = [(i, f"text {i} " * (i % 7 + 1), f"src{i % 3}", 0) for i in range(3000)]
+    rows += [(i, f"again {i} " * (i % 5 + 3), f"src{i % 2}", 1) for i in range(50)] + [(None, "x" * i, None, 2) for i in range(1, 40)]
+    docs = common.stored(spark.createDataFrame(rows, "doc_id long, text string, source string, slot int").repartition(3))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 2500)
+    monkeypatch.setattr(mixing, "BLOCK", 500)
+    monkeypatch.setattr(mixing, "SLOTS", 8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stage = dict(corpus_pipeline.STAGES)["mixing"](spark, docs, SF)
+        plan = stage._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange rangepartitioning") == 1 and "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+        through = common.stored(mixing.in_order(docs, block=500))
+        assert len(through.inputFiles()) > 2
+        place = F.struct(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long"), "_metadata.row_index")
+        got = [tuple(r)[:4] for r in through.select("*", place.alias("at")).orderBy("at").collect()]
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+        moved = common.stored(mixing.in_order(docs, block=500))
+        again = [tuple(r)[:4] for r in moved.select("*", place.alias("at")).orderBy("at").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert collections.Counter(got) == collections.Counter(rows) and got == again
+    order = mixing.mixed(docs, block=500).orderBy("slot", "place").collect()
+    assert [(i, s or "", len(t)) for i, t, s, _ in got] == [(r.doc_id, r.source, r.units) for r in order]
+
+
 def test_registered():
     names = entry.queries()
     assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 14)) and "pipeline" in names
