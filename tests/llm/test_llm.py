@@ -339,6 +339,45 @@ def test_parts_join_across_a_gap():
     assert substring_dedup.shared_passages(a, b) == [(0, 92, 0, 92)]
 
 
+def test_exact_runs_of_repeating_shingles():
+    rng = np.random.default_rng(12)
+    wide = substring_dedup.WIDTH
+    for trial in range(24):
+        a, b = (rng.integers(0, 1 << 32, n).astype(np.uint32) for n in (240, 260))
+        b[20:140] = a[60:180]
+        b[150:250] = a[70:170]
+        if trial % 2:
+            a[100:230] = b[30:200] = 7  # many equal pairs
+            a[rng.integers(0, 240, 2)] = 8
+        run, ends = np.zeros(len(b) + 1, int), {}
+        for i, x in enumerate(a):
+            run[1:] = np.where(b == x, run[:-1] + 1, 0)
+            j = int(run.argmax())
+            if run[j] >= wide:
+                ends[i - run[j] + 1, j - run[j]] = (i, j - 1)
+        assert sorted(substring_dedup._exact_runs(a, b)) == sorted((s, e, p, q) for (s, p), (e, q) in ends.items()) and ends
+
+
+def test_cells_of_a_bin_compare_pairs_from_one_copy_of_a_segment():
+    """Two signatures, of which one has a single open segment: its other segments aren't compared with each other."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(13)
+    base = rng.integers(0, 1 << 32, 300).astype(np.uint32)
+    data = [np.where(rng.random(300) < 0.02, rng.integers(0, 1 << 32, 300), base).astype(np.uint32) for _ in range(45)]
+    doc = [k // 2 for k in range(45)]
+    segments = pa.table({"its_doc": doc, "its_no": pa.array([k % 2 for k in range(45)], pa.int32()), "its_begin": pa.array([k % 2 * 384 for k in range(45)], pa.int32()), "its_data": [x.tobytes() for x in data]})
+    groups = {(1, 5): (range(45), [0]), (1, 6): (range(10, 20), range(10, 20)), (2, 7): ([3, 30, 31], [31])}
+    rows = [(key, sig, k, k in open_) for (key, sig), (some, open_) in groups.items() for k in some]
+    pairs = {(x, y) for some, open_ in groups.values() for x in some for y in some if doc[x] != doc[y] and (x in open_ or y in open_)}
+    key, sig, at, is_open = zip(*rows, strict=True)
+    none = [0] * len(at)
+    table = pa.table({"key": key, "grp": sig, "doc": [doc[k] for k in at], "no": [k % 2 for k in at], "open": is_open, "b": none, "i": none, "j": none})
+    got = [tuple(r.values()) for r in substring_dedup._cell_passages(table, segments).to_pylist()]
+    want = [(doc[x], x % 2 * 384 + s, x % 2 * 384 + e, doc[y], y % 2 * 384 + p) for x, y in pairs for s, e, p, _ in substring_dedup.shared_passages(data[x], data[y])]
+    assert sorted(got) == sorted(want) and want
+
+
 def test_compact_windows():
     rng = np.random.default_rng(5)
     v = rng.permutation(300)
